@@ -21,14 +21,9 @@ def round1(x: Column) -> Column:
     the rounding error of their sum, so the comparison against one half is exact; true ties go to
     the even digit.
     """
-    tens = lambda v: v * F.lit(8.0) + v * F.lit(2.0)
-    lost = lambda v: v * F.lit(2.0) - (tens(v) - v * F.lit(8.0))
-
-    def pick(v: Column) -> Column:
-        low = F.floor(tens(v)).cast("double")
-        side = (tens(v) - low - F.lit(0.5)) + lost(v)
-        even = low - F.lit(2.0) * F.floor(low / F.lit(2.0)) == 0
-        up = (side > 0) | ((side == 0) & ~even)
-        return F.when(up, low + 1).otherwise(low) / F.lit(10.0)
-
-    return let(x, pick)
+    tens = x * F.lit(8.0) + x * F.lit(2.0)
+    lost = x * F.lit(2.0) - (tens - x * F.lit(8.0))
+    low = F.floor(tens).cast("double")
+    side = (tens - low - F.lit(0.5)) + lost
+    even = low % F.lit(2.0) == 0
+    return F.when((side > 0) | ((side == 0) & ~even), low + 1).otherwise(low) / F.lit(10.0)

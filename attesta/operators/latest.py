@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import display
+from attesta.operators.scoring import is_met, is_red_flag
 from attesta.schemas import DECISIVE
 
 
@@ -26,36 +27,19 @@ def latest_scans(scans: DataFrame, keys: tuple[str, ...] = ("company_id",)) -> D
     )
 
 
-def met_labels(grid: Column, top: int = 3) -> Column:
-    """Labels of the heaviest met criteria, ties in criteria order."""
-    met = F.filter(grid, lambda g: (g["polarity"] == "positive") & (g["verdict"] == "met"))
-    ranked = F.array_sort(
-        F.transform(met, lambda g, i: F.struct((-g["weight"]).alias("w"), i.alias("i"), g["label"].alias("label")))
-    )
-    return F.transform(F.slice(ranked, 1, top), lambda r: r["label"])
-
-
-def flag_labels(grid: Column) -> Column:
-    return F.transform(F.filter(grid, lambda g: g["red_flag"]), lambda g: g["label"])
-
-
-def evidence_urls(results: Column) -> Column:
-    """Sources of the decisive verdicts, in result order, each once."""
-    decisive = F.filter(
-        F.coalesce(F.map_values(results), F.array()),
-        lambda r: r["verdict"].isin(*DECISIVE) & r["source_url"].isNotNull(),
-    )
-    ordered = F.array_sort(
-        F.transform(decisive, lambda r: F.struct(r["result_pos"].alias("pos"), r["source_url"].alias("url")))
-    )
-    return F.array_distinct(F.transform(ordered, lambda r: r["url"]))
-
-
-def with_summary(scored: DataFrame) -> DataFrame:
+def summary_aggregates(top: int = 3) -> tuple[Column, ...]:
+    """Aggregates over ``with_criteria`` rows for the lead list. A profile has at most eight
+    criteria, which bounds what is gathered per scan."""
+    met = (F.col("polarity") == "positive") & is_met()
+    chip = F.struct((-F.col("weight")).alias("w"), "pos", "label")
+    flag = F.struct("pos", "label")
+    decisive = F.col("verdict").isin(*DECISIVE) & F.col("source_url").isNotNull()
+    source = F.struct("result_pos", "source_url")
+    gather = lambda cond, row: F.array_sort(F.collect_list(F.when(cond, row)))
     return (
-        scored.withColumn("met_criteria", met_labels(F.col("grid")))
-        .withColumn("red_flags", flag_labels(F.col("grid")))
-        .withColumn("evidence_urls", evidence_urls(F.col("results")))
+        F.transform(F.slice(gather(met, chip), 1, top), lambda r: r["label"]).alias("met_criteria"),
+        F.transform(gather(is_red_flag(), flag), lambda r: r["label"]).alias("red_flags"),
+        F.array_distinct(F.transform(gather(decisive, source), lambda r: r["source_url"])).alias("evidence_urls"),
     )
 
 

@@ -1,25 +1,34 @@
 """Criteria grid, fit score, coverage and penalties.
 
-All criterion results of a scan are folded against the profile's criteria, an array of at most
-eight entries, so one row per scan carries the whole calculation. The only shuffles are those that
-bring a scan's results together, both behind partial aggregation.
+Everything that depends on a profile alone (total weight, penalty share of each criterion) is
+worked out once per criterion. A scan then only needs sums over its own results, which Spark
+computes with partial aggregation on the partitioning the join has already made.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.numbers import let, round1
+from attesta.functions.numbers import round1
 from attesta.functions.text import content_hash
 from attesta.schemas import DECISIVE
 
 SCORING_VERSION = 2  # part of the fingerprint: raising it retires stored scans
+MAX_CRITERIA = 8
+
 
+def last_result_per_criterion(
+    results: DataFrame, order: list[str], payload: tuple[str, ...] | None = None
+) -> DataFrame:
+    """One row per (scan, criterion): the last by ``order``. Copies collapse before the shuffle.
 
-def last_result_per_criterion(results: DataFrame, order: list[str]) -> DataFrame:
-    """One row per (scan, criterion): the last by ``order``. Copies collapse before the shuffle."""
-    payload = [c for c in results.columns if c not in ("scan_id", "criterion_key", *order)]
+    Name the ``payload`` columns needed; fields inside the kept row cannot be pruned later.
+    """
+    if payload is None:
+        payload = tuple(c for c in results.columns if c not in ("scan_id", "criterion_key", *order))
     return (
         results.groupBy("scan_id", "criterion_key")
         .agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("row"))
@@ -27,134 +36,122 @@ def last_result_per_criterion(results: DataFrame, order: list[str]) -> DataFrame
     )
 
 
-def results_by_scan(results: DataFrame) -> DataFrame:
-    """scan_id, results: map of criterion key to its row. Needs one row per (scan, criterion)."""
-    payload = [c for c in results.columns if c not in ("scan_id", "criterion_key")]
-    entry = F.struct("criterion_key", F.struct(*payload))
-    known = results.filter(F.col("criterion_key").isNotNull())
-    return known.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(entry)).alias("results"))
-
-
-def known_verdict(verdict: Column) -> Column:
-    """Anything but a decisive verdict counts as unknown."""
-    return F.when(verdict.isin(*DECISIVE), verdict).otherwise(F.lit("unknown"))
-
-
-def is_negative(criterion: Column) -> Column:
-    return F.coalesce(criterion["polarity"] == "negative", F.lit(False))
-
-
-def weight_of(criterion: Column) -> Column:
-    return F.coalesce(F.nullif(criterion["weight"], F.lit(0)), F.lit(1))
-
-
-def positive_weight(criteria: Column) -> Column:
-    return F.aggregate(
-        criteria, F.lit(0), lambda total, c: total + F.when(is_negative(c), 0).otherwise(weight_of(c))
+def criterion_rows(profiles: DataFrame) -> DataFrame:
+    """One row per profile and criterion with its weight, polarity and penalty share."""
+    negative = F.coalesce(F.col("c.polarity") == "negative", F.lit(False))
+    weight = F.coalesce(F.nullif(F.col("c.weight"), F.lit(0)), F.lit(1))
+    exploded = profile_totals(profiles, "criteria").select(
+        "profile_id", "total_weight", "positives", F.posexplode("criteria").alias("pos", "c")
+    )
+    share = round1(F.lit(100.0) * F.col("weight") / F.col("total_weight"))
+    return exploded.select(
+        "profile_id", "total_weight", "positives", "pos",
+        F.col("c.key").alias("criterion_key"),
+        F.coalesce("c.label", "c.key").alias("label"),
+        weight.alias("weight"),
+        F.when(negative, F.lit("negative")).otherwise(F.lit("positive")).alias("polarity"),
+    ).withColumn("share", F.when(F.col("total_weight") > 0, share).otherwise(F.lit(100.0)))
+
+
+def profile_totals(profiles: DataFrame, *keep: str) -> DataFrame:
+    """Positive weight and number of positive criteria of each profile."""
+    positive = F.filter("criteria", lambda c: ~F.coalesce(c["polarity"] == "negative", F.lit(False)))
+    weight = F.aggregate(
+        positive, F.lit(0), lambda total, c: total + F.coalesce(F.nullif(c["weight"], F.lit(0)), F.lit(1))
+    )
+    return profiles.select(
+        "profile_id", weight.alias("total_weight"), F.size(positive).alias("positives"), *keep
     )
 
 
-def breakdown(criteria: Column, results: Column) -> Column:
-    """Array of grid rows, in criteria order, for one scan."""
-
-    def rows(total: Column) -> Column:
-        def row(c: Column) -> Column:
-            verdict = known_verdict(F.try_element_at(results, c["key"])["verdict"])
-            return let(F.struct(verdict.alias("v"), is_negative(c).alias("neg"), weight_of(c).alias("w")),
-                       lambda g: finished(c, g))
-
-        def finished(c: Column, g: Column) -> Column:
-            known = ~g["neg"] & (g["v"] != "unknown")
-            flag = g["neg"] & (g["v"] == "met")
-            share = F.when(total > 0, round1(F.lit(100.0) * g["w"] / total)).otherwise(F.lit(100.0))
-            return F.struct(
-                c["key"].alias("key"),
-                F.coalesce(c["label"], c["key"]).alias("label"),
-                g["w"].alias("weight"),
-                F.when(g["neg"], F.lit("negative")).otherwise(F.lit("positive")).alias("polarity"),
-                g["v"].alias("verdict"),
-                F.when(known & (g["v"] == "met"), g["w"]).otherwise(F.lit(0)).alias("earned"),
-                known.alias("counted"),
-                flag.alias("red_flag"),
-                F.when(flag, share).otherwise(F.lit(0.0)).alias("penalty"),
-            )
-
-        return F.transform(criteria, row)
-
-    return let(positive_weight(criteria), rows)
-
-
-def totals(grid: Column) -> Column:
-    """Sums over one scan's grid; penalties are added in criteria order, as doubles."""
-    zero = F.struct(
-        F.lit(0).alias("earned"), F.lit(0).alias("known"), F.lit(0).alias("n_known"),
-        F.lit(0).alias("positives"), F.lit(0).alias("weight"), F.lit(0.0).alias("penalty"),
+def with_criteria(scans: DataFrame, profiles: DataFrame, results: DataFrame) -> DataFrame:
+    """Scans with their results and, where the profile still has the criterion, its definition."""
+    rows = criterion_rows(profiles).drop("total_weight", "positives")
+    return (
+        scans.join(results, "scan_id", "left")
+        .join(rows, ["profile_id", "criterion_key"], "left")
+        .join(profile_totals(profiles), "profile_id")
     )
 
-    def add(acc: Column, g: Column) -> Column:
-        one = lambda flag: F.when(flag, F.lit(1)).otherwise(F.lit(0))
-        positive = g["polarity"] == "positive"
-        return F.struct(
-            (acc["earned"] + g["earned"]).alias("earned"),
-            (acc["known"] + F.when(g["counted"], g["weight"]).otherwise(F.lit(0))).alias("known"),
-            (acc["n_known"] + one(g["counted"])).alias("n_known"),
-            (acc["positives"] + one(positive)).alias("positives"),
-            (acc["weight"] + F.when(positive, g["weight"]).otherwise(F.lit(0))).alias("weight"),
-            (acc["penalty"] + g["penalty"]).alias("penalty"),
-        )
 
-    return F.aggregate(grid, zero, add)
+def _positive() -> Column:
+    return F.col("polarity") == "positive"
 
 
-def score_of(t: Column) -> Column:
-    raw = F.greatest(F.lit(0.0), F.lit(100.0) * t["earned"] / t["known"] - t["penalty"])
-    return F.when(t["known"] > 0, round1(raw))
+def is_met() -> Column:
+    return F.col("verdict") == "met"
 
 
-def coverage_of(t: Column) -> Column:
-    return F.when(t["positives"] > 0, round1(F.lit(100.0) * t["n_known"] / t["positives"])).otherwise(
-        F.lit(0.0)
-    )
+def is_red_flag() -> Column:
+    return (F.col("polarity") == "negative") & is_met()
 
 
-def score_scans(scans: DataFrame, profiles: DataFrame, results: DataFrame) -> DataFrame:
-    """Every scan with ``results`` (map), ``grid`` (array) and its score columns.
+def score_scans(
+    scans: DataFrame, profiles: DataFrame, results: DataFrame, extra: tuple[Column, ...] = ()
+) -> DataFrame:
+    """Scans with their weights, penalty, score and coverage.
 
-    scans: scan_id, profile_id, …; profiles: profile_id, criteria; results: one row per
-    (scan_id, criterion_key) with at least ``verdict``.
+    scans: scan_id, profile_id, ...; profiles: profile_id, criteria; results: one row per
+    (scan_id, criterion_key) with at least ``verdict``. ``extra`` are further aggregates over the
+    rows of ``with_criteria``, computed in the same pass.
     """
-    return (
-        scans.join(results_by_scan(results), "scan_id", "left")
-        .join(profiles.select("profile_id", "criteria"), "profile_id")
-        .withColumn("grid", breakdown(F.col("criteria"), F.col("results")))
-        .withColumn("totals", totals(F.col("grid")))
-        .withColumn("score", score_of(F.col("totals")))
-        .withColumn("coverage", coverage_of(F.col("totals")))
+    known = _positive() & F.col("verdict").isin(*DECISIVE)
+    total = lambda flag, value: F.sum(F.when(flag, value).otherwise(F.lit(0)))
+    # Penalties are doubles: one sum per criterion, added up in criteria order, is exact.
+    penalties = [
+        F.sum(F.when(is_red_flag() & (F.col("pos") == i), F.col("share")).otherwise(F.lit(0.0))).alias(f"p{i}")
+        for i in range(MAX_CRITERIA)
+    ]
+    summed = (
+        with_criteria(scans, profiles, results)
+        .groupBy(*scans.columns, "total_weight", "positives")
+        .agg(
+            total(known & is_met(), F.col("weight")).cast("int").alias("earned_weight"),
+            total(known, F.col("weight")).cast("int").alias("known_weight"),
+            total(known, F.lit(1)).cast("int").alias("n_known"),
+            *penalties,
+            *extra,
+        )
+        .withColumn("penalty_sum", reduce(lambda a, b: a + b, [F.col(f"p{i}") for i in range(MAX_CRITERIA)]))
+        .drop(*[f"p{i}" for i in range(MAX_CRITERIA)])
     )
-
-
-def fit_score(scored: DataFrame) -> DataFrame:
-    return scored.select(
-        "scan_id", "company_id", "profile_id", "score", "coverage",
-        F.col("totals.earned").alias("earned_weight"),
-        F.col("totals.known").alias("known_weight"),
-        F.col("totals.weight").alias("total_weight"),
-        round1(F.col("totals.penalty")).alias("penalty"),
+    raw = F.greatest(
+        F.lit(0.0), F.lit(100.0) * F.col("earned_weight") / F.col("known_weight") - F.col("penalty_sum")
     )
-
-
-def score_breakdown(scored: DataFrame) -> DataFrame:
-    """One row per scan and criterion, with the whole-number figures shown to people."""
-    g = F.col("g")
-    share = F.when(g["weight"] > 0, F.floor(100.0 * g["earned"] / g["weight"] + 0.5))
-    flag_points = F.floor(100.0 * g["weight"] / F.col("total") + 0.5)
-    return scored.select(
-        "scan_id", F.col("totals.weight").alias("total"), F.posexplode("grid").alias("pos", "g")
-    ).select(
-        "scan_id", "pos", "g.*",
-        F.when(g["counted"], share).otherwise(F.lit(0)).cast("int").alias("earned_pct"),
-        F.when(g["red_flag"] & (F.col("total") > 0), flag_points).otherwise(F.lit(0)).cast("int").alias(
-            "penalty_points"),
+    return summed.withColumns(
+        {
+            "score": F.when(F.col("known_weight") > 0, round1(raw)),
+            "coverage": F.when(
+                F.col("positives") > 0, round1(F.lit(100.0) * F.col("n_known") / F.col("positives"))
+            ).otherwise(F.lit(0.0)),
+            "penalty": round1(F.col("penalty_sum")),
+        }
+    ).drop("penalty_sum")
+
+
+def score_breakdown(scans: DataFrame, profiles: DataFrame, results: DataFrame) -> DataFrame:
+    """Every criterion of every scan, unknown where there is no decisive result, with the
+    whole-number figures shown to people."""
+    verdict = F.when(F.col("verdict").isin(*DECISIVE), F.col("verdict")).otherwise(F.lit("unknown"))
+    counted = _positive() & (F.col("verdict") != "unknown")
+    whole = lambda x: F.floor(x + F.lit(0.5)).cast("int")
+    grid = (
+        scans.select("scan_id", "profile_id")
+        .join(criterion_rows(profiles), "profile_id")
+        .join(results.select("scan_id", "criterion_key", "verdict"), ["scan_id", "criterion_key"], "left")
+        .withColumn("verdict", verdict)
+    )
+    return grid.select(
+        "scan_id", "pos", F.col("criterion_key").alias("key"), "label", "weight", "polarity", "verdict",
+        F.when(counted & is_met(), F.col("weight")).otherwise(F.lit(0)).alias("earned"),
+        counted.alias("counted"),
+        is_red_flag().alias("red_flag"),
+        F.when(is_red_flag(), F.col("share")).otherwise(F.lit(0.0)).alias("penalty"),
+        F.when(counted & is_met(), F.lit(100)).otherwise(F.lit(0)).alias("earned_pct"),
+        F.when(
+            is_red_flag() & (F.col("total_weight") > 0),
+            whole(F.lit(100.0) * F.col("weight") / F.col("total_weight")),
+        ).otherwise(F.lit(0)).alias("penalty_points"),
     )
 
 

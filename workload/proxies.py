@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.operators.scoring import last_result_per_criterion
 from attesta.schemas import CRITERIA
 from attesta.session import literal_relation
 
@@ -118,10 +119,8 @@ def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attesta.operators.scoring import last_result_per_criterion
-
-    return last_result_per_criterion(raw_results(spark, sf_dir), RESULT_ORDER)
+def results(spark: SparkSession, sf_dir: str, *payload: str) -> DataFrame:
+    return last_result_per_criterion(raw_results(spark, sf_dir), RESULT_ORDER, payload or None)
 
 
 RESULTS_SQL = """
@@ -136,12 +135,6 @@ results AS (
              l_linestatus DESC) = 1)"""
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attesta.operators.scoring import score_scans
-
-    return score_scans(scans(spark, sf_dir), profiles(spark), results(spark, sf_dir))
-
-
 def round1_sql(x: str) -> str:
     """One decimal, exact ties to even, exactly as attesta.functions.numbers.round1 defines it."""
     tens = f"(({x}) * 8.0::DOUBLE + ({x}) * 2.0::DOUBLE)"

@@ -15,7 +15,8 @@ from workload import proxies as P
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest scan per company, scored. Scoring runs after the pick, on the kept scans only."""
     newest = L.latest_scans(P.scans(spark, sf_dir))
-    return L.with_summary(S.score_scans(newest, P.profiles(spark), P.results(spark, sf_dir)))
+    results = P.results(spark, sf_dir, "verdict", "source_url", "result_pos")
+    return S.score_scans(newest, P.profiles(spark), results, L.summary_aggregates())
 
 
 def ranked(spark: SparkSession, sf_dir: str, scanned_only: bool = False) -> DataFrame:
@@ -23,11 +24,13 @@ def ranked(spark: SparkSession, sf_dir: str, scanned_only: bool = False) -> Data
 
 
 def fit_score(spark, sf_dir):
-    return S.fit_score(P.scored(spark, sf_dir))
+    scans = P.scans(spark, sf_dir).select("scan_id", "company_id", "profile_id")
+    scored = S.score_scans(scans, P.profiles(spark), P.results(spark, sf_dir, "verdict"))
+    return scored.drop("n_known", "positives")
 
 
 def score_breakdown(spark, sf_dir):
-    return S.score_breakdown(P.scored(spark, sf_dir))
+    return S.score_breakdown(P.scans(spark, sf_dir), P.profiles(spark), P.results(spark, sf_dir, "verdict"))
 
 
 def latest_scan(spark, sf_dir):
@@ -81,7 +84,7 @@ def verdict_labels(spark, sf_dir):
     criteria = P.profiles(spark).select("profile_id", F.inline("criteria")).select(
         "profile_id", F.col("key").alias("criterion_key"), "polarity")
     shown = (
-        P.results(spark, sf_dir)
+        P.results(spark, sf_dir, "verdict", "grounding")
         .join(P.scans(spark, sf_dir).select("scan_id", "profile_id"), "scan_id")
         .join(criteria, ["profile_id", "criterion_key"])
     )
