@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring",)
+MODULES = ("scoring", "leads")
 
 
 def _merged(attribute: str) -> dict:
