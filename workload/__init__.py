@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "leads")
+MODULES = ("scoring", "leads", "pages")
 
 
 def _merged(attribute: str) -> dict:
