@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,37 +18,11 @@ MIN_QUOTE_CHARS = 12
 MIN_QUOTE_TOKENS = 3
 
 
-@lru_cache(maxsize=1)
-def _plain_classes() -> tuple[str, str]:
-    """Two regex classes of code points that the JVM built-ins fold right: code points whose
-    compatibility form is themselves and whose case folding is plain lower-casing. Built by rule
-    from the Unicode database; the sharp s is included because it is folded explicitly.
-
-    The first class (Latin and general punctuation) is short and decides most rows. The second
-    adds the long runs of other scripts; short runs are left out to keep it cheap, which only
-    sends a few more rows down the exact path.
-    """
-    runs: list[list[int]] = []
-    for point in range(0x10000):
-        if 0xD800 <= point <= 0xDFFF:
-            continue
-        ch = chr(point)
-        plain = ch in "ßI\u00a0" or (
-            unicodedata.normalize("NFKC", ch) == ch
-            and ch.casefold() == ch.lower()
-            and len(ch.lower()) == 1
-            and unicodedata.combining(ch) == 0
-            and unicodedata.category(ch) not in ("Mn", "Mc", "Me", "Cn")
-            and not 0x1100 <= point <= 0x11FF
-            and ch not in "Σςİ"
-        )
-        if plain and runs and runs[-1][1] == point - 1:
-            runs[-1][1] = point
-        elif plain:
-            runs.append([point, point])
-    text = lambda chosen: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in chosen)
-    common = [r for r in runs if r[1] < 0x180 or 0x2010 <= r[0] <= 0x2027]
-    return text(common), text(common + [r for r in runs if r[1] - r[0] >= 64])
+# Text of these code points only is folded right by plain lower-casing: Latin up to U+017F and the
+# general dashes, quotes and dots, whose compatibility forms are all punctuation ...
+_BEYOND_LATIN = r"[^\x00-\x{17F}\x{2010}-\x{2027}]"
+# ... except for the Latin letters and figures that have a compatibility or folded form.
+_FOLDED_LATIN = "[ªº²³¹µ¼½¾İĲĳĿŀŉſ]"
 
 
 @F.pandas_udf(T.StringType())
@@ -57,21 +30,20 @@ def _fold_exactly(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFKC", s).casefold(), na_action="ignore")
 
 
-def fold(text: Column) -> Column:
-    """NFKC plus case folding.
+def _fold(text: Column) -> Column:
+    """NFKC plus case folding, up to punctuation.
 
-    Plain text stays in the JVM. Rows holding a code point outside the plain class go through one
-    Arrow call; the other rows reach Python as nulls.
+    ASCII and ordinary Latin text stays in the JVM (the sharp s is folded explicitly). Rows with
+    anything else go through one Arrow call; the other rows reach Python as nulls.
     """
-    common, plain = _plain_classes()
-    odd = text.rlike(f"[^{common}]") & text.rlike(f"[^{plain}]")
+    odd = (F.octet_length(text) != F.length(text)) & (text.rlike(_BEYOND_LATIN) | text.rlike(_FOLDED_LATIN))
     jvm = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     return F.coalesce(_fold_exactly(F.when(odd, text)), jvm)
 
 
 def normalize(text: Column) -> Column:
     """Matching form: folded, punctuation to blanks, blanks collapsed, trimmed; '' for null."""
-    words = F.regexp_replace(fold(text), r"[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]", " ")
+    words = F.regexp_replace(_fold(text), r"[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]", " ")
     return F.coalesce(F.trim(F.regexp_replace(words, _SPACE, " ")), F.lit(""))
 
 

@@ -11,14 +11,18 @@ from pyspark.sql import types as T
 
 from attesta.operators.scoring import last_result_per_criterion
 from attesta.schemas import CRITERIA
-from attesta.session import literal_relation
+from attesta.session import literal_relation, spread
 
 PROFILE_COUNT = 5
 CRITERIA_COUNT = 7
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def criterion_rows(profile_id: int) -> list[tuple]:
