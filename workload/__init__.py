@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "leads", "pages", "caches", "texts", "grounding", "facts", "verdicts")
+MODULES = ("scoring", "leads", "pages", "caches", "texts", "grounding", "facts", "verdicts", "streams", "jobs")
 
 
 def _merged(attribute: str) -> dict:

@@ -14,14 +14,17 @@ from workload import proxies as P
 AS_OF = "2000-01-01 00:00:00"
 
 
-def _as_of():
+def as_of():
     return F.to_timestamp(F.lit(AS_OF))
 
 
 def _crawl_log(spark, sf_dir):
+    return crawl_log(P.table(spark, sf_dir, "orders"))
+
+
+def crawl_log(orders):
     """Orders as fetches: the address is the customer's, copies of it differ in time and text."""
-    o = P.table(spark, sf_dir, "orders")
-    return o.select(
+    return orders.select(
         F.concat(F.lit("https://site"), F.col("o_custkey").cast("string"), F.lit(".example.com/")).alias("url"),
         F.col("o_orderkey").alias("fetch_id"),
         F.when(F.col("o_totalprice") > 20000, F.col("o_orderpriority")).alias("text"),
@@ -31,12 +34,12 @@ def _crawl_log(spark, sf_dir):
 
 
 def fresh_pages(spark, sf_dir):
-    return C.fresh_pages(_crawl_log(spark, sf_dir), _as_of()).select("fetch_id", "url", "text")
+    return C.fresh_pages(_crawl_log(spark, sf_dir), as_of()).select("fetch_id", "url", "text")
 
 
 def fresh_records(spark, sf_dir):
     stored = _crawl_log(spark, sf_dir).withColumn("ok", F.col("state") == "F")
-    return C.fresh_records(stored, _as_of()).select("fetch_id", "ok")
+    return C.fresh_records(stored, as_of()).select("fetch_id", "ok")
 
 
 def _halves(spark, sf_dir):
@@ -90,21 +93,26 @@ def criteria_fingerprint(spark, sf_dir):
     return prints.join(counts, "profile_id")
 
 
-def politeness_audit(spark, sf_dir):
+def visits(events):
     """Visits a thousand times denser than logged, so that some come too close."""
-    e = P.table(spark, sf_dir, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    log = e.select(F.col("user_id").alias("host"), F.timestamp_micros(F.floor(micros / 1000).cast("bigint")).alias("ts"),
-                   F.col("event_id").alias("id"))
-    return T.politeness_audit(log).select("host", "id", "gap_us")
+    return events.select(F.col("user_id").alias("host"), F.timestamp_micros(F.floor(micros / 1000).cast("bigint")).alias("ts"),
+                         F.col("event_id").alias("id"))
 
 
-def breaker_windows(spark, sf_dir):
+def politeness_audit(spark, sf_dir):
+    return T.politeness_audit(visits(P.table(spark, sf_dir, "events"))).select("host", "id", "gap_us")
+
+
+def responses(events):
     """All events as answers of one archive: a single upstream, the whole log."""
-    e = P.table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", 503).otherwise(200)
-    log = e.select(F.lit("archive").alias("upstream"), "ts", F.col("event_id").alias("id"), T.is_failure(status).alias("failed"))
-    return T.breaker_windows(log, ["upstream"]).select("id", "failed", "available", "tripped_us")
+    return events.select(F.lit("archive").alias("upstream"), F.col("ts").cast("timestamp").alias("ts"),
+                         F.col("event_id").alias("id"), T.is_failure(status).alias("failed"))
+
+
+def breaker_windows(spark, sf_dir):
+    return T.breaker_windows(responses(P.table(spark, sf_dir, "events")), ["upstream"]).select("id", "failed", "available", "tripped_us")
 
 
 QUERIES = {
@@ -114,18 +122,18 @@ QUERIES = {
 }
 QUERIES["criteria_hash"] = criteria_fingerprint
 
-_LOG = """
+LOG_SQL = """
 log AS (
   SELECT 'https://site' || o_custkey || '.example.com/' AS url, o_orderkey AS fetch_id,
          CASE WHEN o_totalprice > 20000 THEN o_orderpriority END AS text, o_orderdate AS fetched_at, o_orderstatus AS state FROM orders)"""
 _NEWEST = "QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, fetch_id DESC) = 1"
 
 ORACLE = {
-    "fresh_pages": f"WITH {_LOG} SELECT fetch_id, url, text FROM log WHERE fetched_at >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY AND coalesce(text, '') <> ''",
-    "fresh_records": f"""WITH {_LOG} SELECT fetch_id, state = 'F' AS ok FROM log
+    "fresh_pages": f"WITH {LOG_SQL} SELECT fetch_id, url, text FROM log WHERE fetched_at >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY AND coalesce(text, '') <> ''",
+    "fresh_records": f"""WITH {LOG_SQL} SELECT fetch_id, state = 'F' AS ok FROM log
       WHERE fetched_at >= TIMESTAMP '{AS_OF}' - CASE WHEN state = 'F' THEN INTERVAL 30 DAY ELSE INTERVAL 1 DAY END""",
-    "page_upsert": f"WITH {_LOG} SELECT url, fetch_id, text, strftime(fetched_at, '%Y-%m-%d') AS fetched_on FROM log {_NEWEST}",
-    "page_changes": f"""WITH {_LOG}, a AS (SELECT * FROM log WHERE state <> 'P' {_NEWEST}), b AS (SELECT * FROM log WHERE state = 'P' {_NEWEST})
+    "page_upsert": f"WITH {LOG_SQL} SELECT url, fetch_id, text, strftime(fetched_at, '%Y-%m-%d') AS fetched_on FROM log {_NEWEST}",
+    "page_changes": f"""WITH {LOG_SQL}, a AS (SELECT * FROM log WHERE state <> 'P' {_NEWEST}), b AS (SELECT * FROM log WHERE state = 'P' {_NEWEST})
       SELECT url, sha256(a.text) AS old_hash, sha256(b.text) AS new_hash FROM a JOIN b USING (url) WHERE a.text IS DISTINCT FROM b.text""",
     "fresh_scan": f"""WITH {P.SCANS_SQL}
       SELECT r.scan_id AS request_id, max_by(s.scan_id, struct_pack(t := s.finished_at, i := s.scan_id)) AS fresh_scan_id

@@ -16,8 +16,11 @@ AS_OF = "2003-01-01"
 
 
 def _raw_leads(spark, sf_dir):
+    return raw_leads(P.table(spark, sf_dir, "pages"))
+
+
+def raw_leads(pages):
     """A lead file: every page is a row, its address the website; some websites are unusable."""
-    pages = P.table(spark, sf_dir, "pages")
     site = F.when(F.col("url").contains("/de/"), F.lit("n/a")).otherwise(
         F.concat(F.lit(' "'), F.upper("url"), F.lit('" ')))
     return pages.select(
@@ -29,7 +32,7 @@ def _raw_leads(spark, sf_dir):
     )
 
 
-def _existing(spark, sf_dir):
+def existing(spark, sf_dir):
     pages = P.table(spark, sf_dir, "pages")
     return pages.filter(F.col("url").contains(".example.org/")).select(
         normalize_domain(F.col("url")).alias("domain")).distinct()
@@ -49,11 +52,11 @@ def registrable(spark, sf_dir):
 
 
 def lead_import(spark, sf_dir):
-    return I.new_leads(_raw_leads(spark, sf_dir), _existing(spark, sf_dir))
+    return I.new_leads(_raw_leads(spark, sf_dir), existing(spark, sf_dir))
 
 
 def lead_import_stats(spark, sf_dir):
-    return I.import_counters(_raw_leads(spark, sf_dir), _existing(spark, sf_dir))
+    return I.import_counters(_raw_leads(spark, sf_dir), existing(spark, sf_dir))
 
 
 def element_leads(spark, sf_dir):

@@ -76,12 +76,16 @@ companies AS (
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_columns(table(spark, sf_dir, "orders"))
+
+
+def scan_columns(orders: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("o_orderstatus") == "F", "done")
         .when(F.col("o_orderstatus") == "O", "error")
         .otherwise("running")
     )
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("scan_id"),
         F.col("o_custkey").alias("company_id"),
         F.substring("o_orderpriority", 1, 1).cast("bigint").alias("profile_id"),
