@@ -38,6 +38,15 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that is worked out once per row.
+
+    A projected expression below a broadcast join is generated into the join's inner loop and so
+    evaluated once per match; a generated column is a plain value by then.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input comes in fewer splits than that.
 
