@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -33,15 +32,17 @@ TEXT_CAP = 6000
 _DROPPED = "script|style|noscript|template|svg|head|nav|header|footer|aside|form|iframe"
 _BLOCKS = (
     "p|div|li|ul|ol|dl|dt|dd|br|hr|tr|td|th|table|thead|tbody|h[1-6]|section|article|main"
-    "|blockquote|pre|figure|figcaption|address|body|html"
+    "|blockquote|pre|figure|figcaption|address|option|select|button|label|input|textarea|summary"
+    "|details|caption|legend|fieldset|body|html"
 )
 _EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
-def _named_references() -> Column:
-    """Named character references that end in a semicolon, taken from the standard table."""
-    named = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
-    return F.from_json(F.lit(json.dumps(named)), "map<string,string>")
+def _references() -> Column:
+    """Named character references of the standard table: names that need their semicolon with it,
+    the others also without."""
+    entries = "\x1e".join(f"{name}\x1f{text}" for name, text in html5.items())
+    return F.str_to_map(F.lit(entries), F.lit("\x1e"), F.lit("\x1f"))
 
 
 def _bare_references() -> str:
@@ -76,18 +77,24 @@ def _reference(piece: Column) -> Column:
     point = F.when(
         number.rlike("^#[xX]"), F.conv(digits, 16, 10).try_cast("bigint")
     ).otherwise(F.regexp_extract(piece, r"^#([0-9]+)", 1).try_cast("bigint"))
-    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-    named = F.when(name == "amp", F.lit("&")).when(name == "nbsp", F.lit(" ")).when(
-        name != "", F.try_element_at(_named_references(), name))
+    name = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*;", 0)
     bare = F.regexp_extract(piece, _bare_references(), 1)
-    after = lambda skipped: F.substring(piece, skipped + 1, F.length(piece))
+    after = lambda skipped: F.substring(piece, F.length(skipped) + 1, F.length(piece))
+
+    def by_name(known: Column) -> Column:
+        return (
+            F.when(known["name"].isNotNull(), F.concat(known["name"], after(name)))
+            .when(known["bare"].isNotNull(), F.concat(known["bare"], after(bare)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    look_up = let(_references(), lambda table: let(
+        F.struct(F.try_element_at(table, name).alias("name"), F.try_element_at(table, bare).alias("bare")), by_name))
     return (
-        F.when(number != "", F.concat(_character(point), after(F.length(number))))
-        .when(named.isNotNull(), F.concat(named, after(F.length(name) + 1)))
-        .when(bare != "", F.concat(F.try_element_at(
-            F.from_json(F.lit(json.dumps({n: t for n, t in html5.items() if not n.endswith(";")})),
-                        "map<string,string>"), bare), after(F.length(bare))))
-        .otherwise(F.concat(F.lit("&"), piece))
+        F.when(number != "", F.concat(_character(point), after(number)))
+        .when(piece.startswith("amp;"), F.concat(F.lit("&"), F.substring(piece, F.lit(5), F.length(piece))))
+        .when((name == "") & (bare == ""), F.concat(F.lit("&"), piece))
+        .otherwise(look_up)
     )
 
 
@@ -102,58 +109,74 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 
-def strip_tags(markup: Column) -> Column:
-    """Tags to blanks, references decoded, blanks collapsed (line ends stay), trimmed."""
-    text = decode_entities(F.regexp_replace(markup, "<[^>]+>", " "))
+_LINE, _PART, _OPEN, _CLOSE = "\x05", "\x04", "\x02", "\x03"
+
+
+def _tidy(text: Column) -> Column:
+    """Blanks collapsed (line ends stay), trimmed."""
     return F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), _EDGES, "")
 
 
-def title(html: Column) -> Column:
-    return F.nullif(F.substring(strip_tags(F.regexp_extract(html, TITLE_PATTERN, 1)), 1, TITLE_LENGTH), F.lit(""))
+def _main_markup(html: Column) -> Column:
+    """Lines of text outside navigation, headers, footers and scripts, links marked, references
+    not yet decoded."""
+    body = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    body = F.regexp_replace(body, rf"(?is)<({_DROPPED})\b[^>]*>.*?</\1\s*>", " ")
+    body = F.regexp_replace(body, r"\s+", " ")
+    body = F.regexp_replace(body, rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n")
+    body = F.regexp_replace(body, r"(?i)<a\b[^>]*>", _OPEN)
+    body = F.regexp_replace(body, r"(?i)</a\s*>", _CLOSE)
+    return F.regexp_replace(body, "<[^>]+>", "")  # what is left stands inside words
 
 
-def meta_description(html: Column) -> Column:
-    return F.nullif(strip_tags(F.regexp_extract(html, DESCRIPTION_PATTERN, 1)), F.lit(""))
+def _main_text(lines: Column) -> Column:
+    """The lines joined. Lines that hold nothing but links are dropped, repeated ones kept once."""
+    own = F.filter(
+        F.split(lines, "\n"),
+        lambda b: F.regexp_replace(F.regexp_replace(b, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", ""), rf"[\s\p{{Z}}{_OPEN}{_CLOSE}]+", "") != "",
+    )
+    clean = F.transform(
+        own, lambda b: F.trim(F.regexp_replace(F.translate(b, _OPEN + _CLOSE, ""), r"[\s\p{Z}]+", " ")))
+    return F.array_join(F.array_distinct(clean), "\n")
 
 
-def footer_lines(html: Column) -> Column:
+def _footer_lines(lines: Column) -> Column:
     """Up to two different copyright lines of the site itself, in page order."""
-    lines = F.transform(F.regexp_extract_all(html, F.lit(COPYRIGHT_PATTERN), F.lit(0)), strip_tags)
     own = F.filter(
-        lines,
+        F.transform(F.split(lines, _LINE), _tidy),
         lambda line: ~F.lower(line).rlike(THIRD_PARTY_NOTICES) & (F.length(line) > FOOTER_MIN_LENGTH),
     )
 
     def first_of_each(kept: Column) -> Column:
         return let(
-            F.transform(kept, F.lower),
+            F.transform(kept, lambda x: F.lower(x)),
             lambda keys: F.filter(kept, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1),
         )
 
     return F.slice(let(own, first_of_each), 1, FOOTER_LINES)
 
 
-def main_text(html: Column) -> Column:
-    """Text blocks outside navigation, headers, footers and scripts, one per line.
+def page_parts(html: Column) -> Column:
+    """Struct of title, description (null when absent), body and footer (array) of a page.
 
-    Blocks that hold nothing but links are dropped, and a repeated block is kept once.
+    The parts are cut from the markup first and decoded together, in one pass.
     """
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    body = F.regexp_replace(body, rf"(?is)<({_DROPPED})\b[^>]*>.*?</\1\s*>", " ")
-    body = F.regexp_replace(body, r"[\s\x02\x03]+", " ")
-    body = F.regexp_replace(body, rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n")
-    body = F.regexp_replace(body, r"(?i)<a\b[^>]*>", "\x02")
-    body = F.regexp_replace(body, r"(?i)</a\s*>", "\x03")
-    body = decode_entities(F.regexp_replace(body, "<[^>]+>", " "))
-    blocks = F.filter(
-        F.split(body, "\n"),
-        lambda b: F.regexp_replace(F.regexp_replace(b, "\x02[^\x03]*\x03", ""), r"[\s\p{Z}\x02\x03]+", "") != "",
+    markup = F.translate(html, _OPEN + _CLOSE + _PART + _LINE, "    ")
+    untagged = lambda m: F.regexp_replace(m, "<[^>]+>", " ")
+    notices = F.transform(F.regexp_extract_all(markup, F.lit(COPYRIGHT_PATTERN), F.lit(0)), untagged)
+    raw = F.concat_ws(
+        _PART,
+        untagged(F.regexp_extract(markup, TITLE_PATTERN, 1)),
+        untagged(F.regexp_extract(markup, DESCRIPTION_PATTERN, 1)),
+        _main_markup(markup),
+        F.array_join(notices, _LINE),
     )
-    lines = F.transform(
-        blocks,
-        lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, "[\x02\x03]", ""), r"[\s\p{Z}]+", " ")),
-    )
-    return F.array_join(F.array_distinct(lines), "\n")
+    return let(F.split(decode_entities(raw), _PART), lambda part: F.struct(
+        F.nullif(F.substring(_tidy(part[0]), 1, TITLE_LENGTH), F.lit("")).alias("title"),
+        F.nullif(_tidy(part[1]), F.lit("")).alias("description"),
+        _main_text(part[2]).alias("body"),
+        _footer_lines(part[3]).alias("footer"),
+    ))
 
 
 def page_text(html: Column, cap: int | None = None) -> Column:
@@ -161,19 +184,17 @@ def page_text(html: Column, cap: int | None = None) -> Column:
 
     ``cap`` bounds the main text for model prompts; by default the whole text is kept.
     """
-    body = main_text(html)
-    if cap is not None:
-        body = F.substring(body, 1, cap)
-    footer = F.array_join(footer_lines(html), " | ")
-    parts = F.array_compact(
-        F.array(
-            F.concat(F.lit("Page title: "), title(html)),
-            F.concat(F.lit("Meta description: "), meta_description(html)),
+    def join(page: Column) -> Column:
+        body = page["body"] if cap is None else F.substring(page["body"], 1, cap)
+        parts = F.array_compact(F.array(
+            F.concat(F.lit("Page title: "), page["title"]),
+            F.concat(F.lit("Meta description: "), page["description"]),
             F.nullif(body, F.lit("")),
-            F.when(footer != "", F.concat(F.lit("Footer: "), footer)),
-        )
-    )
-    return F.regexp_replace(strip_nul(F.array_join(parts, "\n\n")), _EDGES, "")
+            F.when(F.size(page["footer"]) > 0, F.concat(F.lit("Footer: "), F.array_join(page["footer"], " | "))),
+        ))
+        return F.regexp_replace(strip_nul(F.array_join(parts, "\n\n")), _EDGES, "")
+
+    return let(page_parts(html), join)
 
 
 def internal_links(html: Column, base: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import urls
 from attesta.functions.numbers import let
+from attesta.session import with_computed
 from attesta.sources.crawl import usable
 
 MAX_PAGES = 6
@@ -60,17 +61,17 @@ def plan_pages(sites: DataFrame) -> DataFrame:
     nav = F.filter(
         "content_links", lambda u: ~_is_root(urls.path_of(u)) & (u != F.col("home_url")))
     guessed = F.array(*[F.concat(F.col("base"), F.lit(p)) for p in GUESSED_PATHS])
-    planned = (
-        sites.withColumn("content_links", F.filter("links", lambda u: ~urls.is_asset(u)))
-        .withColumn("base", base)
-        .withColumn("picked", pick_pages(F.col("content_links"), F.array("home_url")))
-        .withColumn("picked", F.when(F.size("picked") < 3, F.array_union("picked", from_map)).otherwise(F.col("picked")))
-        .withColumn("filled", F.when(F.size("picked") < MAX_PAGES - 1, F.array_union("picked", nav)).otherwise(F.col("picked")))
-        .withColumn("filled", F.when(F.size("filled") == 0, guessed).otherwise(F.col("filled")))
-    )
-    return planned.withColumn(
-        "urls", F.slice(F.concat(F.array("home_url"), F.col("filled")), 1, MAX_PAGES)
-    ).drop("content_links", "base", "picked", "filled")
+    # each step is computed once per site; projected, they would be inlined into one another
+    rows = sites.withColumn("base", base)
+    rows = with_computed(rows, "content_links", F.filter("links", lambda u: ~urls.is_asset(u)))
+    rows = with_computed(rows, "picked", pick_pages(F.col("content_links"), F.array("home_url")))
+    rows = with_computed(
+        rows, "picked", F.when(F.size("picked") < 3, F.array_union("picked", from_map)).otherwise(F.col("picked")))
+    rows = with_computed(
+        rows, "filled", F.when(F.size("picked") < MAX_PAGES - 1, F.array_union("picked", nav)).otherwise(F.col("picked")))
+    chosen = F.when(F.size("filled") == 0, guessed).otherwise(F.col("filled"))
+    return rows.withColumn("urls", F.slice(F.concat(F.array("home_url"), chosen), 1, MAX_PAGES)).select(
+        *sites.columns, "urls")
 
 
 def plan_from_cache(fresh_pages: DataFrame) -> DataFrame:

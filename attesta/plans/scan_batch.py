@@ -84,7 +84,8 @@ def run_scans(
     """
     spark = worklist.sparkSession
     sites = worklist.select("domain").distinct()
-    texts = page_texts(raw_pages).join(sites, "domain", "left_semi")
+    # several steps of the plan read the texts: parse the markup once
+    texts = stage(page_texts(raw_pages).join(sites, "domain", "left_semi"), f"{folder}/texts")
     planned = plan_landed_pages(texts).withColumn("outcome", F.lit("ok"))
     planned = stage(planned, f"{folder}/pages")
 

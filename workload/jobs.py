@@ -11,7 +11,6 @@ from attesta.plans.scan_batch import run_scans
 from attesta.schemas import CRITERIA
 from attesta.session import literal_relation, new_folder
 from attesta.sinks import tables as K
-from attesta.sources.presets import preset_profiles
 from workload import proxies as P
 from workload.verdicts import LINES_SQL, stored_facts
 
@@ -67,10 +66,14 @@ def scan_outputs(spark, sf_dir):
 
 
 def profile_compile(spark, sf_dir):
-    """The preset profiles compiled by rule, and how many documents use each criterion's words."""
-    compiled = M.compile_criteria(preset_profiles(spark)).select("name", F.posexplode("criteria").alias("pos", "c"))
-    docs = P.table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"))
-    return compiled.crossJoin(docs).select("name", "pos", "c.key", "c.weight", "c.polarity", "n_docs")
+    """Customers as profiles whose description follows from their columns, compiled by rule."""
+    c = P.table(spark, sf_dir, "customer")
+    text = F.concat(
+        F.lit("Shops for "), F.lower("c_mktsegment"), F.when(F.col("c_acctbal") > 0, F.lit(", family-run, 20+ Years old")).otherwise(F.lit("")),
+        F.when(F.col("c_nationkey") < 10, F.lit(", hiring now")).otherwise(F.lit("")), F.lit(". Avoid FRANCHISES."))
+    profiles = c.select(F.col("c_custkey").alias("profile_id"), text.alias("description_text"))
+    return M.compile_criteria(profiles).select("profile_id", F.posexplode("criteria").alias("pos", "c")).select(
+        "profile_id", "pos", "c.key", "c.weight", "c.polarity")
 
 
 def _batch_profiles(spark):
@@ -137,6 +140,10 @@ per_case AS (
 _BASE = f"WITH {P.RESULTS_SQL}, {LINES_SQL}, {_CASES}"
 
 ORACLE = {
+    "profile_compile": """
+      WITH k AS (SELECT c_custkey AS profile_id, list_concat(CASE WHEN c_acctbal > 0 THEN [('owner_operated', 5, 'positive'), ('in_business_20_years', 4, 'positive')] ELSE [] END,
+                   CASE WHEN c_nationkey < 10 THEN [('active_hiring', 4, 'positive')] ELSE [] END, [('franchise_or_group', 4, 'negative')]) AS l FROM customer)
+      SELECT profile_id, CAST(i - 1 AS INTEGER) AS pos, l[i][1] AS key, CAST(l[i][2] AS INTEGER) AS weight, l[i][3] AS polarity FROM k, range(1, 6) r(i) WHERE i <= len(l)""",
     "golden_cases": f"""WITH {P.RESULTS_SQL}, {_CASES}
       SELECT scan_id, domain, 'COSTS 1|qty ' || domain[1] AS facts, criterion_key AS key, expected AS accepted FROM want JOIN cases USING (scan_id)""",
     "eval_agreement": _BASE + " SELECT * FROM agree",
