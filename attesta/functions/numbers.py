@@ -18,12 +18,12 @@ def round1(x: Column) -> Column:
 
     ``round``/``bround`` look at the shortest decimal text, which turns 22.95 (stored slightly
     below) into a tie. Here ten times the value is formed as 8x + 2x, both exact, together with
-    the rounding error of their sum, so the comparison against one half is exact; true ties go to
+    the rounding error of their sum, which tells a seeming tie from a true one; true ties go to
     the even digit.
     """
     tens = x * F.lit(8.0) + x * F.lit(2.0)
     lost = x * F.lit(2.0) - (tens - x * F.lit(8.0))
-    low = F.floor(tens).cast("double")
-    side = (tens - low - F.lit(0.5)) + lost
-    even = low % F.lit(2.0) == 0
-    return F.when((side > 0) | ((side == 0) & ~even), low + 1).otherwise(low) / F.lit(10.0)
+    # rounding the sum cannot carry it past a tie, only onto one
+    seems_tied = (tens - F.floor(tens) == 0.5) & (lost != 0)
+    return F.when(seems_tied, F.when(lost > 0, F.ceil(tens)).otherwise(F.floor(tens)).cast("double")).otherwise(
+        F.rint(tens)) / F.lit(10.0)

@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.operators.answers import parse_answers
 from attesta.operators.criteria import clean_criteria
 from attesta.operators.notes import feedback, note_problem
-from attesta.session import literal_relation, stage
+from attesta.session import stage
 
 Model = Callable[[pd.Series], pd.Series]
 
@@ -83,17 +83,16 @@ def compile_criteria(profiles: DataFrame, model: Model | None = None) -> DataFra
 
 
 # ---------------------------------------------------------------- verdicts
-def ruled_judgments(spark: SparkSession, scans: DataFrame, criteria: DataFrame, offered: DataFrame) -> DataFrame:
+def ruled_judgments(scans: DataFrame, criteria: DataFrame, offered: DataFrame) -> DataFrame:
     """A criterion is met when a fact of the category its words point to is offered, which is cited.
 
     scans: scan_id, profile_id; criteria: profile_id, criterion_key, pos, label, test.
     """
-    schema = T.StructType([T.StructField("words", T.StringType()), T.StructField("category", T.StringType())])
-    words = literal_relation(spark, CRITERION_WORDS, schema)
     text = F.lower(F.concat_ws(" ", "criterion_key", "label", "test"))
-    # criteria (at most eight a profile) against nine fixed rules: the rules are a constant
-    pointed = criteria.join(F.broadcast(words), F.rlike(text, F.col("words"))).select(
-        "profile_id", "criterion_key", "pos", "category").distinct()
+    rules = F.array(*[F.struct(F.lit(w).alias("words"), F.lit(c).alias("category")) for w, c in CRITERION_WORDS])
+    pointed = criteria.select(
+        "profile_id", "criterion_key", "pos", F.explode(F.filter(rules, lambda r: F.rlike(text, r["words"]))).alias("r")
+    ).select("profile_id", "criterion_key", "pos", "r.category")
     first = offered.groupBy("scan_id", "category").agg(F.min("id").alias("id"))
     hits = scans.select("scan_id", "profile_id").join(first, "scan_id").join(pointed, ["profile_id", "category"])
     return hits.groupBy("scan_id", "criterion_key").agg(

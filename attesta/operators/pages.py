@@ -77,18 +77,21 @@ def plan_pages(sites: DataFrame) -> DataFrame:
 def plan_from_cache(fresh_pages: DataFrame) -> DataFrame:
     """Sites whose recent crawl can be reused: a home page and at least one more page are cached.
 
-    Six rows per site at most; Spark trims each task's rows to that before the shuffle.
+    Home page first, then as fetched, six rows per site at most. The home page comes from a partial
+    aggregate and the others from a ranking that Spark trims to six rows in every task, so a site
+    with a large part of all pages is never gathered in one.
     """
+    rows = fresh_pages.select("domain", "url", "fetched_at")
     root = _is_root(urls.path_of(F.col("url")))
     home = F.min_by(F.when(root, F.col("url")), F.when(root, F.struct("fetched_at", "url")))
-    sites = fresh_pages.groupBy("domain").agg(F.count("*").alias("cached"), home.alias("home_url")).filter(
-        (F.col("cached") >= 2) & F.col("home_url").isNotNull())
-    rows = fresh_pages.select("domain", "url", "fetched_at").join(sites.select("domain", "home_url"), "domain")
-    order = W.partitionBy("domain").orderBy((F.col("url") != F.col("home_url")), "fetched_at", "url")
-    return (
-        rows.withColumn("plan_pos", F.row_number().over(order)).filter(F.col("plan_pos") <= MAX_PAGES)
-        .select("domain", "plan_pos", "url")
-    )
+    sites = rows.groupBy("domain").agg(F.count("*").alias("cached"), home.alias("home_url")).filter(
+        (F.col("cached") >= 2) & F.col("home_url").isNotNull()).drop("cached")
+    fetched = W.partitionBy("domain").orderBy("fetched_at", "url")
+    first = rows.withColumn("n", F.row_number().over(fetched)).filter(F.col("n") <= MAX_PAGES)
+    others = sites.join(first, "domain").filter(F.col("url") != F.col("home_url"))
+    placed = others.withColumn("plan_pos", F.row_number().over(fetched) + 1).filter(F.col("plan_pos") <= MAX_PAGES)
+    return sites.select("domain", F.lit(1).alias("plan_pos"), F.col("home_url").alias("url")).unionByName(
+        placed.select("domain", "plan_pos", "url"))
 
 
 def site_content(fetched: DataFrame, *keys: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from attesta.functions.numbers import round1
 from attesta.functions.text import content_hash
 from attesta.schemas import DECISIVE
+from attesta.session import with_computed
 
 SCORING_VERSION = 2  # part of the fingerprint: raising it retires stored scans
 MAX_CRITERIA = 8
@@ -43,7 +44,7 @@ def criterion_rows(profiles: DataFrame) -> DataFrame:
     exploded = profile_totals(profiles, "criteria").select(
         "profile_id", "total_weight", "positives", F.posexplode("criteria").alias("pos", "c")
     )
-    share = round1(F.lit(100.0) * F.col("weight") / F.col("total_weight"))
+    share = round1(F.try_divide(F.lit(100.0) * F.col("weight"), F.col("total_weight")))
     return exploded.select(
         "profile_id", "total_weight", "positives", "pos",
         F.col("c.key").alias("criterion_key"),
@@ -112,21 +113,22 @@ def score_scans(
             *penalties,
             *extra,
         )
-        .withColumn("penalty_sum", reduce(lambda a, b: a + b, [F.col(f"p{i}") for i in range(MAX_CRITERIA)]))
-        .drop(*[f"p{i}" for i in range(MAX_CRITERIA)])
     )
-    raw = F.greatest(
-        F.lit(0.0), F.lit(100.0) * F.col("earned_weight") / F.col("known_weight") - F.col("penalty_sum")
+    base = F.try_divide(F.lit(100.0) * F.col("earned_weight"), F.col("known_weight"))
+    penalty = reduce(lambda a, b: a + b, [F.col(f"p{i}") for i in range(MAX_CRITERIA)])
+    raw = F.struct(
+        F.greatest(F.lit(0.0), base - penalty).alias("score"),
+        F.try_divide(F.lit(100.0) * F.col("n_known"), F.col("positives")).alias("coverage"),
+        penalty.alias("penalty"),
     )
-    return summed.withColumns(
+    # computed apart, because rounding refers to its argument many times
+    return with_computed(summed, "raw", raw).withColumns(
         {
-            "score": F.when(F.col("known_weight") > 0, round1(raw)),
-            "coverage": F.when(
-                F.col("positives") > 0, round1(F.lit(100.0) * F.col("n_known") / F.col("positives"))
-            ).otherwise(F.lit(0.0)),
-            "penalty": round1(F.col("penalty_sum")),
+            "score": F.when(F.col("known_weight") > 0, round1(F.col("raw.score"))),
+            "coverage": F.when(F.col("positives") > 0, round1(F.col("raw.coverage"))).otherwise(F.lit(0.0)),
+            "penalty": round1(F.col("raw.penalty")),
         }
-    ).drop("penalty_sum")
+    ).drop("raw", *[f"p{i}" for i in range(MAX_CRITERIA)])
 
 
 def score_breakdown(scans: DataFrame, profiles: DataFrame, results: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def score_breakdown(scans: DataFrame, profiles: DataFrame, results: DataFrame) -
         F.when(counted & is_met(), F.lit(100)).otherwise(F.lit(0)).alias("earned_pct"),
         F.when(
             is_red_flag() & (F.col("total_weight") > 0),
-            whole(F.lit(100.0) * F.col("weight") / F.col("total_weight")),
+            whole(F.try_divide(F.lit(100.0) * F.col("weight"), F.col("total_weight"))),
         ).otherwise(F.lit(0)).alias("penalty_points"),
     )
 

@@ -42,11 +42,11 @@ def plan_landed_pages(pages: DataFrame) -> DataFrame:
     as fetched. The cap is the page plan's."""
     candidates = pages.filter(F.coalesce("text", F.lit("")) != "")
     planned = G.plan_from_cache(candidates)
-    alone = candidates.join(planned.select("domain").distinct(), "domain", "left_anti")
     order = F.struct((~F.col("url").rlike(r"^[^:]+://[^/]*/?$")).alias("deep"), "fetched_at", "url")
-    first = alone.groupBy("domain").agg(F.min(order).alias("o")).select(
+    first = candidates.groupBy("domain").agg(F.min(order).alias("o"))
+    alone = first.join(planned.filter("plan_pos = 1").select("domain"), "domain", "left_anti").select(
         "domain", F.lit(1).alias("plan_pos"), F.col("o.url").alias("url"))
-    return planned.unionByName(first).join(candidates, ["domain", "url"])
+    return planned.unionByName(alone).join(candidates, ["domain", "url"])
 
 
 def site_facts(pages: DataFrame, records_of_site: DataFrame, model: M.Model | None = None, fuzzy: bool = True) -> DataFrame:
@@ -82,7 +82,6 @@ def run_scans(
     criteria; raw_pages: url, html, fetched_at, via; enrichments: domain, kind, payload, fallback,
     fetched_at.
     """
-    spark = worklist.sparkSession
     sites = worklist.select("domain").distinct()
     # several steps of the plan read the texts: parse the markup once
     texts = stage(page_texts(raw_pages).join(sites, "domain", "left_semi"), f"{folder}/texts")
@@ -112,7 +111,7 @@ def run_scans(
     errors = None
     to_judge = scans.filter(F.col("no_evidence_reason").isNull())
     if judge is None:
-        judgments = M.ruled_judgments(spark, to_judge, criteria, offered)
+        judgments = M.ruled_judgments(to_judge, criteria, offered)
     else:
         about = to_judge.withColumns({
             "pages": F.lit(None).cast("string"), "records": F.lit(None).cast("string")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -59,22 +60,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 def literal_relation(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """A constant relation planned inside the JVM; its size is fixed by the code that calls it."""
-    if not rows:
-        return spark.sql("SELECT 1 AS one").select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-        ).limit(0)
-    structs = [
-        F.struct(*[_literal(value, field.dataType).alias(field.name) for value, field in zip(row, schema)])
-        for row in rows
-    ]
-    return spark.sql("SELECT 1 AS one").select(F.inline(F.array(*structs)))
-
-
-def _literal(value, data_type: T.DataType) -> Column:
+    text = json.dumps([_named(row, schema) for row in rows])
+    return spark.sql("SELECT 1 AS one").select(F.inline(F.from_json(F.lit(text), T.ArrayType(schema))))
+
+
+def _named(value, data_type: T.DataType):
     if value is None:
-        return F.lit(None).cast(data_type)
+        return None
     if isinstance(data_type, T.ArrayType):
-        return F.array(*[_literal(v, data_type.elementType) for v in value]).cast(data_type)
+        return [_named(v, data_type.elementType) for v in value]
     if isinstance(data_type, T.StructType):
-        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, data_type)])
-    return F.lit(value).cast(data_type)
+        return {f.name: _named(v, f.dataType) for v, f in zip(value, data_type)}
+    return value
