@@ -53,12 +53,12 @@ def distinct_facts(facts: DataFrame) -> DataFrame:
     """The first of all facts of a scan that say the same. This comes before grounding, so an
     unfounded first copy also suppresses a founded later one."""
     payload = [c for c in facts.columns if c not in ("scan_id", "arrival")]
+    # generated, so that the matching form is worked out once; empty statements drop out here
+    said = facts.select("*", F.explode(F.filter(F.array(normalize(F.col("fact"))), lambda s: s != "")).alias("said"))
     return (
-        facts.withColumn("said", normalize(F.col("fact")))
-        .filter("said <> ''")
-        .groupBy("scan_id", "said")
+        said.groupBy("scan_id", "said")
         .agg(F.min_by(F.struct(*payload, "arrival"), "arrival").alias("row"))
-        .select("scan_id", "row.*")
+        .select("scan_id", "said", "row.*")
     )
 
 
@@ -80,7 +80,7 @@ def page_facts(facts: DataFrame, pages: DataFrame, limit: int = MAX_FACTS, fuzzy
     numbered = distinct_facts(facts).withColumn(
         "fact_id", (F.col("arrival.page") * 2 + F.col("arrival.source")) * 1_000_000 + F.col("arrival.pos"))
     grounded = ground_facts(numbered, pages, fuzzy).withColumn(
-        "grounding", demote_new_numbers(F.col("grounding"), F.col("fact"), F.col("evidence_quote")))
+        "grounding", demote_new_numbers(F.col("grounding"), F.col("said"), F.col("evidence_quote")))
     ranked = rank_facts(grounded, limit).withColumn("page_url", F.coalesce("matched_url", "source_url"))
     if "display_url" in pages.columns:
         shown = pages.select("scan_id", F.col("url").alias("page_url"), "display_url")
