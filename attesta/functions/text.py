@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.functions.numbers import let
 
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
@@ -103,7 +102,3 @@ def strip_markers(note: Column) -> Column:
     bare = F.regexp_replace(note, r"\s*\[F\d+\]", " ")
     bare = F.replace(F.replace(bare, F.lit(" ."), F.lit(".")), F.lit(" ,"), F.lit(","))
     return F.regexp_replace(bare, r"^\s+|\s+$", "")
-
-
-def words_of(text: Column, body) -> Column:
-    return let(F.split(text, " "), body)

@@ -8,7 +8,6 @@ from attesta.functions.text import content_hash
 from attesta.operators import cache as C
 from attesta.operators import traffic as T
 from attesta.operators.scoring import criteria_hash
-from attesta.sources.crawl import page_texts
 from workload import proxies as P
 
 AS_OF = "2000-01-01 00:00:00"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attesta.operators import answers as A
 from attesta.operators import criteria as C
