@@ -42,6 +42,8 @@ DESCRIPTION_WORDS = (
     ("hiring|open roles", "active_hiring", "Active hiring", 4, "Are there open jobs?", "positive"),
     ("multiple locations|expansion", "several_locations", "Several locations", 3, "Are there several locations?", "positive"),
     ("online booking|web stack|website", "digital_presence", "Digital presence", 2, "Is there online booking or technology?", "positive"),
+    ("decision-maker", "named_decision_maker", "Named decision-maker", 3, "Is an owner or manager named?", "positive"),
+    ("certification|award", "certified_or_awarded", "Certified or awarded", 1, "Are certifications or awards stated?", "positive"),
     ("franchise|private-equity|larger group", "franchise_or_group", "Franchise or group", 4, "Is it a franchise or part of a group?", "negative"),
 )
 

@@ -319,3 +319,32 @@ def test_page_plan(spark):
     assert plan([]) == ["/", "/about", "/team", "/careers", "/contact"]
     assert plan(["/logo.png", "/z", "/contact-us", "/our-story", "/y", "/x", "/w", "/v"]) == ["/", "/our-story", "/contact-us", "/z", "/y", "/x"]
     assert plan(["/about"], ["/about", "/company", "/jobs"]) == ["/", "/about", "/company", "/jobs"]
+
+
+def test_presets_and_lookup(spark):
+    from attesta.operators.criteria import compile_problem, needs_compile
+    from attesta.operators.models import compile_criteria
+    from attesta.sources.presets import lookup_profiles, preset_profiles
+
+    presets = preset_profiles(spark)
+    compiled = compile_criteria(presets)
+    assert {r.name: 4 <= len(r.criteria) <= 8 for r in compiled.collect()} == {"Search-fund buy-box": True, "B2B sales ICP": True}
+    state = compiled.withColumn("description_hash", F.lit(None).cast("string"))
+    assert [tuple(r) for r in state.select(needs_compile(), compile_problem()).collect()] == [(True, "preset")] * 2
+    stored = spark.createDataFrame([(1, "Search-fund buy-box"), (2, "B2B sales ICP"), (3, "7")], "profile_id long, profile_name string")
+    asked = spark.createDataFrame([("buybox",), ("2",), ("B2B sales ICP",), ("7",), ("nobody",)], "wanted string")
+    assert {r.wanted: r.profile_id for r in lookup_profiles(asked, stored).collect()} == {
+        "buybox": 1, "2": 2, "B2B sales ICP": 2, "7": 3, "nobody": None}
+
+
+def test_record_payloads(spark):
+    from attesta.sources import records
+
+    events = '{"events":[{"eventAction":"Registration","eventDate":"2001-02-03T00:00:00Z"},{"eventAction":"registration","eventDate":"2002-03-04"},{"eventAction":"expiration"}]}'
+    d = spark.range(1).select(records.registration_dates(F.lit(events), F.to_date(F.lit("2025-01-01"))).alias("d")).head().d
+    assert (d.ok, d.registered, d.expires, d.domain_age_years) == (True, "2002-03-04", None, 23)
+    near = '{"archived_snapshots":{"closest":{"available":true,"url":"u","timestamp":"19990102030405"}}}'
+    capture = lambda index, near: spark.range(1).select(records.first_capture(F.lit(index), F.lit(near)).alias("c")).head().c
+    assert tuple(capture('[["timestamp"],["20050607080910"]]', near)) == ("2005-06-07", 2005, False)
+    assert tuple(capture('[["timestamp"]]', near)) == ("1999-01-02", 1999, True)
+    assert capture("[]", '{"archived_snapshots":{}}') is None
