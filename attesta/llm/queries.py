@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.llm import bpe
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -15,6 +17,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def bpe_codec(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    path = public_tokenizers.path(vocabulary)
+    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+
+
 _EXACT_SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
@@ -27,6 +34,7 @@ FROM t JOIN g USING (body)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup,
+    "op9_bpe_codec": bpe_codec,
 }
 
 ORACLE = {
