@@ -29,7 +29,9 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str, most_bytes: int, most_rows: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, cut so that the texts of a piece stay near ``most_bytes``.
 
     A single longer text makes a piece of its own: texts are never cut.
@@ -40,6 +42,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
+            stop = min(stop, start + most_rows)
             yield batch.slice(start, stop - start)
             start = stop
 

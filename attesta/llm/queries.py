@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe
+from attesta.llm import bpe, language, toxicity
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -22,6 +22,16 @@ def bpe_codec(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 _EXACT_SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
@@ -34,7 +44,9 @@ FROM t JOIN g USING (body)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup,
+    "op7_toxicity": toxic_documents,
     "op9_bpe_codec": bpe_codec,
+    "op10_language_id": language_id,
 }
 
 ORACLE = {
