@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, language, simhash, toxicity
+from attesta.llm import bpe, kneser_ney, language, simhash, toxicity
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -27,6 +27,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(docs))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.learn(docs))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ FROM t JOIN g USING (body)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup,
+    "op4_kneser_ney": language_model,
     "op6_simhash_groups": near_dedup,
     "op7_toxicity": toxic_documents,
     "op9_bpe_codec": bpe_codec,
