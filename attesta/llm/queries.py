@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, kneser_ney, language, simhash, toxicity
+from attesta.llm import bpe, kneser_ney, language, packing, simhash, toxicity
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -27,6 +27,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(docs))
 
 
+def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return kneser_ney.score(docs, kneser_ney.learn(docs))
@@ -53,6 +57,7 @@ FROM t JOIN g USING (body)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup,
+    "op2_length_buckets": length_buckets,
     "op4_kneser_ney": language_model,
     "op6_simhash_groups": near_dedup,
     "op7_toxicity": toxic_documents,
@@ -62,4 +67,5 @@ QUERIES = {
 
 ORACLE = {
     "op1_exact_dedup": _EXACT_SQL,
+    "op2_length_buckets": packing.pack_sql(),
 }
