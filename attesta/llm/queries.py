@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm import bpe, kneser_ney, language, packing, simhash, toxicity
+from attesta.llm import bpe, kneser_ney, language, packing, quality, simhash, toxicity
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -31,6 +32,11 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = quality.clean(_table(spark, sf_dir, "documents"))
+    return cleaned.withColumn("cleaned_sha256", F.sha2("cleaned_text", 256)).drop("cleaned_text")
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return kneser_ney.score(docs, kneser_ney.learn(docs))
@@ -58,6 +64,7 @@ FROM t JOIN g USING (body)
 QUERIES = {
     "op1_exact_dedup": exact_dedup,
     "op2_length_buckets": length_buckets,
+    "op3_line_quality": line_quality,
     "op4_kneser_ney": language_model,
     "op6_simhash_groups": near_dedup,
     "op7_toxicity": toxic_documents,
@@ -68,4 +75,5 @@ QUERIES = {
 ORACLE = {
     "op1_exact_dedup": _EXACT_SQL,
     "op2_length_buckets": packing.pack_sql(),
+    "op3_line_quality": quality.clean_sql(),
 }
