@@ -15,7 +15,7 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: A line of at least this many characters other than blanks fails above this share of marks.
 DENSE_CHARS, DENSE_PERCENT = 20, 20
-MARKS = r"[!-/:-@\[-`{-~]"
+MARKS = r"!-/:-@\[-`{-~"
 #: Lines of entries between separators: so many separators, and so few words an entry.
 SEPARATORS, ENTRY_WORDS = 2, 4
 SEPARATOR = r"[|»›•·]"
@@ -24,9 +24,11 @@ MENU = (
     r"|about( us)?|sitemap|help|faq)\.?$"
 )
 BOILERPLATE = (
-    r"all rights reserved|terms of (use|service)|privacy policy|cookie|newsletter|subscribe|click here|read more"
-    r"|enable javascript|copyright|©"
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "newsletter", "subscribe",
+    "click here", "read more", "enable javascript", "copyright", "©",
 )
+#: No menu entry is longer.
+MENU_CHARS = 30
 #: Documents that lose more than this share of their characters are rejected.
 MOST_LOST_PERCENT = 50
 FEWEST_WORDS = 50
@@ -40,15 +42,32 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
-def _line_fails(line: Column) -> Column:
-    """The rules: nothing but marks, too many marks, entries of a menu, boilerplate."""
-    plain = F.regexp_replace(line, GAP, "")
-    marks, low = _count(plain, MARKS), F.lower(F.regexp_replace(line, f"^{GAP}|{GAP}$", ""))
-    chars, separators = F.length(plain), _count(line, SEPARATOR)
-    bare = marks == chars
-    dense = (chars >= DENSE_CHARS) & (marks * 100 > chars * DENSE_PERCENT)
-    entries = (separators >= SEPARATORS) & (F.size(_words(line)) <= (separators + 1) * ENTRY_WORDS)
-    return bare | dense | entries | low.rlike(MENU) | low.rlike(BOILERPLATE)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, though used several times."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _judged(line: Column) -> Column:
+    """The line, its characters other than blanks, and whether a rule fails it.
+
+    The rules: nothing but marks, too many marks, entries of a menu, boilerplate.
+    """
+    chars = F.length(F.regexp_replace(line, GAP, ""))
+    marks = chars - F.length(F.regexp_replace(line, rf"[\x20\x09-\x0D{MARKS}]+", ""))
+    separators = F.when(line.rlike(SEPARATOR), _count(line, SEPARATOR)).otherwise(F.lit(0))
+    facts = F.struct(chars.alias("chars"), marks.alias("marks"), separators.alias("separators"), F.lower(line).alias("low"))
+
+    def verdict(f: Column) -> Column:
+        bare = f["marks"] == f["chars"]
+        dense = (f["chars"] >= DENSE_CHARS) & (f["marks"] * 100 > f["chars"] * DENSE_PERCENT)
+        entries = (f["separators"] >= SEPARATORS) & (F.size(_words(line)) <= (f["separators"] + 1) * ENTRY_WORDS)
+        menu = (f["chars"] <= MENU_CHARS) & F.regexp_replace(f["low"], f"^{GAP}|{GAP}$", "").rlike(MENU)
+        fails = bare | dense | entries | menu
+        for phrase in BOILERPLATE:
+            fails = fails | f["low"].contains(phrase)
+        return F.struct(line.alias("line"), f["chars"].alias("chars"), fails.alias("fails"))
+
+    return _bound(facts, verdict)
 
 
 def _repeated(words: Column) -> Column:
@@ -56,20 +75,19 @@ def _repeated(words: Column) -> Column:
     last = F.size(words) - 3
     windows = F.transform(
         F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.alias("i")),
+        lambda i: F.struct(words[i].alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i")),
     )
 
-    def twice(ordered: Column) -> Column:
-        same = lambda a, b: F.get(ordered, a)["w"] == F.get(ordered, b)["w"]
-        return F.filter(ordered, lambda x, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
+    def starts(ordered: Column) -> Column:
+        alike = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]))
+        found = _bound(alike, lambda e: F.filter(ordered, lambda x, k: F.coalesce(F.get(e, k), F.lit(False)) | F.coalesce(F.get(e, k - 1), F.lit(False))))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
 
-    def covered(starts: Column) -> Column:
-        steps = F.transform(starts, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - p, F.lit(3))))
+    def covered(places: Column) -> Column:
+        steps = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, s: a + s)
 
-    found = F.transform(F.array(F.sort_array(windows)), twice)[0]
-    starts = F.sort_array(F.transform(found, lambda x: x["i"]))
-    return F.transform(F.array(starts), covered)[0]
+    return _bound(_bound(F.sort_array(windows), starts), covered)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,9 +99,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_computed(rows, "words", _words(F.col("text")))
-    lines = F.transform(
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(HAS_WORD)), lambda x: F.struct(x.alias("line"), _line_fails(x).alias("fails"))
-    )
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(HAS_WORD)), _judged)
     rows = with_computed(rows, "lines", lines)
     counted = rows.select(
         "doc_id",
@@ -94,7 +110,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         _repeated(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("lines", lambda x: x["fails"])).cast("long").alias("n_failed_lines"),
-        F.length(F.regexp_replace(F.array_join(F.filter("lines", lambda x: x["fails"])["line"], ""), GAP, "")).cast("long").alias("lost"),
+        F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["chars"]).otherwise(0)).alias("lost"),
         F.array_join(F.filter("lines", lambda x: ~x["fails"])["line"], "\n").alias("cleaned_text"),
     )
     failed = (F.col("n_words") < FEWEST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -108,6 +124,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clean_sql(table: str = "documents") -> str:
     """DuckDB SQL for ``clean`` over ``table``, with a digest in place of the cleaned text."""
+    phrases = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
     return f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {table}
@@ -126,12 +143,12 @@ WITH t AS (
          length(line) - length(regexp_replace(line, '{SEPARATOR}', '', 'g')) AS seps
   FROM (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM w)
 ), f AS (
-  SELECT *, length(plain) AS chars, length(plain) - length(regexp_replace(plain, '{MARKS}', '', 'g')) AS marks,
+  SELECT *, length(plain) AS chars, length(plain) - length(regexp_replace(plain, '[{MARKS}]', '', 'g')) AS marks,
          len(list_filter(string_split_regex(line, '{GAP}'), lambda x: x <> '')) AS n FROM l
 ), v AS (
   SELECT *, marks = chars OR (chars >= {DENSE_CHARS} AND marks * 100 > chars * {DENSE_PERCENT})
          OR (seps >= {SEPARATORS} AND n <= (seps + 1) * {ENTRY_WORDS})
-         OR regexp_matches(low, '{MENU}') OR regexp_matches(low, '{BOILERPLATE}') AS fails FROM f
+         OR (chars <= {MENU_CHARS} AND regexp_matches(low, '{MENU}')) OR {phrases} AS fails FROM f
 ), d AS (
   SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
          coalesce(sum(chars) FILTER (fails), 0) AS lost, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT fails), '') AS cleaned
