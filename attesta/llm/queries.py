@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, kneser_ney, language, packing, quality, simhash, toxicity
+from attesta.llm import bpe, kneser_ney, language, license_scan, packing, quality, simhash, toxicity
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -51,6 +51,12 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    lists = ("line_ids", "paragraph_ids", "licenses")
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists})
+
+
 _EXACT_SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_kneser_ney": language_model,
     "op6_simhash_groups": near_dedup,
     "op7_toxicity": toxic_documents,
+    "op8_license_scan": licenses,
     "op9_bpe_codec": bpe_codec,
     "op10_language_id": language_id,
 }
@@ -76,4 +83,5 @@ ORACLE = {
     "op1_exact_dedup": _EXACT_SQL,
     "op2_length_buckets": packing.pack_sql(),
     "op3_line_quality": quality.clean_sql(),
+    "op8_license_scan": license_scan.scan_sql(),
 }
