@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, kneser_ney, language, license_scan, packing, quality, simhash, toxicity
+from attesta.llm import bpe, kneser_ney, language, license_scan, packing, quality, simhash, toxicity, url_filter
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -42,6 +42,11 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.learn(docs))
 
 
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.page_labels(pages, _table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_length_buckets": length_buckets,
     "op3_line_quality": line_quality,
     "op4_kneser_ney": language_model,
+    "op5_url_verdicts": url_verdicts,
     "op6_simhash_groups": near_dedup,
     "op7_toxicity": toxic_documents,
     "op8_license_scan": licenses,
@@ -83,5 +89,6 @@ ORACLE = {
     "op1_exact_dedup": _EXACT_SQL,
     "op2_length_buckets": packing.pack_sql(),
     "op3_line_quality": quality.clean_sql(),
+    "op5_url_verdicts": url_filter.judge_sql(),
     "op8_license_scan": license_scan.scan_sql(),
 }
