@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from attesta.llm.common import Words, mix, remainder, slices
 from attesta.session import new_folder, stage
 
-PIECE_BYTES, LEARN_BYTES = 8 << 20, 32 << 20
+PIECE_BYTES, LEARN_BYTES = 4 << 20, 12 << 20
 #: Hashes that stand for the start and the end of a text.
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 _SPREAD = np.uint64(60)  # a context's pairs go to 2 ** (64 - 60) shards
