@@ -8,13 +8,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word of every contract: code points other than space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Bits of the bitmap of ``beside`` (2 MB), in rows of 2**15 bits as Spark's bitmaps have them.
+BITMAP_BITS, BITMAP_ROW = 1 << 24, 1 << 15
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,6 +32,26 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 (hex) of the text with A-Z lower-cased; null counts as empty."""
+    return F.sha2(F.coalesce(ascii_lower(text.cast("string")), F.lit("")), 256)
+
+
+def beside(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``columns`` are surely not in ``keys``, and the others.
+
+    A bitmap of fixed size, one bit per hash of a key, is broadcast, so that a join with ``keys``
+    need only shuffle the second part: rows with a key and a few whose hash falls on one's bit.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    row, bit = F.floor(slot / BITMAP_ROW), slot % BITMAP_ROW
+    bitmap = keys.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))  # at most 512 rows of 4 KB
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = rows.withColumns({"_row": row, "_bit": bit}).join(F.broadcast(bitmap), "_row", "left")
+    return tuple(marked.where(part).drop("_row", "_bit", "_bits") for part in (~hit, hit))
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], column: str, most_bytes: int, most_rows: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,9 @@ of one row is done; a group whose bytes are used up holds equal texts. Bytes are
 are, so equality needs no digest.
 
 Group sizes are pre-aggregated per task before the shuffle, which leaves one row per digit and
-task of a hot group. A bitmap of fixed size, one bit per hash of an open group, lets most single
-rows pass by the join that gives rows their new group, so their texts are not shuffled. That join
-has one row per group on its other side, so a hot group's rows can be split over tasks (adaptive
-skew join).
+task of a hot group. A bitmap of open groups lets most single rows pass by the join that gives rows
+their new group, so their texts are not shuffled. That join has one row per group on its other
+side, so a hot group's rows can be split over tasks (adaptive skew join).
 """
 
 from __future__ import annotations
@@ -20,12 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attesta.llm.common import ascii_lower
+from attesta.llm.common import ascii_lower, beside
 from attesta.session import new_folder, stage
 
-#: Bits of the bitmap of open groups (2 MB), in rows of 2**15 bits as Spark's bitmaps have them.
-BITMAP_BITS, BITMAP_ROW = 1 << 24, 1 << 15
-
 
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = 64, digit: int = 4096, growth: int = 16
@@ -68,16 +64,11 @@ def _split(rows: DataFrame, width: int, path: str) -> tuple[DataFrame, DataFrame
         .where(F.col("group_size") > 1)
     )
     numbered = stage(groups.withColumn("next", F.monotonically_increasing_id()), f"{path}-groups")
-    slot = F.pmod(F.xxhash64("group", "digit"), F.lit(BITMAP_BITS))
-    row, bit = F.floor(slot / BITMAP_ROW), slot % BITMAP_ROW
-    bitmap = numbered.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("bits"))  # at most 512 rows of 4 KB
-    byte = F.conv(F.hex(F.expr("substring(bits, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    marked = digits.withColumns({"row": row, "bit": bit}).join(F.broadcast(bitmap), "row", "left")
-    single = marked.where(~hit).select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    apart, others = beside(digits, numbered, ["group", "digit"])
+    single = apart.select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     alone = F.col("next").isNull()
     opened = ~alone & (F.octet_length("rest") > width)
-    joined = marked.where(hit).drop("row", "bit", "bits").join(numbered.hint("merge"), ["group", "digit"], "left").select(
+    joined = others.join(numbered.hint("merge"), ["group", "digit"], "left").select(
         "doc_id",
         "text_sha256",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

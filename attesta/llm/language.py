@@ -23,6 +23,8 @@ from attesta.llm.common import remainder, slices
 DIMENSIONS = 1024
 ORDER = 3
 PIECE_BYTES, PIECE_ROWS = 1 << 20, 256
+#: Language of texts without a letter.
+UNKNOWN = "und"
 #: Prototypes go to every worker; more languages than this are refused.
 MOST_LANGUAGES = 4096
 
@@ -134,6 +136,17 @@ def learn(
     return Profiles(languages, (vectors / np.where(norms > 0, norms, 1)).astype(np.float32), order)
 
 
+def _judged(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    vectors, grams = bundles(texts, profiles.order, profiles.vectors.shape[1])
+    norms = np.linalg.norm(vectors, axis=1)
+    seen = (grams > 0) & bool(profiles.languages)
+    cosines = vectors @ profiles.vectors.T / np.where(norms > 0, norms, 1)[:, None]
+    best = cosines.argmax(axis=1) if profiles.languages else np.zeros(len(grams), dtype=int)
+    names = [profiles.languages[b] if s else UNKNOWN for b, s in zip(best, seen)]
+    return names, np.where(seen, np.clip(cosines.max(axis=1, initial=0), 0, 1), 0).astype(np.float64)
+
+
 def predict(
     docs: DataFrame, profiles: Profiles, modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -142,19 +155,12 @@ def predict(
     A null text, one without a letter, and any text when nothing was learned: ``und`` and 0. Of
     equal cosines the language first in the alphabet is taken. One row per input row.
     """
-    languages, order, dimensions = list(profiles.languages), profiles.order, profiles.vectors.shape[1]
-    shared = docs.sparkSession.sparkContext.broadcast(profiles.vectors)
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE_BYTES, PIECE_ROWS):
-            vectors, grams = bundles(piece.column("text").to_pylist(), order, dimensions)
-            norms = np.linalg.norm(vectors, axis=1)
-            seen = (grams > 0) & bool(languages)
-            cosines = vectors @ shared.value.T / np.where(norms > 0, norms, 1)[:, None]
-            best = cosines.argmax(axis=1) if languages else np.zeros(len(grams), dtype=int)
-            names = [languages[b] if s else "und" for b, s in zip(best, seen)]
-            top = np.clip(cosines.max(axis=1, initial=0), 0, 1).astype(np.float64)
-            columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(seen, top, 0.0))]
+            names, scores = _judged(piece.column("text").to_pylist(), shared.value)
+            columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(
@@ -162,3 +168,15 @@ def predict(
     )
     fields = [*rows.drop("text").schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return rows.mapInArrow(scored, T.StructType(fields))
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is known; ``und`` goes."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, text_col, PIECE_BYTES, PIECE_ROWS):
+            names, _ = _judged(piece.column(text_col).to_pylist(), shared.value)
+            yield piece.filter(pa.array([n != UNKNOWN for n in names]))
+
+    return docs.mapInArrow(kept, docs.schema)

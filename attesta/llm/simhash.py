@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import slices
+from attesta.llm.common import slices, text_digest
 from attesta.session import new_folder, stage
 
 SHINGLE = 4
@@ -50,15 +50,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every whole text; null counts as empty."""
+    """doc_id, text_sha256 and fp (the 64 bits as a long) of every whole text; null counts as empty."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE_BYTES):
             found = np.array([fingerprint(t, shingle) for t in piece.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            columns = [piece.column("doc_id"), piece.column("text_sha256"), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(hashed, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(text).alias("text_sha256"), text.alias("text"))
+    return rows.mapInArrow(hashed, T.StructType([*rows.drop("text").schema, T.StructField("fp", T.LongType())]))
 
 
 def _shards(fp: Column) -> Column:
@@ -209,16 +211,22 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) of every row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), text_sha256 and
+    kept of every row.
 
     Texts without a word have fingerprint zero and are linked like any other. Null ids take part;
-    a component of null ids only has a null component_id. Repeated rows each have their row.
+    a component of null ids only has a null component_id. The row with the smallest id stays; of
+    rows of that id the one with the smallest digest, and every repeated row with both.
     """
     folder = new_folder(docs.sparkSession, "simhash")
     prints = stage(fingerprints(docs, shingle, id_col, text_col), f"{folder}/prints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/classes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")
+    classes = stage(prints.groupBy("fp").agg(F.min(row).alias("first")), f"{folder}/classes")
     found = components(links(classes.select("fp"), radius))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    members = rooted.join(named, "root").select("fp", "stays")
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_sha256") == F.col("stays.text_sha256"))
+    return prints.join(members, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("stays.doc_id").alias("component_id"), "text_sha256", kept.alias("kept")
+    )

@@ -25,7 +25,9 @@ from attesta.llm.common import Words, mix, remainder, slices
 BITS = 22
 PIECE_BYTES = 4 << 20
 BEGINNING = 4
-_WORD, _BEGIN, _SKIP = (np.uint64(k) for k in (1, 2, 3))
+#: Scores from here on are toxic.
+THRESHOLD = 0.7
+_WORD, _BEGIN, _SKIP = (np.array([k], dtype=np.uint64) for k in (1, 2, 3))
 
 
 @dataclass(frozen=True)
@@ -152,12 +154,26 @@ def learn(
     return Model(np.array(model["places"], dtype=np.int64), np.array(model["weights"], dtype=np.float64), model["bias"])
 
 
+def _dense(model: Model) -> np.ndarray:
+    weights = np.zeros(1 << BITS)
+    weights[model.places] = model.weights
+    return weights
+
+
+def _probabilities(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    rows, places = features(texts)
+    weighted = weights[places] != 0
+    pairs = np.unique(rows[weighted] << BITS | places[weighted])
+    sums = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], len(texts)) + bias
+    return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+
+
 def score(
     docs: DataFrame,
     model: Model,
     modulus: int = 3,
     held_out: int = 1,
-    threshold: float = 0.7,
+    threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -165,24 +181,30 @@ def score(
 
     Null and empty texts have the score of no feature at all.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.places.astype(np.int32), model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = None
+        weights = None
         for piece in slices(batches, "text", PIECE_BYTES):
-            if dense is None:
-                known, values, bias = shared.value
-                dense = np.zeros(1 << BITS)
-                dense[known] = values
-            rows, places = features(piece.column("text"))
-            weighted = dense[places] != 0
-            pairs = np.unique(rows[weighted] << BITS | places[weighted])
-            sums = np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], piece.num_rows) + bias
-            columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score"])
+            weights = _dense(shared.value) if weights is None else weights
+            found = _probabilities(piece.column("text"), weights, shared.value.bias)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(found)], ["doc_id", "held_out", "score"])
 
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (remainder(F.col(id_col), modulus) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text")
     )
     schema = T.StructType([*rows.drop("text").schema, T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = None
+        for piece in slices(batches, text_col, PIECE_BYTES):
+            weights = _dense(shared.value) if weights is None else weights
+            yield piece.filter(pa.array(_probabilities(piece.column(text_col), weights, shared.value.bias) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
