@@ -309,7 +309,7 @@ class Lookup:
         order = np.lexsort((hashes, shard))
         pair_count = _unsorted(self._find(self.pairs, shard[order], hashes[order], 1)[0], order)
         uniform = 1 / (m.types + 1)
-        low = m.word_rest * uniform + (np.maximum(before - _by_count(m.word_discounts, before), 0) / m.pairs if m.pairs else 0.0)
+        low = m.word_rest * uniform + np.maximum(before - _by_count(m.word_discounts, before), 0) / max(m.pairs, 1)
         kept = _kept(once, twice, often, m.pair_discounts)
         follows = np.append(count[:-1], count[-2])  # a word is followed as often as it occurs, the start as often as texts end
         total, rest = follows[codes >> 32], kept[codes >> 32]
