@@ -26,7 +26,6 @@ THIRD_PARTY_NOTICES = (
 TITLE_LENGTH = 200
 FOOTER_LINES = 2
 FOOTER_MIN_LENGTH = 6
-TEXT_CAP = 6000
 
 # Our own choice of markup that never holds main content, and of tags that end a line.
 _DROPPED = "script|style|noscript|template|svg|head|nav|header|footer|aside|form|iframe"

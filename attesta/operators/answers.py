@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators.verdicts import valid_verdict
-from attesta.schemas import CRITERIA_ANSWER, FACT_ANSWER, JUDGMENT_ANSWER, NOTE_ANSWER
+from attesta.schemas import CRITERIA_ANSWER, FACT_ANSWER, JUDGMENT_ANSWER, NOTE_ANSWER, VERDICTS
 
 # Limits of the answer formats.
 CRITERIA_COUNT = (4, 8)
 MAX_FACTS = 20
 # Error texts that mean "try again later".
 TRANSIENT = r"429|RESOURCE_EXHAUSTED|QUOTA|RATE LIMIT|OVERLOADED|503"
+# Errors are stored as "Type: text"; lost connections and time-outs are told by their type.
+TRANSIENT_TYPE = r"(?i)^[\w.]*(timeout|timedout|connection|connect|ratelimit)[a-z]*(error|exception)?:"
 
 SCHEMAS = {"criteria": CRITERIA_ANSWER, "facts": FACT_ANSWER, "judgments": JUDGMENT_ANSWER, "note": NOTE_ANSWER}
 
 
+def valid_verdict(verdict: Column) -> Column:
+    return verdict.isin(*VERDICTS)
+
+
 def _any(rows: Column, bad) -> Column:
     return F.exists(rows, lambda r: F.coalesce(bad(r), F.lit(True)))
 
@@ -55,7 +60,7 @@ def parse_answers(answers: DataFrame, kind: str, column: str = "answer") -> Data
 
 def error_class(error: Column, code: Column | None = None) -> Column:
     """transient (retry the scan later) or genuine; null without an error."""
-    transient = F.upper(error).rlike(TRANSIENT)
+    transient = F.upper(error).rlike(TRANSIENT) | error.rlike(TRANSIENT_TYPE)
     if code is not None:
         transient = F.coalesce(code.isin(429, 503), F.lit(False)) | transient
     return F.when(error.isNotNull(), F.when(transient, "transient").otherwise("genuine"))

@@ -83,12 +83,11 @@ def round_robin(companies: DataFrame, per_profile: int) -> DataFrame:
 
 
 def scan_worklist(companies: DataFrame, profiles: DataFrame, per_profile: int) -> DataFrame:
-    """Picked companies for every profile, in order. The picks, as many as asked for, reach the
-    profile list as one scalar value."""
-    row = F.struct("turn", "first_seen", F.col("id").alias("company_id"))
-    picked = round_robin(companies, per_profile).agg(F.array_sort(F.collect_list(row)).alias("picked"))
-    queued = profiles.select("profile_id", F.explode(picked.scalar()).alias("p"))
-    return queued.select("profile_id", "p.company_id", "p.turn", "p.first_seen").orderBy("profile_id", "turn", "first_seen")
+    """Picked companies for every profile, in order. Every pick meets every profile by design; the
+    picks are as many as asked for."""
+    picked = round_robin(companies, per_profile).select(F.col("id").alias("company_id"), "turn", "first_seen", F.lit(1).alias("all"))
+    queued = profiles.select("profile_id", F.lit(1).alias("all")).join(picked, "all").drop("all")
+    return queued.select("profile_id", "company_id", "turn", "first_seen").orderBy("profile_id", "turn", "first_seen")
 
 
 def rescan_worklist(latest: DataFrame) -> DataFrame:

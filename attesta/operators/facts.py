@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.text import clean, normalize
+from attesta.operators.answers import parse_answers
 from attesta.operators.grounding import demote_new_numbers, ground_facts
-from attesta.schemas import FACT_ANSWER, FACT_CATEGORIES, GROUNDED
+from attesta.schemas import FACT_CATEGORIES, GROUNDED
 
 MAX_FACTS = 40
 FACT_LENGTH = 300
 QUOTE_LENGTH = 400
-MAX_ANSWER_FACTS = 20
 
 
 def known_category(category: Column) -> Column:
@@ -22,10 +22,10 @@ def known_category(category: Column) -> Column:
 
 def answered_facts(answers: DataFrame) -> DataFrame:
     """Facts in model answers (…, url, answer JSON): statement and quote present, category known,
-    texts trimmed to their stored length. An answer that does not parse has no facts."""
+    texts trimmed to their stored length. An answer that breaks its format (too many facts, a
+    confidence out of range, no JSON) is refused as a whole and has no facts."""
     kept = [c for c in answers.columns if c != "answer"]
-    facts = F.slice(F.from_json("answer", FACT_ANSWER)["facts"], 1, MAX_ANSWER_FACTS)
-    rows = answers.select(*kept, F.posexplode(facts).alias("answer_pos", "f"))
+    rows = parse_answers(answers, "facts").select(*kept, F.posexplode("parsed.facts").alias("answer_pos", "f"))
     trimmed = lambda c, n: F.substring(F.coalesce(clean(F.col(c)), F.lit("")), 1, n)
     return rows.filter(
         (F.coalesce("f.fact", F.lit("")) != "") & (F.coalesce("f.evidence_quote", F.lit("")) != "")
@@ -92,6 +92,7 @@ def page_facts(facts: DataFrame, pages: DataFrame, limit: int = MAX_FACTS, fuzzy
         F.coalesce("display_url", "page_url").alias("source_url"), "confidence", "grounding")
 
 
+# The sentences below are stored outputs.
 def record_facts(scans: DataFrame) -> DataFrame:
     """Facts stated by public records, numbered after the ``n_facts`` page facts of the scan.
 

@@ -15,9 +15,14 @@ def latest_order() -> Column:
     return F.struct(F.col("status") == "done", F.col("finished_at"), F.col("scan_id"))
 
 
-def latest_scans(scans: DataFrame, keys: tuple[str, ...] = ("company_id",)) -> DataFrame:
-    """One finished scan per key. ``max_by`` combines map-side, so a company holding much of the
-    table still sends one row per task."""
+SCAN_KEYS = ("company_id", "profile_id")
+
+
+def latest_scans(scans: DataFrame, profile_id: int | None = None, keys: tuple[str, ...] = SCAN_KEYS) -> DataFrame:
+    """One finished scan per company and profile, of one profile if given. ``max_by`` combines
+    map-side, so a company holding much of the table still sends one row per task."""
+    if profile_id is not None:
+        scans = scans.filter(F.col("profile_id") == profile_id)
     payload = [c for c in scans.columns if c not in keys]
     return (
         scans.filter(F.col("status").isin("done", "error"))
@@ -28,8 +33,8 @@ def latest_scans(scans: DataFrame, keys: tuple[str, ...] = ("company_id",)) -> D
 
 
 def summary_aggregates(top: int = 3) -> tuple[Column, ...]:
-    """Aggregates over ``with_criteria`` rows for the lead list. A profile has at most eight
-    criteria, which bounds what is gathered per scan."""
+    """Aggregates over ``with_criteria`` rows for the lead list. The criteria of a scan's profile
+    bound what is gathered per scan."""
     met = (F.col("polarity") == "positive") & is_met()
     chip = F.struct((-F.col("weight")).alias("w"), "pos", "label")
     flag = F.struct("pos", "label")

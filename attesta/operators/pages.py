@@ -34,14 +34,14 @@ def pick_pages(links: Column, have: Column) -> Column:
     """The first link of each category, in category order; a link serves one category."""
 
     def choose(rows: Column) -> Column:
-        def step(taken: Column, category: Column) -> Column:
-            open_links = F.filter(
-                rows, lambda r: F.rlike(r["path"], category) & ~F.array_contains(taken, r["url"]))
-            found = F.try_element_at(open_links, F.lit(1))["url"]
+        def fitting(pattern: str) -> Column:  # a literal, so that it is compiled once
+            return F.transform(F.filter(rows, lambda r: r["path"].rlike(pattern)), lambda r: r["url"])
+
+        def step(taken: Column, links_of_category: Column) -> Column:
+            found = F.try_element_at(F.filter(links_of_category, lambda u: ~F.array_contains(taken, u)), F.lit(1))
             return F.when(found.isNull(), taken).otherwise(F.array_append(taken, found))
 
-        patterns = F.array(*[F.lit(p) for _, p in CATEGORIES])
-        return F.aggregate(patterns, F.array().cast("array<string>"), step)
+        return F.aggregate(F.array(*[fitting(p) for _, p in CATEGORIES]), F.array().cast("array<string>"), step)
 
     rows = F.transform(links, lambda u: F.struct(u.alias("url"), F.lower(urls.path_of(u)).alias("path")))
     open_rows = F.filter(

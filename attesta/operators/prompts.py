@@ -37,8 +37,7 @@ def _lines(order: str, line: Column, name: str) -> Column:
 def extract_requests(pages: DataFrame) -> DataFrame:
     """pages: scan_id, domain, url, text."""
     text = F.concat(
-        F.lit("Company domain: "), "domain", F.lit("\nPage URL: "), "url",
-        F.lit('\n\nPage text:\n"""'), "text", F.lit('"""\n\nExtract the facts.'))
+        F.lit("Site "), "domain", F.lit(", address "), "url", F.lit("\n--- begin page ---\n"), "text", F.lit("\n--- end page ---"))
     return pages.withColumns({"instructions": F.lit(EXTRACT_INSTRUCTIONS), "request": text})
 
 
@@ -54,10 +53,9 @@ def judge_requests(scans: DataFrame, criteria: DataFrame, offered: DataFrame) ->
     criteria_text = criteria.groupBy("profile_id").agg(_lines("pos", criterion, "criteria_lines"))
     facts_text = offered.groupBy("scan_id").agg(_lines("judge_pos", fact_line(), "fact_lines"))
     request = F.concat(
-        F.lit("Company: "), F.coalesce("name", "domain"), F.lit(" ("), "domain", F.lit(")\nPages checked: "),
-        F.coalesce("pages", F.lit("(none)")), F.lit("\nDomain records: "), F.coalesce("records", F.lit("unknown")),
-        F.lit("\n\nCriteria:\n"), "criteria_lines",
-        F.lit("\n\nFacts (id | category | fact | quote | source):\n"), "fact_lines", F.lit("\n\nJudge every criterion."))
+        F.lit("# Business\n"), F.coalesce("name", "domain"), F.lit(", "), "domain", F.lit("\n# Addresses read\n"),
+        F.coalesce("pages", F.lit("-")), F.lit("\n# Public records\n"), F.coalesce("records", F.lit("-")),
+        F.lit("\n# To decide\n"), "criteria_lines", F.lit("\n# Known facts by id\n"), "fact_lines")
     return scans.join(facts_text, "scan_id").join(criteria_text, "profile_id").select(
         "scan_id", F.lit(JUDGE_INSTRUCTIONS).alias("instructions"), request.alias("request"))
 
@@ -73,9 +71,8 @@ def note_requests(scans: DataFrame, met: DataFrame, to_cite: DataFrame) -> DataF
         F.array_join(F.transform(met_keys, lambda m: m["criterion_key"]), ", ").alias("met"))
     facts_text = to_cite.groupBy("scan_id").agg(_lines("note_pos", fact_line(with_category=False), "fact_lines"))
     request = F.concat(
-        F.lit("ICP: "), "profile_name", F.lit("\nCompany: "), F.coalesce("name", "domain"), F.lit(" ("), "domain",
-        F.lit(")\nCriteria met: "), F.coalesce("met", F.lit("(none yet)")),
-        F.lit("\n\nVerified facts (id | fact | quote):\n"), "fact_lines",
-        F.lit("\n"), F.coalesce("feedback", F.lit("")), F.lit("\nWrite the note."))
+        F.lit("# Addressee\n"), F.coalesce("name", "domain"), F.lit(", "), "domain", F.lit("\n# Written for\n"), "profile_name",
+        F.lit("\n# Fulfilled\n"), F.coalesce("met", F.lit("-")), F.lit("\n# Citable facts by id\n"), "fact_lines",
+        F.when(F.coalesce("feedback", F.lit("")) != "", F.concat(F.lit("\n# Last draft\n"), "feedback")).otherwise(F.lit("")))
     return scans.join(facts_text, "scan_id").join(met_text, "scan_id", "left").select(
         "scan_id", F.lit(NOTE_INSTRUCTIONS).alias("instructions"), request.alias("request"))

@@ -7,8 +7,6 @@ computes with partial aggregation on the partitioning the join has already made.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,6 @@ from attesta.schemas import DECISIVE
 from attesta.session import with_computed
 
 SCORING_VERSION = 2  # part of the fingerprint: raising it retires stored scans
-MAX_CRITERIA = 8
 
 
 def last_result_per_criterion(
@@ -98,11 +95,8 @@ def score_scans(
     """
     known = _positive() & F.col("verdict").isin(*DECISIVE)
     total = lambda flag, value: F.sum(F.when(flag, value).otherwise(F.lit(0)))
-    # Penalties are doubles: one sum per criterion, added up in criteria order, is exact.
-    penalties = [
-        F.sum(F.when(is_red_flag() & (F.col("pos") == i), F.col("share")).otherwise(F.lit(0.0))).alias(f"p{i}")
-        for i in range(MAX_CRITERIA)
-    ]
+    # Penalties are doubles: gathered by place and added up in criteria order, the sum is exact.
+    flags = F.array_sort(F.collect_list(F.when(is_red_flag(), F.struct("pos", "share"))))
     summed = (
         with_criteria(scans, profiles, results)
         .groupBy(*scans.columns, "total_weight", "positives")
@@ -110,12 +104,12 @@ def score_scans(
             total(known & is_met(), F.col("weight")).cast("int").alias("earned_weight"),
             total(known, F.col("weight")).cast("int").alias("known_weight"),
             total(known, F.lit(1)).cast("int").alias("n_known"),
-            *penalties,
+            flags.alias("_flags"),
             *extra,
         )
     )
     base = F.try_divide(F.lit(100.0) * F.col("earned_weight"), F.col("known_weight"))
-    penalty = reduce(lambda a, b: a + b, [F.col(f"p{i}") for i in range(MAX_CRITERIA)])
+    penalty = F.aggregate("_flags", F.lit(0.0), lambda total, flag: total + flag["share"])
     raw = F.struct(
         F.greatest(F.lit(0.0), base - penalty).alias("score"),
         F.try_divide(F.lit(100.0) * F.col("n_known"), F.col("positives")).alias("coverage"),
@@ -128,7 +122,7 @@ def score_scans(
             "coverage": F.when(F.col("positives") > 0, round1(F.col("raw.coverage"))).otherwise(F.lit(0.0)),
             "penalty": round1(F.col("raw.penalty")),
         }
-    ).drop("raw", *[f"p{i}" for i in range(MAX_CRITERIA)])
+    ).drop("raw", "_flags")
 
 
 def score_breakdown(scans: DataFrame, profiles: DataFrame, results: DataFrame) -> DataFrame:

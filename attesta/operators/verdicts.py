@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.operators.answers import valid_verdict
 from attesta.operators.facts import is_grounded
-from attesta.schemas import VERDICTS
 
 MAX_JUDGE_FACTS = 30
 REASON_LENGTH = 300
@@ -78,10 +78,6 @@ def check_verdicts(scans: DataFrame, criteria: DataFrame, judgments: DataFrame,
     )
 
 
-def valid_verdict(verdict: Column) -> Column:
-    return verdict.isin(*VERDICTS)
-
-
 def scan_details(scans: DataFrame, profiles: DataFrame, criteria: DataFrame, companies: DataFrame,
                  results: DataFrame, facts: DataFrame) -> DataFrame:
     """One row per stored scan with its company, profile, criteria (definitions merged in, defaults

@@ -48,16 +48,6 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer splits than that.
-
-    Text work is heavy per byte, so a short table in one file would otherwise keep one core busy.
-    Tables with enough splits are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def literal_relation(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """A constant relation planned inside the JVM; its size is fixed by the code that calls it."""
     text = json.dumps([_named(row, schema) for row in rows])

@@ -32,25 +32,3 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def with_columns_of(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows widened to ``schema``: columns added later are null in older rows."""
     return rows.sparkSession.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True)
-
-
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    names = [s.getPath().getName() for s in system.listStatus(path)]
-    done = [n for n in names if n.startswith("v=") and system.exists(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return sorted(int(n[2:]) for n in done)
-
-
-def read_version(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest finished version of a table, or the newest below ``before``."""
-    known = [v for v in _versions(spark, folder) if before is None or v < before]
-    return spark.read.parquet(f"{folder}/v={known[-1]}") if known else None
-
-
-def write_version(rows: DataFrame, folder: str, version: int) -> None:
-    """Write a whole version; repeating a version replaces it, so a retried batch is harmless."""
-    rows.write.mode("overwrite").parquet(f"{folder}/v={version}")

@@ -11,7 +11,6 @@ from attesta.functions.text import content_hash
 
 MIN_TEXT_CHARS = 80
 MAX_SITEMAP_LINKS = 300
-MAX_BODY_BYTES = 500_000
 
 # Fetch failures that still allow the archived copy to be tried.
 TRANSPORT_FAILURES = ("TimeoutException", "ConnectError", "ReadError", "RemoteProtocolError")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import clean
 from attesta.functions.urls import normalize_domain
+from attesta.session import new_folder, stage
 
 # Elements that are not service businesses.
 SKIPPED_HOSTS = (
@@ -52,11 +53,12 @@ def candidate_leads(found: DataFrame) -> DataFrame:
 
 def element_leads(answers: DataFrame, industries: Sequence[str], per_industry: int = 65) -> DataFrame:
     """At most ``per_industry`` leads of each industry; a domain is taken once, by the first
-    industry that keeps it. Industries build on each other, so the plan has one step for each; what
-    a step hands on is bounded by the cap."""
-    candidates = candidate_leads(elements(answers))
+    industry that keeps it. Industries build on each other; the candidates and the picks of each
+    step are stage tables, so that the plan does not grow with their number."""
+    folder = new_folder(answers.sparkSession, "elements")
+    candidates = stage(candidate_leads(elements(answers)), f"{folder}/candidates")
     kept: DataFrame | None = None
-    for industry in industries:
+    for place, industry in enumerate(industries):
         own = candidates.filter(F.col("industry") == industry)
         if kept is not None:
             own = own.join(kept.select("domain"), "domain", "left_anti")
@@ -65,5 +67,6 @@ def element_leads(answers: DataFrame, industries: Sequence[str], per_industry: i
             own.groupBy("domain").agg(F.min_by(F.struct(*payload), "pos").alias("row"))
             .select("domain", "row.*").orderBy("pos").limit(per_industry)
         )
+        chosen = stage(chosen, f"{folder}/{place}")
         kept = chosen if kept is None else kept.unionByName(chosen)
     return kept.drop("pos")

@@ -55,13 +55,13 @@ def keep_newest(stream: DataFrame, keys: list[str], order: list[str], folder: st
 
 
 def latest_scans(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """The scan each company shows: done before failed, then the newest."""
+    """The scan shown for each company and profile: done before failed, then the newest."""
     ended = stream.filter(F.col("status").isin("done", "error"))
-    payload = [c for c in stream.columns if c != "company_id"]
-    best = ended.groupBy("company_id").agg(F.max_by(F.struct(*payload), L.latest_order()).alias("row"))
+    payload = [c for c in stream.columns if c not in L.SCAN_KEYS]
+    best = ended.groupBy(*L.SCAN_KEYS).agg(F.max_by(F.struct(*payload), L.latest_order()).alias("row"))
 
     def append(rows: DataFrame, batch: int) -> None:
-        rows.select("company_id", "row.*").write.mode("overwrite").parquet(_batch_folder(folder, batch))
+        rows.select(*L.SCAN_KEYS, "row.*").write.mode("overwrite").parquet(_batch_folder(folder, batch))
 
     return _start(best, append, checkpoint, "update")
 

@@ -57,8 +57,9 @@ def test_latest_stream_equals_batch(spark, tmp_path):
     rows = scans(spark, "/root/testdata/sf0.001")
     stream = in_files(rows, str(tmp_path / "in"), "scan_id", 4)
     runs.latest_scans(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = {r.company_id: r.scan_id for r in runs.current(spark, str(tmp_path / "out"), ["company_id"]).collect()}
-    assert got == {r.company_id: r.scan_id for r in latest.latest_scans(rows).collect()}
+    keys = ["company_id", "profile_id"]
+    got = {(r.company_id, r.profile_id): r.scan_id for r in runs.current(spark, str(tmp_path / "out"), keys).collect()}
+    assert got == {(r.company_id, r.profile_id): r.scan_id for r in latest.latest_scans(rows).collect()}
 
 
 def test_import_stream_adds_each_domain_once(spark, tmp_path):
@@ -79,11 +80,6 @@ def test_stored_tables(spark, tmp_path):
     assert sorted((r.text, r.extra or "") for r in tables.read_table(spark, folder, "scans").collect()) == [("ab", ""), ("ab", "x")]
     wide = tables.with_columns_of(rows, tables.read_table(spark, folder, "scans").schema)
     assert wide.columns == ["id", "text", "extra", "icp_id"] and wide.head().extra is None
-    assert tables.read_version(spark, f"{folder}/v") is None
-    for v in (1, 2, 2):
-        tables.write_version(rows.withColumn("id", F.lit(v)), f"{folder}/v", v)
-    assert tables.read_version(spark, f"{folder}/v").head().id == 2
-    assert tables.read_version(spark, f"{folder}/v", before=2).head().id == 1
 
 
 def test_golden_file(spark, tmp_path):

@@ -81,15 +81,20 @@ def scan_worklist(spark, sf_dir):
 
 
 def criteria_fingerprint(spark, sf_dir):
-    """Per profile: scans stored, and whether re-labelled criteria keep the fingerprint."""
+    """Every customer as a profile: the fingerprint, and whether new labels or weights keep it."""
     relabelled = F.transform("criteria", lambda c: c.withField("label", F.lit("other")))
     reweighted = F.transform("criteria", lambda c: c.withField("weight", c["weight"] + 1))
     own = criteria_hash(F.col("criteria"))
-    prints = P.profiles(spark).select(
-        "profile_id", (own == criteria_hash(relabelled)).alias("label_free"),
-        (own == criteria_hash(reweighted)).alias("weight_free"), F.length(own).alias("length"))
-    counts = P.scans(spark, sf_dir).groupBy("profile_id").agg(F.count("*").alias("n_scans"))
-    return prints.join(counts, "profile_id")
+    criterion = lambda key, weight, negative: F.struct(
+        key.alias("key"), F.col("c_name").alias("label"), weight.cast("int").alias("weight"), F.col("c_mktsegment").alias("test"),
+        F.when(negative, "negative").otherwise(F.lit("positive")).alias("polarity"))
+    criteria = F.array(
+        criterion(F.lit("k1"), F.col("c_nationkey") % 5 + 1, F.lit(False)),
+        criterion(F.concat(F.lit("k"), F.col("c_nationkey").cast("string")), F.lit(2), F.col("c_acctbal") < 0))
+    profiles = P.table(spark, sf_dir, "customer").select("c_custkey", criteria.alias("criteria"))
+    return profiles.select(
+        "c_custkey", own.alias("fingerprint"), (own == criteria_hash(relabelled)).alias("label_free"),
+        (own == criteria_hash(reweighted)).alias("weight_free"))
 
 
 def visits(events):
@@ -142,8 +147,10 @@ ORACLE = {
         SELECT id, row_number() OVER (PARTITION BY industry ORDER BY id) AS turn, min(id) OVER (PARTITION BY industry) AS seen FROM companies),
       picked AS (SELECT id FROM q ORDER BY turn, seen LIMIT 20)
       SELECT CAST(p AS BIGINT) AS profile_id, id AS company_id FROM range(1, 6) a(p), picked""",
-    "criteria_hash": f"""WITH {P.SCANS_SQL} SELECT profile_id, true AS label_free, false AS weight_free, CAST(64 AS INTEGER) AS length,
-        count(*) AS n_scans FROM scans GROUP BY ALL""",
+    "criteria_hash": """
+      WITH c AS (SELECT c_custkey, c_mktsegment AS t, c_nationkey % 5 + 1 AS w, c_nationkey AS n, CASE WHEN c_acctbal < 0 THEN 'negative' ELSE 'positive' END AS p FROM customer)
+      SELECT c_custkey, sha256('{"criteria":[{"key":"k1","polarity":"positive","test":"' || t || '","weight":' || w || '},{"key":"k' || n || '","polarity":"' || p
+             || '","test":"' || t || '","weight":2}],"v":2}') AS fingerprint, true AS label_free, false AS weight_free FROM c""",
     "politeness_audit": """
       WITH t AS (SELECT user_id AS host, event_id AS id, epoch_us(ts) // 1000 AS us FROM events),
       g AS (SELECT host, id, us - lag(us) OVER (PARTITION BY host ORDER BY us, id) AS gap_us FROM t)

@@ -37,10 +37,11 @@ def fact_rows(spark, sf_dir):
     docs = P.table(spark, sf_dir, "documents")
     fact = lambda category, said, quote, conf: F.struct(
         category.alias("category"), said.alias("fact"), quote.alias("evidence_quote"), conf.alias("confidence"))
-    answer = F.to_json(F.struct(F.array(
-        fact(F.when(F.col("lang") == "en", "hiring").otherwise(F.lit("gossip")), F.col("text"), F.col("text"), F.lit(0.5)),
-        fact(F.lit("team_size"), F.lit("Ten people work here."), F.when(F.col("lang") == "de", "").otherwise(F.lit(" ten of us ")), F.lit(1.0)),
-    ).alias("facts")))
+    sure = F.when(F.col("doc_id") % 13 == 5, F.lit(1.5)).otherwise(F.lit(0.5))  # out of range: the answer is refused
+    first = fact(F.when(F.col("lang") == "en", "hiring").otherwise(F.lit("gossip")), F.col("text"), F.col("text"), sure)
+    second = fact(F.lit("team_size"), F.lit("Ten people work here."), F.when(F.col("lang") == "de", "").otherwise(F.lit(" ten of us ")), F.lit(1.0))
+    copies = F.when(F.col("doc_id") % 11 == 3, 20).when(F.col("doc_id") % 11 == 4, 19).otherwise(1)  # 21 facts are too many, 20 are not
+    answer = F.to_json(F.struct(F.concat(F.array(first), F.array_repeat(second, copies)).alias("facts")))
     answered = T.answered_facts(docs.select(
         F.col("doc_id").alias("scan_id"), F.lit(0).alias("page_pos"), F.concat(F.lit("https://d"), "doc_id", F.lit("/")).alias("url"),
         F.when(F.col("n_chars") < 100, F.lit("{broken")).otherwise(answer).alias("answer")))
@@ -121,8 +122,10 @@ ORACLE = {
     "signal_facts": f"WITH {_SIGNALS} SELECT w.*, 'https://d' || doc_id || '/' AS source_url, 0.9::DOUBLE AS confidence FROM wanted w",
     "fact_rows": rf"""WITH {_SIGNALS}, answers AS (
         SELECT doc_id, CASE WHEN lang = 'en' THEN 'hiring' ELSE 'other' END AS category, 0 AS pos,
-               length(left(trim(text, ' ' || chr(10)), 300)) AS f, length(left(trim(text, ' ' || chr(10)), 400)) AS q FROM documents WHERE n_chars >= 100
-        UNION ALL SELECT doc_id, 'team_size', 1, 21, 9 FROM documents WHERE n_chars >= 100 AND lang <> 'de'),
+               length(left(trim(text, ' ' || chr(10)), 300)) AS f, length(left(trim(text, ' ' || chr(10)), 400)) AS q FROM documents
+        WHERE n_chars >= 100 AND doc_id % 11 <> 3 AND doc_id % 13 <> 5
+        UNION ALL SELECT doc_id, 'team_size', unnest(range(1, CASE WHEN doc_id % 11 = 4 THEN 20 ELSE 2 END)), 21, 9 FROM documents
+        WHERE n_chars >= 100 AND lang <> 'de' AND doc_id % 11 <> 3 AND doc_id % 13 <> 5),
       a AS (SELECT doc_id, category, 0 AS source, signal_pos AS pos, length(fact) AS f, length(evidence_quote) AS q FROM wanted
             UNION ALL SELECT doc_id, category, 1, pos, f, q FROM answers)
       SELECT doc_id AS scan_id, category, CAST(source AS INTEGER) AS source, count(*) AS n, CAST(max(f) AS INTEGER) AS longest_fact,

@@ -11,18 +11,20 @@ from pyspark.sql import types as T
 
 from attesta.operators.scoring import last_result_per_criterion
 from attesta.schemas import CRITERIA
-from attesta.session import literal_relation, spread
+from attesta.session import literal_relation
 
 PROFILE_COUNT = 5
 CRITERIA_COUNT = 7
 
 
-TEXT_TABLES = ("documents", "pages")
+#: Tables of texts and their keys. Text work is heavy per byte and these files may have one split
+#: each, so their rows are always dealt out by key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    return rows.repartition(TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
 
 def criterion_rows(profile_id: int) -> list[tuple]:
@@ -44,6 +46,23 @@ def profiles(spark: SparkSession) -> DataFrame:
     return literal_relation(spark, rows, schema)
 
 
+WIDE_COUNT = 21
+
+
+def wide_profile(spark: SparkSession) -> DataFrame:
+    """One profile of 21 criteria, every second one negative; more than a cleaned profile holds."""
+    schema = T.StructType([T.StructField("profile_id", T.LongType()), T.StructField("criteria", CRITERIA)])
+    rows = [(f"w{n}", f"Label {n}", 1 + n % 5, f"Does item {n} hold?", "negative" if n % 2 else "positive") for n in range(WIDE_COUNT)]
+    return literal_relation(spark, [(1, rows)], schema)
+
+
+def wide_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as results of the wide profile's criteria; the last line of a criterion counts."""
+    rows = raw_results(spark, sf_dir).withColumn(
+        "criterion_key", F.concat(F.lit("w"), ((F.col("result_pos") * 3 + F.col("l_suppkey") % 3) % WIDE_COUNT).cast("string")))
+    return last_result_per_criterion(rows, [*RESULT_ORDER, "result_pos"], ("verdict",))
+
+
 CRITERIA_SQL = """
 criteria AS (
   SELECT p AS profile_id, n AS pos, 'c' || n AS key, 'Label ' || n AS label,
@@ -181,4 +200,24 @@ scored AS (
          {round1_sql("100.0::DOUBLE * n_known / positives")} AS coverage
   FROM sums)"""
 
+WIDE_SQL = f"""
+criteria AS (
+  SELECT n AS pos, 'w' || n AS key, CAST(1 + n % 5 AS INTEGER) AS weight, CASE WHEN n % 2 = 1 THEN 'negative' ELSE 'positive' END AS polarity
+  FROM range({WIDE_COUNT}) r(n)),
+results AS (
+  SELECT l_orderkey AS scan_id, 'w' || ((l_linenumber * 3 + l_suppkey % 3) % {WIDE_COUNT}) AS key,
+         CASE l_returnflag WHEN 'A' THEN 'met' WHEN 'N' THEN 'not_met' ELSE 'unknown' END AS verdict
+  FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, (l_linenumber * 3 + l_suppkey % 3) % {WIDE_COUNT}
+    ORDER BY l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_extendedprice DESC, l_returnflag DESC, l_linestatus DESC, l_linenumber DESC) = 1),
+total AS (SELECT sum(weight) AS total, count(*) AS positives FROM criteria WHERE polarity = 'positive'),
+sums AS (
+  SELECT o_orderkey AS scan_id, total, positives,
+         coalesce(sum(weight) FILTER (polarity = 'positive' AND verdict = 'met'), 0) AS earned,
+         coalesce(sum(weight) FILTER (polarity = 'positive' AND verdict IN ('met', 'not_met')), 0) AS known,
+         count(*) FILTER (polarity = 'positive' AND verdict IN ('met', 'not_met')) AS n_known,
+         list_reduce(list_prepend(0.0::DOUBLE, coalesce(list({round1_sql("100.0::DOUBLE * weight / total")} ORDER BY pos) FILTER (polarity = 'negative' AND verdict = 'met'), [])),
+                     lambda a, b: a + b) AS penalty
+  FROM orders CROSS JOIN total LEFT JOIN results ON results.scan_id = o_orderkey LEFT JOIN criteria USING (key) GROUP BY ALL)"""
+
 SCAN_TABLES_SQL = ",".join([CRITERIA_SQL, SCANS_SQL, RESULTS_SQL, SCORED_SQL])

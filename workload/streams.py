@@ -19,7 +19,7 @@ def _stream(spark, sf_dir, name):
 def stream_latest(spark, sf_dir):
     folder = new_folder(spark, "latest")
     S.latest_scans(P.scan_columns(_stream(spark, sf_dir, "orders")), f"{folder}/rows", f"{folder}/state").awaitTermination()
-    return S.current(spark, f"{folder}/rows", ["company_id"]).select(
+    return S.current(spark, f"{folder}/rows", ["company_id", "profile_id"]).select(
         "company_id", "scan_id", "profile_id", "status", F.date_format("finished_at", "yyyy-MM-dd").alias("finished_on"), "error")
 
 

@@ -143,7 +143,8 @@ def error_class(spark, sf_dir):
     o = P.table(spark, sf_dir, "orders")
     message = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "quota exceeded for model").when(F.col("o_orderpriority") == "2-HIGH", "Error 429")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "model is Overloaded").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "bad answer"))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "model is Overloaded").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.when(F.col("o_custkey") % 3 == 0, "ReadTimeout: no answer").when(
+            F.col("o_custkey") % 3 == 1, "httpx.ConnectError: refused").otherwise(F.lit("ValueError: bad answer, no timeout"))))
     code = F.when(F.col("o_totalprice") > 300000, 503).otherwise(200)
     return o.select("o_orderkey", A.error_class(message, code).alias("error_class"))
 
@@ -260,20 +261,20 @@ ORACLE = {
     "verdict_check": f"WITH {_CHECKED_SQL} SELECT scan_id, criterion_key, verdict, fact_ids, reasoning, evidence_quote, source_url, grounding FROM checked",
     "judge_prompt": f"""WITH {P.CRITERIA_SQL}, {P.SCANS_SQL}, {LINES_SQL}, {_CRIT_LINES},
       fl AS (SELECT scan_id, string_agg(concat_ws(' | ', id, category, fact, '"' || evidence_quote || '"', source_url), chr(10) ORDER BY judge_pos) AS l FROM offered WHERE judge_pos <= 30 GROUP BY 1)
-      SELECT scan_id, 'Company: Firm ' || company_id || ' (firm' || company_id || '.example.com)' || chr(10) || 'Pages checked: (none)' || chr(10)
-        || 'Domain records: domain registered 1999-01-01' || chr(10) || chr(10) || 'Criteria:' || chr(10) || cl || chr(10) || chr(10)
-        || 'Facts (id | category | fact | quote | source):' || chr(10) || l || chr(10) || chr(10) || 'Judge every criterion.' AS request
+      SELECT scan_id, '# Business' || chr(10) || 'Firm ' || company_id || ', firm' || company_id || '.example.com' || chr(10) || '# Addresses read' || chr(10) || '-' || chr(10)
+        || '# Public records' || chr(10) || 'domain registered 1999-01-01' || chr(10) || '# To decide' || chr(10) || cl || chr(10)
+        || '# Known facts by id' || chr(10) || l AS request
       FROM scans JOIN fl USING (scan_id) JOIN crit USING (profile_id)""",
     "note_prompt": f"""WITH {_CHECKED_SQL},
       c AS (SELECT DISTINCT scan_id, unnest(id_list) AS id FROM checked),
       o AS (SELECT f.*, row_number() OVER (PARTITION BY f.scan_id ORDER BY c.id IS NULL, f.id) AS p FROM facts f LEFT JOIN c ON c.scan_id = f.scan_id AND c.id = f.id WHERE grounding <> 'none'),
       fl AS (SELECT scan_id, string_agg(concat_ws(' | ', id, fact, '"' || evidence_quote || '"', source_url), chr(10) ORDER BY p) AS l FROM o WHERE p <= 12 GROUP BY 1),
       m AS (SELECT scan_id, string_agg(criterion_key, ', ' ORDER BY pos) AS met FROM checked WHERE verdict = 'met' GROUP BY 1)
-      SELECT scan_id, 'ICP: Profile ' || profile_id || chr(10) || 'Company: firm' || company_id || '.example.com (firm' || company_id || '.example.com)' || chr(10)
-        || 'Criteria met: ' || coalesce(met, '(none yet)') || chr(10) || chr(10) || 'Verified facts (id | fact | quote):' || chr(10) || l || chr(10) || chr(10) || 'Write the note.' AS request
+      SELECT scan_id, '# Addressee' || chr(10) || 'firm' || company_id || '.example.com, firm' || company_id || '.example.com' || chr(10) || '# Written for' || chr(10) || 'Profile ' || profile_id || chr(10)
+        || '# Fulfilled' || chr(10) || coalesce(met, '-') || chr(10) || '# Citable facts by id' || chr(10) || l AS request
       FROM scans JOIN fl USING (scan_id) LEFT JOIN m USING (scan_id)""",
-    "extract_prompt": """SELECT doc_id AS scan_id, 'Company domain: ' || source || chr(10) || 'Page URL: d' || doc_id || chr(10) || chr(10) || 'Page text:' || chr(10)
-        || '\"\"\"' || text || '\"\"\"' || chr(10) || chr(10) || 'Extract the facts.' AS request FROM documents""",
+    "extract_prompt": """SELECT doc_id AS scan_id, 'Site ' || source || ', address d' || doc_id || chr(10) || '--- begin page ---' || chr(10) || text
+        || chr(10) || '--- end page ---' AS request FROM documents""",
     "note_gate": f"""WITH {_CHECKED_SQL},
       fl AS (SELECT scan_id, bool_or(polarity = 'negative' AND verdict = 'met') AS f FROM checked GROUP BY 1),
       g AS (SELECT scan_id, count(*) FILTER (grounding <> 'none') AS n FROM facts GROUP BY 1)
@@ -296,7 +297,7 @@ ORACLE = {
         UNION ALL SELECT 'note', CASE WHEN q >= 25 THEN 'malformed' END FROM l)
       SELECT kind, problem, count(*) AS n, count(*) FILTER (problem IS NULL) AS accepted FROM p GROUP BY ALL""",
     "error_class": """SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL
-        WHEN o_orderpriority <> '4-NOT SPECIFIED' OR o_totalprice > 300000 THEN 'transient' ELSE 'genuine' END AS error_class FROM orders""",
+        WHEN o_orderpriority <> '4-NOT SPECIFIED' OR o_totalprice > 300000 OR o_custkey % 3 < 2 THEN 'transient' ELSE 'genuine' END AS error_class FROM orders""",
     "scan_status": f"""WITH {LINES_SQL}, n AS (SELECT scan_id, count(*) AS n FROM facts GROUP BY 1)
       SELECT o_orderkey AS scan_id, CASE WHEN o_orderstatus = 'O' THEN 'error' ELSE 'done' END AS status,
              CASE WHEN o_orderstatus = 'O' THEN left('TimeoutError: ' || repeat(o_orderpriority, 100), 500) END AS error, coalesce(n, 0) AS n_facts
