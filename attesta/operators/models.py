@@ -147,6 +147,7 @@ def write_notes(requests: DataFrame, folder: str, model: Model | None = None, at
         rejected = checked.filter(F.col("problem").isNotNull())
         # the request as first asked, with what was wrong about the answer
         asked = requests.join(rejected.select("scan_id", feedback(F.col("problem")).alias("feedback")), "scan_id")
+    # an answer that never came is an error of the scan if it may come later (see error_class)
     given_up = rejected.select(
         "scan_id", F.lit(None).cast("string").alias("note"), F.lit(None).cast("array<int>").alias("fact_ids"),
         "error", F.lit("unverified").alias("note_status"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,24 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_once(df: DataFrame, path: str, resume: bool) -> DataFrame:
+    """A stage table with a mark beside it once it is whole; with ``resume`` a marked table that an
+    earlier run left at ``path`` is read instead of written."""
+    spark, mark = df.sparkSession, f"{path}.done"
+    if resume and _readable(spark, mark):
+        return spark.read.schema(df.schema).parquet(path)
+    written = stage(df, path)
+    spark.range(1).write.mode("overwrite").parquet(mark)
+    return written
+
+
+def _readable(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a costly column that is worked out once per row.
 

@@ -17,11 +17,17 @@ def without_nul(rows: DataFrame) -> DataFrame:
     ])
 
 
-def append_scan_outputs(folder: str, scans: DataFrame, facts: DataFrame, results: DataFrame) -> None:
-    """Append the three output tables, each split by profile (icp_id). Whatever a failed scan had
-    completed is stored like the rest; its status says so."""
-    for name, rows in (("scans", scans), ("facts", facts), ("criterion_results", results)):
-        without_nul(rows).write.mode("append").partitionBy("icp_id").parquet(f"{folder}/{name}")
+def write_scan_outputs(folder: str, batch: str, tables: dict[str, DataFrame], files_per_profile: int = 8) -> None:
+    """Store the output tables of a batch, each split by profile_id. Whatever a failed scan had
+    completed is stored like the rest; its status says so.
+
+    A batch has folders of its own, which a retry replaces. A profile's rows are dealt out to
+    ``files_per_profile`` tasks, so that neither every task writes every profile nor one task all.
+    """
+    part = F.pmod(F.xxhash64("scan_id"), F.lit(files_per_profile))
+    for name, rows in tables.items():
+        dealt = without_nul(rows).repartition("profile_id", part)
+        dealt.write.mode("overwrite").partitionBy("profile_id").parquet(f"{folder}/{name}/batch={batch}")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

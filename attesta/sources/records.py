@@ -56,6 +56,20 @@ def first_capture(index: Column, availability: Column) -> Column:
     )
 
 
+def lookup_ok(as_of: Column) -> Column:
+    """Whether a stored lookup (kind, payload, fallback) found what it asked for."""
+    registered = registration_dates(F.col("payload"), as_of)["ok"]
+    captured = first_capture(F.col("payload"), F.col("fallback")).isNotNull()
+    return F.coalesce(F.when(F.col("kind") == "rdap", registered).otherwise(captured), F.lit(False))
+
+
+def records_text(rdap: Column, wayback: Column) -> Column:
+    """What the records say, for a request; null without any."""
+    registered = F.when(F.coalesce(rdap["ok"], F.lit(False)), F.concat(F.lit("registered "), rdap["registered"]))
+    captured = F.concat(F.lit("first captured "), wayback["first_capture"])
+    return F.nullif(F.concat_ws("; ", registered, captured), F.lit(""))
+
+
 def registration_source(domain: Column) -> Column:
     return F.concat(F.lit("https://rdap.org/domain/"), registrable_domain(domain))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import evaluation, latest, models, traffic
+from attesta.operators.scoring import criteria_hash
 from attesta.plans.scan_batch import run_scans
 from attesta.session import literal_relation
 from attesta.sinks import tables
@@ -74,12 +75,13 @@ def test_import_stream_adds_each_domain_once(spark, tmp_path):
 
 def test_stored_tables(spark, tmp_path):
     folder = str(tmp_path / "t")
-    rows = spark.createDataFrame([(1, 5, "a\x00b")], "id long, icp_id int, text string")
-    tables.append_scan_outputs(folder, rows, rows, rows)
-    tables.append_scan_outputs(folder, rows.withColumn("extra", F.lit("x")), rows, rows)
+    rows = spark.createDataFrame([(1, 5, "a\x00b")], "scan_id long, profile_id int, text string")
+    tables.write_scan_outputs(folder, "0", {"scans": rows, "facts": rows})
+    for _ in range(2):  # a retry replaces what the batch wrote
+        tables.write_scan_outputs(folder, "1", {"scans": rows.withColumn("extra", F.lit("x")), "facts": rows})
     assert sorted((r.text, r.extra or "") for r in tables.read_table(spark, folder, "scans").collect()) == [("ab", ""), ("ab", "x")]
     wide = tables.with_columns_of(rows, tables.read_table(spark, folder, "scans").schema)
-    assert wide.columns == ["id", "text", "extra", "icp_id"] and wide.head().extra is None
+    assert wide.columns == ["scan_id", "text", "extra", "batch", "profile_id"] and wide.head().extra is None
 
 
 def test_golden_file(spark, tmp_path):
@@ -131,7 +133,7 @@ def test_failing_model_marks_rows(spark):
     assert row.answer is None and row.error == "TimeoutError: 429 slow down"
 
 
-def batch(spark, tmp_path, **model):
+def batch(spark, tmp_path, more_pages=(), **model):
     long = "We repair roofs, gutters and walls in the whole county and are happy to help you with any question. " * 8
     page = lambda body: f"<html><title>Shop</title><body><p>{body}</p><p>{long}</p></body></html>"
     rows = [
@@ -139,13 +141,16 @@ def batch(spark, tmp_path, **model):
         ("https://a.com/about", page("Over 30 years of experience."), 2), ("https://a.com/copy", page("Over 30 years of experience."), 3),
         ("https://b.com/", page("We are a franchisee here. Locally owned and operated by neighbours."), 1), ("https://c.com/", "<p>tiny</p>", 1)]
     pages = spark.createDataFrame(rows, "url string, html string, n int").select(
-        "url", "html", F.timestamp_seconds("n").alias("fetched_at"), F.lit("live").alias("via"))
+        "url", "html", F.timestamp_seconds(F.col("n") + 1766000000).alias("fetched_at"), F.lit("live").alias("via"))
     profiles = _batch_profiles(spark)
     work = [(10 * i + p, i, d, d, p) for i, d in enumerate(["a.com", "b.com", "c.com", "d.com"]) for p in (1, 2)]
     worklist = spark.createDataFrame(work, "scan_id long, company_id long, name string, domain string, profile_id long")
     records = spark.createDataFrame(
         [("a.com", "rdap", '{"events":[{"eventAction":"registration","eventDate":"1999-05-01T00:00:00Z"}]}', None)],
-        "domain string, kind string, payload string, fallback string").withColumn("fetched_at", F.timestamp_seconds(F.lit(1)))
+        "domain string, kind string, payload string, fallback string").withColumn("fetched_at", F.timestamp_seconds(F.lit(1766000000)))
+    if more_pages:
+        pages = pages.unionByName(spark.createDataFrame(more_pages, "url string, html string, n long").select(
+            "url", "html", F.timestamp_seconds("n").alias("fetched_at"), F.lit("live").alias("via")))
     out = run_scans(worklist, profiles, pages, records, F.to_timestamp(F.lit("2026-01-01")), str(tmp_path), **model)
     return out, {(r.domain, r.profile_id): r for r in out.scans.collect()}
 
@@ -185,6 +190,72 @@ def test_whole_batch_with_models(spark, tmp_path):
         "Downgraded: no verified fact cited. (r)"}
 
 
+def busy_model():
+    def model(requests):
+        raise ConnectionError("429")
+
+    return model
+
+
+def test_recrawled_and_stale_pages_count_once(spark, tmp_path):
+    now = 1766000100
+    more = [("https://a.com/about", "<html><body><p>" + "Newly written page of the same address. " * 5 + "</p></body></html>", now),
+            ("https://a.com/old", "<html><body><p>" + "A page of long ago. " * 9 + "</p></body></html>", 1700000000),
+            ("https://a.com/later", "<html><body><p>" + "A page of tomorrow. " * 9 + "</p></body></html>", 1800000000)]
+    out, got = batch(spark, tmp_path, more_pages=more)
+    assert got["a.com", 1].pages_fetched == 3  # home, the new /about and /copy, which no longer repeats it
+    assert out.facts.filter("scan_id = 1").groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def test_passing_trouble_of_any_call_ends_the_scan_as_error(spark, tmp_path):
+    _, got = batch(spark, tmp_path / "x", extract=busy_model())
+    assert {got[d, p].status for d in ("a.com", "b.com") for p in (1, 2)} == {"error"}
+    assert (got["a.com", 1].error, got["a.com", 1].score) == ("ConnectionError: 429", None)
+    assert got["c.com", 1].status == "done"  # nothing was asked for it
+    out, got = batch(spark, tmp_path / "j", judge=busy_model())
+    assert (got["a.com", 1].status, got["a.com", 1].score) == ("error", None) and not out.facts.filter("scan_id = 1").isEmpty()
+    assert out.results.filter("scan_id = 1").isEmpty()
+    out, got = batch(spark, tmp_path / "n", write_note=busy_model())
+    assert (got["a.com", 1].status, got["a.com", 1].score, got["a.com", 1].note_status) == ("error", 100.0, None)
+    assert (got["b.com", 1].status, got["b.com", 1].note_status) == ("done", "red_flag")
+
+
+def test_requests_are_made_once_and_hold_pages_and_records(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def note(kind, answer):
+        def model(requests):
+            with open(f"{seen}-{kind}", "a") as f:
+                f.writelines(json.dumps(r) + "\n" for r in requests)
+            return answer(requests)
+        return model
+
+    said_once = lambda requests: requests.map(lambda r: json.dumps({"facts": [
+        {"category": "hiring", "fact": "They repair roofs.", "evidence_quote": "We repair roofs, gutters and walls", "confidence": 0.8}]}))
+    judged = lambda requests: requests.map(lambda r: json.dumps({"judgments": []}))
+    calls = {"extract": note("extract", said_once), "judge": note("judge", judged)}
+    batch(spark, tmp_path / "run", **calls)
+    asked = [json.loads(x) for x in open(f"{seen}-extract")]
+    assert len(asked) == len(set(asked)) == 3  # two different pages of a.com, one of b.com
+    request = next(r for r in map(json.loads, open(f"{seen}-judge")) if "a.com" in r)
+    assert "https://a.com/, https://a.com/about" in request and "registered 1999-05-01" in request
+    before = {k: len(open(f"{seen}-{k}").readlines()) for k in calls}
+    _, got = batch(spark, tmp_path / "run", resume=True, **calls)  # nothing is asked again
+    assert before == {k: len(open(f"{seen}-{k}").readlines()) for k in calls} and got["a.com", 1].status == "done"
+
+
+def test_stored_scans_robots_and_outputs(spark, tmp_path):
+    prints = _batch_profiles(spark).select("profile_id", criteria_hash(F.col("criteria")).alias("criteria_hash"))
+    stored = prints.select(
+        F.lit(99).cast("bigint").alias("scan_id"), F.lit(0).cast("bigint").alias("company_id"), "profile_id", "criteria_hash", F.lit("done").alias("status"),
+        F.when(F.col("profile_id") == 1, F.to_timestamp(F.lit("2025-12-01"))).otherwise(F.to_timestamp(F.lit("2025-01-01"))).alias("finished_at"))
+    robots = spark.createDataFrame([("https://b.com", 200, "User-agent: *\nDisallow: /")], "origin string, status int, body string")
+    out, got = batch(spark, tmp_path / "run", stored_scans=stored, robots=robots, outputs=str(tmp_path / "out"))
+    assert [tuple(r) for r in out.reused.collect()] == [(1, 99)] and ("a.com", 1) not in got and got["a.com", 2].score == 100.0
+    assert got["b.com", 1].no_evidence_reason == "site_unreadable"
+    assert tables.read_table(spark, str(tmp_path / "out"), "scans").count() == len(got) == 7
+
+
 def test_literal_relation_handles_nulls(spark):
     schema = spark.createDataFrame([], "a int, b array<string>").schema
     assert [tuple(r) for r in literal_relation(spark, [(1, ["x"]), (None, [])], schema).collect()] == [(1, ["x"]), (None, [])]

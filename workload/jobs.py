@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.functions.urls import normalize_domain
 from attesta.operators import evaluation as E
 from attesta.operators import models as M
+from attesta.operators.scoring import criteria_hash
 from attesta.plans.scan_batch import run_scans
 from attesta.schemas import CRITERIA
 from attesta.session import literal_relation, new_folder
@@ -50,19 +52,17 @@ def eval_report(spark, sf_dir):
 
 
 def scan_outputs(spark, sf_dir):
-    """Facts and results of every scan appended to the stored tables, and counted as read back."""
+    """Scans, facts and results stored as two batches, the second written twice, and read back."""
     folder = new_folder(spark, "outputs")
-    scans = P.scans(spark, sf_dir).withColumnRenamed("profile_id", "icp_id")
-    own = scans.select("scan_id", "icp_id")
+    own = P.scans(spark, sf_dir).select("scan_id", "profile_id")
     facts = stored_facts(spark, sf_dir).withColumn("evidence_quote", F.concat("evidence_quote", F.lit("\x00"))).join(own, "scan_id")
-    results = P.results(spark, sf_dir, "verdict", "source_url").join(own, "scan_id")
-    K.append_scan_outputs(folder, scans, facts, results)
-    count = lambda name: K.read_table(spark, folder, name).groupBy("icp_id").agg(
-        F.lit(name).alias("name"), F.count("*").alias("n"))
-    rows = count("scans").unionByName(count("facts")).unionByName(count("criterion_results"))
-    nul = K.read_table(spark, folder, "facts").filter(F.contains("evidence_quote", F.lit("\x00"))).groupBy("icp_id").agg(
-        F.lit("nul").alias("name"), F.count("*").alias("n"))
-    return rows.unionByName(nul).withColumn("icp_id", F.col("icp_id").cast("int"))
+    tables = {"scans": P.scans(spark, sf_dir), "facts": facts, "results": P.results(spark, sf_dir, "verdict", "source_url").join(own, "scan_id")}
+    for batch, part in (("0", "scan_id % 2 = 0"), ("1", "scan_id % 2 = 1"), ("1", "scan_id % 2 = 1")):
+        K.write_scan_outputs(folder, batch, {name: rows.filter(part) for name, rows in tables.items()})
+    row = lambda name, *said: K.read_table(spark, folder, name).select(
+        F.lit(name).alias("name"), F.col("profile_id").cast("int").alias("profile_id"), "scan_id", F.concat_ws("|", *said).alias("said"))
+    return row("scans", "status", "outreach_note").unionByName(row("facts", "id", "evidence_quote", "grounding")).unionByName(
+        row("results", "criterion_key", "verdict", "source_url"))
 
 
 def profile_compile(spark, sf_dir):
@@ -85,38 +85,54 @@ def _batch_profiles(spark):
     return literal_relation(spark, [(1, "Buyers", [owner, years, group]), (2, "Sellers", [hiring, years])], schema)
 
 
+AS_OF = "2026-01-01"
+FILLER = "We repair roofs, gutters and walls in the whole county and are happy to help you with any question. " * 7
+
+
 def batch_inputs(spark, sf_dir):
-    """Every host as a company, its pages as landed, with a few company statements added."""
-    from attesta.functions.urls import normalize_domain
-
-    n = F.col("page_id")
-    said = F.concat(
-        F.lit("<p>Family owned and operated since "), (1950 + n % 70).cast("string"), F.lit(", serving all. Over "),
-        (10 + n % 80).cast("string"), F.lit(" years of experience.</p>"),
-        F.when(F.col("url").contains("utm"), F.lit("<p>We are a franchisee in the region.</p>")).otherwise(F.lit("")))
-    pages = P.table(spark, sf_dir, "pages").select(
-        "url", F.regexp_replace("html", "</article>", F.concat(said, F.lit("</article>"))).alias("html"),
-        F.timestamp_seconds(n).alias("fetched_at"), F.lit("live").alias("via"))
-    companies = pages.select(normalize_domain(F.col("url")).alias("domain")).distinct().withColumn("company_id", F.xxhash64("domain"))
+    """Every host as a company and its pages as landed, with statements that follow from page_id.
+
+    Some pages are home pages, some are stale, some landed twice, some hold nothing to read.
+    """
+    n, url = F.col("page_id"), F.col("url")
+    address = F.when(n % 10 == 1, F.regexp_replace(url, "^[a-z]+://([^/]*)/.*$", "https://$1/")).otherwise(url)
+    said = lambda shift, flag: F.when(n % 11 == 2, "<html><body><p>tiny</p></body></html>").otherwise(F.concat(
+        F.lit("<html><title>Shop</title><body><p>Family owned and operated since "), (1950 + (n + shift) % 70).cast("string"), F.lit(", serving all. Over "),
+        (10 + (n + shift) % 80).cast("string"), F.lit(" years of experience.</p>"),
+        F.when(flag, F.lit("<p>We are a franchisee in the region.</p>")).otherwise(F.lit("")), F.lit(f"<p>{FILLER}</p></body></html>")))
+    at = lambda day: F.to_timestamp(F.lit(day)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n)
+    table = P.table(spark, sf_dir, "pages").select("page_id", "url")
+    first = table.select(
+        address.alias("url"), said(0, url.contains("utm")).alias("html"),
+        F.when(n % 7 == 3, at("2025-09-01")).otherwise(at("2025-12-01")).alias("fetched_at"))
+    again = table.filter(n % 5 == 0).select(address.alias("url"), said(1, n % 3 == 0).alias("html"), at("2025-12-20").alias("fetched_at"))
+    pages = first.unionByName(again).withColumn("via", F.lit("live"))
+    companies = first.select(normalize_domain(F.col("url")).alias("domain")).distinct().withColumn("company_id", F.col("domain"))
     profiles = _batch_profiles(spark)
     worklist = companies.withColumn("profile_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).select(
         F.xxhash64("domain", "profile_id").alias("scan_id"), "company_id", F.col("domain").alias("name"), "domain", "profile_id")
-    stamp = F.date_format("fetched_at", "yyyyMMdd")
-    enrichments = pages.select(
-        normalize_domain(F.col("url")).alias("domain"), F.lit("wayback").alias("kind"),
-        F.concat(F.lit('[["timestamp"],["'), stamp, F.lit('"]]')).alias("payload"), F.lit(None).cast("string").alias("fallback"), "fetched_at")
-    return worklist, profiles, pages, enrichments
+    enrichments = companies.select(
+        "domain", F.lit("wayback").alias("kind"), F.lit('[["timestamp"],["19990203040506"]]').alias("payload"), F.lit(None).cast("string").alias("fallback"),
+        F.to_timestamp(F.lit("2025-12-25")).alias("fetched_at"))
+    # one company in four has a finished scan of ten days ago, another one of seventy
+    age = F.length("domain") % 4
+    stored = worklist.filter(age < 2).join(profiles.select("profile_id", criteria_hash(F.col("criteria")).alias("criteria_hash")), "profile_id").select(
+        F.lit(7).cast("bigint").alias("scan_id"), "company_id", "profile_id", "criteria_hash", F.lit("done").alias("status"),
+        F.when(age == 0, F.to_timestamp(F.lit("2025-12-22"))).otherwise(F.to_timestamp(F.lit("2025-10-20"))).alias("finished_at"))
+    return worklist, profiles, pages, enrichments, stored
 
 
 def scan_batch(spark, sf_dir):
-    """Pages to facts, verdicts, scores, notes and ranking, for every host and two profiles."""
-    worklist, profiles, pages, enrichments = batch_inputs(spark, sf_dir)
-    as_of = F.to_timestamp(F.lit("2026-01-01"))
-    out = run_scans(worklist, profiles, pages, enrichments, as_of, new_folder(spark, "batch"))
-    counts = out.facts.groupBy("scan_id").agg(F.count("*").alias("n_facts"), F.count_if(F.col("grounding") != "none").alias("n_grounded"))
-    return out.scans.join(counts, "scan_id", "left").select(
-        "domain", "profile_id", "status", "score", "coverage", "pages_fetched", "content_chars", "no_evidence_reason",
-        "note_status", F.length("outreach_note").alias("note_chars"), "n_facts", "n_grounded")
+    """Pages to facts, verdicts, scores and notes, for every host and two profiles; requests that a
+    stored scan answers are listed as reused."""
+    worklist, profiles, pages, enrichments, stored = batch_inputs(spark, sf_dir)
+    as_of = F.to_timestamp(F.lit(AS_OF))
+    out = run_scans(worklist, profiles, pages, enrichments, as_of, new_folder(spark, "batch"), stored_scans=stored)
+    records = out.facts.groupBy("scan_id").agg(F.count_if(F.col("grounding") == "record").alias("n_records"))
+    columns = ["domain", "profile_id", "status", "score", "coverage", "penalty", "pages_fetched", "no_evidence_reason", "note_status", "n_records"]
+    ran = out.scans.join(records, "scan_id", "left").select(*columns)
+    reused = worklist.join(out.reused, "scan_id").select("domain", "profile_id", F.lit("reused").alias("status"))
+    return ran.unionByName(reused, allowMissingColumns=True)
 
 
 QUERIES = {f.__name__: f for f in (golden_cases, eval_agreement, eval_cases, eval_report, scan_outputs, profile_compile, scan_batch)}
@@ -156,7 +172,34 @@ ORACLE = {
              count(*) FILTER (NOT cached) AS fresh_scans, avg(latency) FILTER (NOT cached) AS mean_latency
       FROM per_case GROUP BY ROLLUP (domain)""",
     "scan_outputs": f"""WITH {P.SCANS_SQL}, {P.RESULTS_SQL}, {LINES_SQL}
-      SELECT CAST(profile_id AS INTEGER) AS icp_id, 'scans' AS name, count(*) AS n FROM scans GROUP BY ALL
-      UNION ALL SELECT CAST(profile_id AS INTEGER), 'facts', count(*) FROM facts JOIN scans USING (scan_id) GROUP BY ALL
-      UNION ALL SELECT CAST(profile_id AS INTEGER), 'criterion_results', count(*) FROM results JOIN scans USING (scan_id) GROUP BY ALL""",
+      SELECT 'scans' AS name, CAST(profile_id AS INTEGER) AS profile_id, scan_id, concat_ws('|', status, outreach_note) AS said FROM scans
+      UNION ALL SELECT 'facts', CAST(profile_id AS INTEGER), scan_id, concat_ws('|', id, evidence_quote, grounding) FROM facts JOIN scans USING (scan_id)
+      UNION ALL SELECT 'results', CAST(profile_id AS INTEGER), scan_id, concat_ws('|', criterion_key, verdict, source_url) FROM results JOIN scans USING (scan_id)""",
+    "scan_batch": f"""
+      WITH first AS (
+        SELECT page_id, CASE WHEN page_id % 10 = 1 THEN regexp_replace(url, '^[a-z]+://([^/]*)/.*$', 'https://\\1/') ELSE url END AS url,
+               contains(url, 'utm') AS flag, 0 AS shift, CASE WHEN page_id % 7 = 3 THEN DATE '2025-09-01' ELSE DATE '2025-12-01' END AS day FROM pages),
+      landed AS (SELECT * FROM first UNION ALL SELECT page_id, url, page_id % 3 = 0, 1, DATE '2025-12-20' FROM first WHERE page_id % 5 = 0),
+      newest AS (
+        SELECT *, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS domain, url SIMILAR TO '[a-z]+://[^/]*/' AS root, page_id % 11 <> 2 AS readable,
+               (1950 + (page_id + shift) % 70) || ',' || (10 + (page_id + shift) % 80) || ',' || flag AS body
+        FROM landed WHERE day >= DATE '2025-11-02' QUALIFY row_number() OVER (PARTITION BY url ORDER BY day DESC, page_id DESC) = 1),
+      sites AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS domain FROM first),
+      homes AS (SELECT domain, arg_min(url, (day, page_id)) FILTER (root) AS home, count(*) AS n FROM newest GROUP BY 1),
+      placed AS (
+        SELECT x.*, n >= 2 AND home IS NOT NULL AS whole,
+               row_number() OVER (PARTITION BY domain ORDER BY url IS DISTINCT FROM home, NOT root, day, page_id) AS alone,
+               row_number() OVER (PARTITION BY domain ORDER BY url IS DISTINCT FROM home, day, page_id) AS place
+        FROM newest x JOIN homes USING (domain)),
+      chosen AS (SELECT * FROM placed WHERE CASE WHEN whole THEN place <= 6 ELSE alone = 1 END),
+      facts AS (SELECT domain, count(DISTINCT CASE WHEN readable THEN body ELSE 'tiny' END) AS pages, bool_or(readable) AS enough,
+                  coalesce(bool_or(flag) FILTER (readable), false) AS flagged FROM chosen GROUP BY 1)
+      SELECT domain, CAST(profile_id AS BIGINT) AS profile_id, CASE WHEN reused THEN 'reused' ELSE 'done' END AS status,
+             CASE WHEN reused OR NOT enough THEN NULL WHEN profile_id = 1 AND flagged THEN 55.6 ELSE 100.0 END::DOUBLE AS score,
+             CASE WHEN reused THEN NULL WHEN NOT enough THEN 0.0 WHEN profile_id = 1 THEN 100.0 ELSE 50.0 END::DOUBLE AS coverage,
+             CASE WHEN reused THEN NULL WHEN profile_id = 1 AND flagged THEN 44.4 ELSE 0.0 END::DOUBLE AS penalty,
+             CASE WHEN NOT reused THEN pages END AS pages_fetched, CASE WHEN reused OR enough THEN NULL WHEN pages = 0 THEN 'site_unreadable' ELSE 'content_too_thin' END AS no_evidence_reason,
+             CASE WHEN reused THEN NULL WHEN NOT enough THEN 'skipped' WHEN profile_id = 1 AND flagged THEN 'red_flag' ELSE 'ok' END AS note_status,
+             CASE WHEN NOT reused THEN CAST(1 AS BIGINT) END AS n_records
+      FROM (SELECT domain, coalesce(pages, 0) AS pages, coalesce(enough, false) AS enough, coalesce(flagged, false) AS flagged, length(domain) % 4 = 0 AS reused FROM sites LEFT JOIN facts USING (domain)), range(1, 3) r(profile_id)""",
 }
