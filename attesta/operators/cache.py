@@ -63,6 +63,20 @@ def fresh_scan(requests: DataFrame, scans: DataFrame, days: int = SCAN_DAYS) ->
     )
 
 
+def new_texts(fetches: DataFrame, days: int = PAGE_DAYS) -> DataFrame:
+    """Fetches that brought a text which the same address had at no time in the ``days`` before.
+
+    fetches: url, content_hash, ts, id, …; of fetches at one instant the smallest id counts.
+    """
+    keys = ["url", "content_hash"]
+    timed = fetches.filter(F.col("content_hash").isNotNull()).withColumn("at_us", micros(F.col("ts")))
+    payload = [c for c in timed.columns if c not in (*keys, "at_us")]
+    firsts = timed.groupBy(*keys, "at_us").agg(F.min_by(F.struct(*payload), "id").alias("row")).select(*keys, "at_us", "row.*")
+    seen = firsts.select(*keys, F.col("at_us").alias("event_us"), F.col("id").alias("event_id"))
+    looked_up = latest_within(firsts, seen, keys, tolerance_us=days * DAY_US, bucket_us=days * DAY_US, strict=True)
+    return looked_up.filter(F.col("event_us").isNull()).drop("event_us", "event_id", "at_us")
+
+
 def split_requests(with_fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests answered by a stored scan, and requests that need a new one."""
     hit = F.col("fresh_scan_id").isNotNull()

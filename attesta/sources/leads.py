@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from attesta.session import new_folder, stage
 
 # Header spellings accepted for each field, in order of preference, after
 # lower-casing and dropping everything but letters and digits.
@@ -44,54 +50,63 @@ def column_positions(headers: Sequence[str | None]) -> dict[str, int]:
     return {field: position for field, position in found.items() if position is not None}
 
 
-def files_by_encoding(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Encoding to file names: UTF-8 where every line of the file is valid, else Latin-1.
+def read_lead_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of lead lists as the ten lead fields plus ``row_pos``, their place in file order.
 
-    Lines are checked where they are read; only one flag per file comes back.
+    Every file under ``path`` has its own header and encoding: UTF-8 if all its lines are valid, else
+    Latin-1. A file without a header or a website column is an error. Files are read by the line, so
+    that a large one is split; only files with line breaks inside quotes are parsed whole, each in
+    one task.
     """
-    flags = (
-        spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
-        .groupBy("file").agg(F.bool_and("valid").alias("valid"))
-    )
-    chosen: dict[str, list[str]] = {}
-    for row in flags.orderBy("file").collect():
-        chosen.setdefault("UTF-8" if row.valid else "ISO-8859-1", []).append(row.file)
-    return chosen
+    folder = new_folder(spark, "lead-csv")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = stage(
+        spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("value").cast("binary").alias("line")),
+        f"{folder}/lines")
+    latin = F.decode("line", "ISO-8859-1")
+    odd_quotes = (F.length(latin) - F.length(F.replace(latin, F.lit('"')))) % 2 == 1
+    files = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8(F.col("line").cast("string"))).alias("utf8"), F.bool_or(odd_quotes).alias("whole"),
+        F.min("place").alias("header_place"), F.min_by("line", "place").alias("header"))
+    files = stage(files.mapInPandas(_with_positions, f"{files.schema.simpleString()[7:-1]}, positions array<int>, width int, problem string"), f"{folder}/files")
+    bad = files.filter("problem is not null").orderBy("file").first()
+    if bad is not None or files.isEmpty():
+        raise ValueError(f"{bad.file}: {bad.problem}" if bad else "no line in any lead list")
 
+    width = files.agg(F.max("width")).first()[0]
+    told = lines.join(files.drop("header"), "file")
+    text = F.when(F.col("utf8"), F.col("line").cast("string")).otherwise(latin)
+    simple = told.filter(~F.col("whole") & (F.col("place") != F.col("header_place"))).withColumn("text", text).filter(F.trim("text") != "")
+    values = F.from_csv("text", ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})
+    row_pos = F.struct("file", "place.block", "place.row").alias("row_pos")
+    # generated, so that a line is parsed once and not once for each field
+    parsed = simple.select("positions", row_pos, F.explode(F.array(values)).alias("v")).select(
+        "positions", "row_pos", F.array(*[F.col(f"v.c{i}") for i in range(width)]).alias("v"))
+    by_line = parsed.select(*[F.get("v", F.get("positions", F.lit(k))).alias(f) for k, f in enumerate(LEAD_FIELDS)], "row_pos")
+    schema = T.StructType([*[T.StructField(f, T.StringType()) for f in LEAD_FIELDS], by_line.schema["row_pos"]])
+    whole = told.filter("whole").select("file", "place.block", "place.row", "line", "utf8", "positions")
+    return by_line.unionByName(whole.groupBy("file").applyInPandas(_parse_whole, schema))
 
-def read_lead_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a lead list as the ten lead fields plus ``row_pos``, their place in file order.
 
-    All files under ``path`` share one header. A missing website column is an error.
-    """
-    parts = [_read_encoded(spark, files, encoding) for encoding, files in files_by_encoding(spark, path).items()]
-    if not parts:
-        raise ValueError("CSV has no header row")
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
-
-
-def _read_encoded(spark: SparkSession, files: list[str], encoding: str) -> DataFrame:
-    options = {"encoding": encoding, "escape": '"', "multiLine": True}
-    first = spark.read.csv(files, header=False, **options).head(1)
-    headers = [(h or "").lstrip("﻿") for h in first[0]] if first else []
-    positions = column_positions(headers)
-    if not any(headers):
-        raise ValueError("CSV has no header row")
-    if "domain" not in positions:
-        raise ValueError(f"CSV needs a website/domain column; got {headers}")
-    schema = ", ".join(f"_c{i} string" for i in range(len(headers)))
-    rows = spark.read.schema(schema).csv(files, header=True, enforceSchema=True, **options)
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    fields = [
-        (F.col(f"_c{positions[f]}") if f in positions else F.lit(None).cast("string")).alias(f)
-        for f in LEAD_FIELDS
-    ]
-    return rows.select(*fields, place.alias("row_pos"))
+def _with_positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files with the column of each lead field (none: null) and what is wrong with the header."""
+    for files in batches:
+        rows = []
+        for header, utf8 in zip(files["header"], files["utf8"]):
+            text = bytes(header).decode("utf-8" if utf8 else "latin-1").lstrip("\ufeff")
+            names = next(csv.reader([text]), [])
+            found = column_positions(names)
+            problem = None if "domain" in found else "the first line names no website column" if any(names) else "the first line is empty"
+            rows.append(([found.get(f) for f in LEAD_FIELDS], len(names), problem))
+        yield files.assign(positions=[r[0] for r in rows], width=[r[1] for r in rows], problem=[r[2] for r in rows])
+
+
+def _parse_whole(lines: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one file whose fields may hold line breaks."""
+    lines = lines.sort_values(["block", "row"])
+    text = b"\n".join(map(bytes, lines["line"])).decode("utf-8" if lines["utf8"].iloc[0] else "latin-1").lstrip("\ufeff")
+    positions = [None if p is None or p != p else int(p) for p in lines["positions"].iloc[0]]
+    rows = [r for r in list(csv.reader(io.StringIO(text)))[1:] if any(r)]
+    found = {f: [r[p] if p is not None and p < len(r) and r[p] != "" else None for r in rows] for f, p in zip(LEAD_FIELDS, positions)}
+    found["row_pos"] = [{"file": lines["file"].iloc[0], "block": 0, "row": k} for k in range(len(rows))]
+    return pd.DataFrame(found)

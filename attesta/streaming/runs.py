@@ -18,9 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 from attesta.operators import imports as I
 from attesta.operators import latest as L
 from attesta.operators.asof import micros
+from attesta.operators.cache import DAY_US, PAGE_DAYS, new_texts
 from attesta.operators.traffic import COOLDOWN_US, MIN_GAP_US, breaker_windows, politeness_audit
 
-PAGE_EXPIRY = "60 days"
 
 
 def _batch_folder(folder: str, batch: int) -> str:
@@ -73,12 +73,6 @@ def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), "batch").alias("row")).select(*keys, "row.*")
 
 
-def new_page_texts(stream: DataFrame) -> DataFrame:
-    """Page fetches whose text was not seen at that address in the last 60 days. The watermark
-    bounds the state."""
-    return stream.withWatermark("fetched_at", PAGE_EXPIRY).dropDuplicatesWithinWatermark(["url", "content_hash"])
-
-
 # ---------------------------------------------------------------- imports
 def import_leads(stream: DataFrame, existing: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Append the companies that neither ``existing`` nor an earlier batch holds."""
@@ -95,10 +89,12 @@ def import_leads(stream: DataFrame, existing: DataFrame, folder: str, checkpoint
 # ---------------------------------------------------------------- request logs
 def audit_log(
     stream: DataFrame, keys: list[str], folder: str, checkpoint: str,
-    audit: Callable[[DataFrame], DataFrame], carry_only: str = "true",
+    audit: Callable[[DataFrame], DataFrame], expiry_us: int, carry_only: str = "true",
 ) -> StreamingQuery:
     """Run a batch ``audit`` over each micro-batch preceded by the last row of every key from the
-    batches before. The log must reach the stream in time order, file by file."""
+    batches before. Rows older than ``expiry_us``, which no later row looks back to, are not
+    carried on, so that the carry holds the keys of that time only. The log must reach the stream in
+    time order, batch by batch."""
     spark = stream.sparkSession
     carry_folder = f"{folder}/carry"
 
@@ -108,7 +104,8 @@ def audit_log(
             spark.createDataFrame([], rows.schema))
         marked = rows.withColumn("fresh", F.lit(True)).unionByName(carried.withColumn("fresh", F.lit(False)))
         payload = [c for c in rows.columns if c not in keys]
-        last = marked.filter(carry_only).groupBy(*keys).agg(
+        newest = marked.agg(F.max(micros(F.col("ts")))).first()[0] or 0
+        last = marked.filter(carry_only).filter(micros(F.col("ts")) >= newest - expiry_us).groupBy(*keys).agg(
             F.max_by(F.struct(*payload), F.struct(micros(F.col("ts")), "id")).alias("row"))
         audit(marked).filter("fresh").drop("fresh").write.mode("overwrite").parquet(
             _batch_folder(f"{folder}/found", batch))
@@ -120,7 +117,7 @@ def audit_log(
 
 def politeness(stream: DataFrame, folder: str, checkpoint: str, gap_us: int = MIN_GAP_US) -> StreamingQuery:
     """Requests too close to the one before, per host. stream: host, ts, id."""
-    return audit_log(stream, ["host"], folder, checkpoint, lambda rows: politeness_audit(rows, gap_us))
+    return audit_log(stream, ["host"], folder, checkpoint, lambda rows: politeness_audit(rows, gap_us), gap_us)
 
 
 def breaker(
@@ -128,9 +125,17 @@ def breaker(
 ) -> StreamingQuery:
     """Availability of each upstream at each response. stream: keys, ts, id, failed."""
     return audit_log(
-        stream, keys, folder, checkpoint, lambda rows: breaker_windows(rows, keys, cooldown_us),
+        stream, keys, folder, checkpoint, lambda rows: breaker_windows(rows, keys, cooldown_us), cooldown_us,
         carry_only="failed")
 
 
+def new_page_texts(stream: DataFrame, folder: str, checkpoint: str, days: int = PAGE_DAYS) -> StreamingQuery:
+    """Page fetches whose text the address had at no time in the days before, as ``new_texts``.
+    stream: url, content_hash, ts, id."""
+    return audit_log(
+        stream, ["url", "content_hash"], folder, checkpoint,
+        lambda rows: new_texts(rows, days), days * DAY_US)
+
+
 def found(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/found").drop("batch")

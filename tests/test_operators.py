@@ -98,9 +98,12 @@ def test_lead_csv(spark, tmp_path):
     (tmp_path / "a" / "utf8.csv").write_bytes(
         '﻿Info,URL,Company name,"State / Region"\nx,https://www.a.com,"Ünï, ""q""",TX\ny,b.com,"Two\nlines",\n'.encode())
     (tmp_path / "a" / "latin.csv").write_bytes('Info,URL,Company name,"State / Region"\nz,c.com,Café,OK\n'.encode("latin-1"))
+    (tmp_path / "a" / "turned.csv").write_text("Website,Company,State\n\nd.com,Four,\ne.com\n")  # another header order, a short row
+    (tmp_path / "a" / "again.csv").write_text("Company,Website\nSix,f.com\n")
     rows = leads.read_lead_csv(spark, str(tmp_path / "a"))
     got = {r.domain: (r.name, r.state) for r in rows.collect()}
-    assert got == {"https://www.a.com": ('Ünï, "q"', "TX"), "b.com": ("Two\nlines", None), "c.com": ("Café", "OK")}
+    assert got == {"https://www.a.com": ('Ünï, "q"', "TX"), "b.com": ("Two\nlines", None), "c.com": ("Café", "OK"),
+                   "d.com": ("Four", None), "e.com": (None, None), "f.com": ("Six", None)}
     (tmp_path / "b.csv").write_text("Company,Phone\nx,1\n")
     try:
         leads.read_lead_csv(spark, str(tmp_path / "b.csv"))

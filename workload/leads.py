@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from attesta.functions.urls import is_denied, host_of, normalize_domain, registrable_domain
 from attesta.operators import imports as I
+from attesta.session import new_folder
 from attesta.sources import crawl
 from attesta.sources import records as R
 from attesta.sources.elements import element_leads as elements_to_leads
+from attesta.sources.leads import read_lead_csv
 from attesta.sources.presets import lookup_profiles
 from workload import proxies as P
 
@@ -51,6 +53,25 @@ def registrable(spark, sf_dir):
         "page_id", registrable_domain(host).alias("registrable"), registrable_domain(foreign).alias("foreign_registrable"))
 
 
+def lead_csv(spark, sf_dir):
+    """The lead file written as CSV in both encodings, with two header orders and with line breaks
+    inside a field, and read back."""
+    folder = new_folder(spark, "lead-files")
+    rows = _raw_leads(spark, sf_dir).withColumn("name", F.concat(F.lit("Café \"Ü\", "), F.trim("name")))
+    lists = (
+        ("UTF-8", "row_pos % 3 = 0", {"name": "Company", "domain": "Website", "industry": "Industry", "source": "Source"}),
+        ("ISO-8859-1", "row_pos % 3 = 1", {"source": "source", "domain": "URL", "name": "Business name", "industry": "Sector"}),
+        ("UTF-8", "row_pos % 3 = 2", {"domain": "Company domain", "name": "name", "source": "Source", "industry": "category"}),
+    )
+    for k, (encoding, part, names) in enumerate(lists):
+        name = F.when(F.lit(k == 2), F.concat("name", F.lit("\nbranch"))).otherwise(F.col("name"))
+        listed = rows.filter(part).withColumn("name", name).select(*[F.col(c).alias(h) for c, h in names.items()])
+        listed.write.csv(f"{folder}/list-{k}", header=True, escape='"', quoteAll=True, encoding=encoding, emptyValue="",
+                         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = read_lead_csv(spark, f"{folder}/*/*.csv")
+    return read.select("name", "domain", "industry", "source", "city")
+
+
 def lead_import(spark, sf_dir):
     return I.new_leads(_raw_leads(spark, sf_dir), existing(spark, sf_dir))
 
@@ -150,7 +171,7 @@ def deny_hosts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (lead_domain, lead_import, lead_import_stats, element_leads, record_dates, first_capture,
+    for f in (lead_domain, lead_csv, lead_import, lead_import_stats, element_leads, record_dates, first_capture,
               company_records, sitemap_links, profile_lookup, deny_hosts)
 }
 QUERIES["registrable_domain"] = registrable
@@ -172,6 +193,11 @@ second AS (SELECT domain, min(page_id) AS page_id FROM found WHERE industry = 'P
            AND domain NOT IN (SELECT domain FROM first) GROUP BY domain ORDER BY 2 LIMIT 20)"""
 
 ORACLE = {
+    "lead_csv": """
+      SELECT 'Café "Ü", Firm ' || page_id || CASE WHEN page_id % 3 = 2 THEN chr(10) || 'branch' ELSE '' END AS name,
+             CASE WHEN contains(url, '/de/') THEN 'n/a' ELSE ' "' || upper(url) || '" ' END AS domain,
+             CASE WHEN contains(url, 'utm') THEN ' ' ELSE 'HVAC' END AS industry,
+             CASE WHEN starts_with(url, 'https') THEN 'list' ELSE '  ' END AS source, CAST(NULL AS VARCHAR) AS city FROM pages""",
     "lead_domain": f"SELECT page_id, {_HOST} AS domain, {_HOST} AS typed_domain FROM pages",
     "registrable_domain": f"""
       SELECT page_id, regexp_extract({_HOST}, '([^.]+\\.[^.]+)$', 1) AS registrable,

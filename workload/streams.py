@@ -5,76 +5,118 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions.text import content_hash
+from attesta.operators.cache import fresh_records
+from attesta.operators.cache import new_texts as find_new_texts
 from attesta.session import new_folder
 from attesta.streaming import runs as S
 from workload import caches, leads, scoring
 from workload import proxies as P
 
 
-def _stream(spark, sf_dir, name):
-    schema = P.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+BATCHES = 4
+
+
+def _arrive(rows, part, run):
+    """``rows`` reach a stream in four batches, by their ``part`` from 0 to 3; ``run`` starts the
+    stream on the folder they land in."""
+    spark = rows.sparkSession
+    landing = new_folder(spark, "landing")
+    for k in range(BATCHES):
+        rows.filter(part == k).write.mode("append").parquet(landing)
+        run(spark.readStream.schema(rows.schema).parquet(landing)).awaitTermination()
+
+
+def _any_order(key):
+    return F.pmod(F.xxhash64(key), F.lit(BATCHES))
+
+
+def _time_order(rows, moment):
+    """Four equal spans of time."""
+    us = F.unix_micros(moment.cast("timestamp"))
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    return F.floor((us - low) * BATCHES / (high - low + 1))
+
+
+def _orders(spark, sf_dir):
+    return P.table(spark, sf_dir, "orders")
 
 
 def stream_latest(spark, sf_dir):
+    """Scans arrive in any order."""
     folder = new_folder(spark, "latest")
-    S.latest_scans(P.scan_columns(_stream(spark, sf_dir, "orders")), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    _arrive(_orders(spark, sf_dir), _any_order("o_orderkey"),
+            lambda s: S.latest_scans(P.scan_columns(s), f"{folder}/rows", f"{folder}/state"))
     return S.current(spark, f"{folder}/rows", ["company_id", "profile_id"]).select(
         "company_id", "scan_id", "profile_id", "status", F.date_format("finished_at", "yyyy-MM-dd").alias("finished_on"), "error")
 
 
 def stream_pages(spark, sf_dir):
+    """Fetches arrive in any order."""
     folder = new_folder(spark, "pages")
-    log = caches.crawl_log(_stream(spark, sf_dir, "orders"))
-    S.keep_newest(log, ["url"], ["fetched_at", "fetch_id"], f"{folder}/rows", f"{folder}/state").awaitTermination()
+    _arrive(_orders(spark, sf_dir), _any_order("o_orderkey"),
+            lambda s: S.keep_newest(caches.crawl_log(s), ["url"], ["fetched_at", "fetch_id"], f"{folder}/rows", f"{folder}/state"))
     return S.current(spark, f"{folder}/rows", ["url"]).select(
         "url", "fetch_id", "text", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"))
 
 
 def stream_records(spark, sf_dir):
     """Record lookups kept by (domain, kind); freshness is judged when the table is read."""
-    from attesta.operators.cache import fresh_records
-
     folder = new_folder(spark, "records")
-    log = caches.crawl_log(_stream(spark, sf_dir, "orders")).withColumn("ok", F.col("state") == "F").withColumn(
-        "kind", F.when(F.col("state") == "P", "rdap").otherwise("wayback"))
-    S.keep_newest(log, ["url", "kind"], ["fetched_at", "fetch_id"], f"{folder}/rows", f"{folder}/state").awaitTermination()
+    kind = F.when(F.col("state") == "P", "rdap").otherwise("wayback")
+    log = lambda s: caches.crawl_log(s).withColumns({"ok": F.col("state") == "F", "kind": kind})
+    _arrive(_orders(spark, sf_dir), _any_order("o_orderkey"),
+            lambda s: S.keep_newest(log(s), ["url", "kind"], ["fetched_at", "fetch_id"], f"{folder}/rows", f"{folder}/state"))
     return fresh_records(S.current(spark, f"{folder}/rows", ["url", "kind"]), caches.as_of()).select("url", "kind", "fetch_id", "ok")
 
 
+def _fetches(orders):
+    return caches.crawl_log(orders).select(
+        "url", content_hash(F.col("text")).alias("content_hash"), F.col("fetched_at").alias("ts"), F.col("fetch_id").alias("id"))
+
+
+def new_texts(spark, sf_dir):
+    """Fetches that brought a text the address had not had in the sixty days before."""
+    return find_new_texts(_fetches(_orders(spark, sf_dir))).select("url", "content_hash", "id")
+
+
 def stream_new_texts(spark, sf_dir):
-    """Fetches that brought a text not seen at that address before, within the watermark."""
     folder = new_folder(spark, "texts")
-    log = caches.crawl_log(_stream(spark, sf_dir, "orders")).withColumn("content_hash", content_hash(F.col("text")))
-    (
-        S.new_page_texts(log).select("url", "content_hash").writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema("url string, content_hash string").parquet(f"{folder}/rows")
+    rows = _orders(spark, sf_dir)
+    _arrive(rows, _time_order(rows, F.col("o_orderdate")), lambda s: S.new_page_texts(_fetches(s), folder, f"{folder}/state"))
+    return S.found(spark, folder).select("url", "content_hash", "id")
 
 
 def stream_import(spark, sf_dir):
+    """Leads arrive in file order."""
     folder = new_folder(spark, "import")
-    raw = leads.raw_leads(_stream(spark, sf_dir, "pages"))
-    S.import_leads(raw, leads.existing(spark, sf_dir), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    pages = P.table(spark, sf_dir, "pages").select("page_id", "url")
+    most = pages.agg(F.max("page_id")).first()[0] or 0
+    _arrive(pages, F.floor(F.col("page_id") * BATCHES / (most + 1)),
+            lambda s: S.import_leads(leads.raw_leads(s), leads.existing(spark, sf_dir), f"{folder}/rows", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
 def stream_politeness(spark, sf_dir):
     folder = new_folder(spark, "politeness")
-    S.politeness(caches.visits(_stream(spark, sf_dir, "events")), folder, f"{folder}/state").awaitTermination()
+    rows = P.table(spark, sf_dir, "events")
+    _arrive(rows, _time_order(rows, F.col("ts")), lambda s: S.politeness(caches.visits(s), folder, f"{folder}/state"))
     return S.found(spark, folder).select("host", "id", "gap_us")
 
 
 def stream_breaker(spark, sf_dir):
     folder = new_folder(spark, "breaker")
-    S.breaker(caches.responses(_stream(spark, sf_dir, "events")), ["upstream"], folder, f"{folder}/state").awaitTermination()
+    rows = P.table(spark, sf_dir, "events")
+    _arrive(rows, _time_order(rows, F.col("ts")), lambda s: S.breaker(caches.responses(s), ["upstream"], folder, f"{folder}/state"))
     return S.found(spark, folder).select("id", "failed", "available", "tripped_us")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_latest, stream_pages, stream_records, stream_new_texts, stream_import, stream_politeness, stream_breaker)
+    for f in (stream_latest, stream_pages, stream_records, new_texts, stream_new_texts, stream_import, stream_politeness, stream_breaker)
 }
+_NEW_TEXTS_SQL = f"""WITH {caches.LOG_SQL},
+  t AS (SELECT *, lag(fetched_at) OVER (PARTITION BY url, text ORDER BY fetched_at, fetch_id) AS before FROM log WHERE text IS NOT NULL)
+  SELECT url, sha256(text) AS content_hash, fetch_id AS id FROM t WHERE before IS NULL OR fetched_at - before > INTERVAL 60 DAY"""
 ORACLE = {
     "stream_latest": scoring.ORACLE["latest_scan"],
     "stream_pages": caches.ORACLE["page_upsert"],
@@ -85,5 +127,6 @@ ORACLE = {
       n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY url, kind ORDER BY fetched_at DESC, fetch_id DESC) = 1)
       SELECT url, kind, fetch_id, state = 'F' AS ok FROM n
       WHERE fetched_at >= TIMESTAMP '{caches.AS_OF}' - CASE WHEN state = 'F' THEN INTERVAL 30 DAY ELSE INTERVAL 1 DAY END""",
-    "stream_new_texts": f"WITH {caches.LOG_SQL} SELECT DISTINCT url, sha256(text) AS content_hash FROM log",
+    "new_texts": _NEW_TEXTS_SQL,
+    "stream_new_texts": _NEW_TEXTS_SQL,
 }
