@@ -183,17 +183,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest node that each node of ``edges`` (a, b) reaches: node, root.
 
     Alternates large and small stars: every node hands its larger, then its smaller, neighbours to
-    its smallest one. Each round's links are a table in the shared folder.
+    its smallest one. Each round's links are a table in the shared folder, and so are the smallest
+    neighbours, so that the rows of a node with very many links can be split (adaptive skew join).
     """
     folder = new_folder(edges.sparkSession, "components")
     now = stage(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), f"{folder}/0")
     seen = _state(now)
     for turn in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        least = stage(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")), f"{folder}/{turn}-large")
         large = both.join(least, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
         large = large.where("u < v").distinct()
-        small_least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small_least = stage(large.groupBy("v").agg(F.min("u").alias("m")), f"{folder}/{turn}-small")
         small = large.join(small_least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
         now = stage(small.select("e.v", "e.u").where("u < v").distinct(), f"{folder}/{turn}")
         state = _state(now)
