@@ -94,28 +94,33 @@ class LongText:
         if len(quote) > len(text):
             return LongText(quote).reaches(text, threshold)
         size = len(quote)
-        starts = self._promising(quote) if threshold >= 90 else np.arange(len(text) - size + 1)
-        masks = _char_masks(quote)
+        starts, head, tail = self._promising(quote) if threshold >= 90 else (np.arange(len(text) - size + 1), True, True)
+        masks = _char_masks(quote) if len(starts) else {}
         for start in starts.tolist():
             if _is_similar(masks, size, text[start : start + size], threshold * size / 100.0):
                 return True
-        if _edge_reaches(quote, text, threshold) or _edge_reaches(quote[::-1], text[::-1], threshold):
+        if (head and _edge_reaches(quote, text, threshold)) or (tail and _edge_reaches(quote[::-1], text[::-1], threshold)):
             return True
         return size == len(text) and (
             _edge_reaches(text, quote, threshold) or _edge_reaches(text[::-1], quote[::-1], threshold)
         )
 
-    def _promising(self, quote: str) -> np.ndarray:
-        """Starts of full windows that share enough character runs with the quote, the most first.
+    def _promising(self, quote: str) -> tuple[np.ndarray, bool, bool]:
+        """Starts of full windows that share enough character runs with the quote, the most first,
+        and whether shorter windows at the beginning and at the end may.
 
         At 90 percent at most a tenth of the window's characters are unmatched, each breaking up
         to k of its k-runs, and at most a tenth of the quote's are left out, each breaking up to
         k - 1. So of its size - k + 1 runs at least size - k + 1 - (2k - 1) * size / 10 survive.
+        A window of n < size characters leaves out at most 0.55 n - 0.45 size of its own and
+        0.55 size - 0.45 n of the quote's, and is at least 9/11 of size: 0.45 size - 2 of its
+        3-runs survive.
         """
         size = len(quote)
         points = _points(quote)
         windows = len(self.text) - size + 1
         passed, shared = np.ones(windows, dtype=bool), np.zeros(windows, dtype=np.int64)
+        head = tail = True
         for k in (3, 4):
             needed = size - k + 1 - (2 * k - 1) * size // 10 - 1
             if needed <= 0:
@@ -130,8 +135,11 @@ class LongText:
             hits = np.concatenate(([0], np.cumsum(present[place])))
             shared = hits[size - k + 1 :] - hits[:windows]
             passed &= shared >= needed
+            if k == 3:
+                edge = max(size - 1 - k + 1, 0)
+                head, tail = (n >= 0.45 * size - 3 for n in (hits[edge], hits[-1] - hits[len(hits) - 1 - edge]))
         starts = np.flatnonzero(passed)
-        return starts[np.argsort(-shared[starts], kind="stable")]
+        return starts[np.argsort(-shared[starts], kind="stable")], head, tail
 
 
 def fuzzy_match(quote: str, page: LongText) -> bool:

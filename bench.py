@@ -19,8 +19,9 @@ HEADLINE = (
     "fit_score", "score_breakdown", "latest_scan", "lead_chips", "lead_ranking", "crm_export", "lead_import",
     "lead_import_stats", "page_text", "page_links", "page_plan", "content_guard", "fresh_scan", "breaker_windows",
     "politeness_audit", "page_upsert", "normalized_text", "sentences", "signal_facts", "grounding_join",
-    "grounding_corpus", "grounding_sources", "fact_rank", "verdict_check", "judge_prompt", "scan_detail",
-    "eval_report", "stream_latest",
+    "grounding_corpus", "grounding_sources", "grounding_fuzzy", "fact_rank", "verdict_check", "judge_prompt", "scan_detail",
+    "eval_report", "eval_cases", "note_prompt", "scan_outputs", "scan_batch", "lead_csv", "evidence_urls", "lead_list",
+    "stream_latest", "stream_new_texts", "stream_import", "stream_breaker",
 )
 
 
@@ -50,7 +51,7 @@ def main() -> None:
     if names == ["all"]:
         names = list(queries)
     spark = session()
-    spark.read.parquet(f"{sf_dir}/region.parquet").count()  # the session itself is not timed
+    spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").count().collect()  # the session itself is not timed
     seconds = {}
     for name in names:
         start = time.perf_counter()

@@ -9,7 +9,7 @@ from attesta.operators.signals import signal_facts as find_signals
 from attesta.sources import records as R
 from workload import grounding as G
 from workload import proxies as P
-from workload.grounding import ELIGIBLE_SQL
+from workload.grounding import ALTERED_SQL, SETTLED_SQL
 from workload.texts import SENTENCES_SQL, norm_sql
 
 
@@ -52,18 +52,21 @@ def fact_rows(spark, sf_dir):
 
 
 def _site_facts(spark, sf_dir):
-    """Sentences as facts; some statements carry a number that the quote lacks."""
+    """Sentences as facts of their page; some statements carry a number that the quote lacks, and
+    every third quote is altered."""
     said = F.when(F.col("sentence_pos") % 5 == 0, F.concat("evidence_quote", F.lit(" 42"))).otherwise(F.col("evidence_quote"))
+    quote = F.when(F.col("sentence_pos") % 3 == 1, G.altered(F.col("evidence_quote"), F.col("sentence_pos"))).otherwise(F.col("evidence_quote"))
     page = F.col("doc_id") % G.PAGES_PER_SITE
-    return G.quoted_facts(spark, sf_dir).select(
+    return G.quoted_facts(spark, sf_dir).withColumns({
+        "evidence_quote": quote, "source_url": F.concat(F.lit("d"), "doc_id")}).select(
         "scan_id", F.lit("other").alias("category"), said.alias("fact"), "evidence_quote", "source_url",
         ((F.length("evidence_quote") % 10) / 10).alias("confidence"),
         F.struct(page.alias("page"), F.lit(1).alias("source"), F.col("sentence_pos").cast("bigint").alias("pos")).alias("arrival"))
 
 
 def fact_rank(spark, sf_dir):
-    """Deduplicated, exactly grounded and ranked facts of every site; forty each are kept."""
-    return T.page_facts(_site_facts(spark, sf_dir), G.site_pages(spark, sf_dir), fuzzy=False).select(
+    """Deduplicated, grounded and ranked facts of every site; forty each are kept."""
+    return T.page_facts(_site_facts(spark, sf_dir), G.site_pages(spark, sf_dir)).select(
         "scan_id", "id", "fact", "source_url", "confidence", "grounding")
 
 
@@ -137,16 +140,15 @@ ORACLE = {
              count(*) FILTER (g = 'record') AS record, count(*) FILTER (g = 'none') AS "none" FROM f GROUP BY scan_id""",
     "fact_rank": rf"""WITH {SENTENCES_SQL},
       pages AS (SELECT doc_id, doc_id // 6 AS site, {norm_sql('text')} AS t FROM documents),
-      f AS (SELECT doc_id // 6 AS site, doc_id, sentence_pos, sentence, CASE WHEN sentence_pos % 5 = 0 THEN sentence || ' 42' ELSE sentence END AS fact,
-              doc_id + sentence_pos % 2 AS src, {norm_sql('sentence')} AS q FROM sentences),
-      u AS (SELECT * FROM f WHERE {norm_sql('fact')} <> '' QUALIFY row_number() OVER (PARTITION BY site, {norm_sql('fact')} ORDER BY doc_id, sentence_pos) = 1),
-      h AS (SELECT u.doc_id, sentence_pos, arg_min(p.doc_id, (p.doc_id <> src, p.doc_id)) AS found
-            FROM u JOIN pages p USING (site) WHERE {ELIGIBLE_SQL} AND contains(p.t, q) GROUP BY ALL),
-      g AS (SELECT u.*, coalesce(found, src) AS url, CAST(length(sentence) % 10 AS DOUBLE) / 10 AS confidence,
-              CASE WHEN found IS NOT NULL AND (sentence_pos % 5 <> 0 OR list_contains(regexp_extract_all(q, '\d+'), '42')) THEN 'exact' ELSE 'none' END AS grounding
-            FROM u LEFT JOIN h USING (doc_id, sentence_pos))
+      f AS (SELECT doc_id // 6 AS site, doc_id, sentence_pos, CASE WHEN sentence_pos % 3 = 1 THEN {ALTERED_SQL} ELSE sentence END AS quote FROM sentences),
+      g AS (SELECT *, CASE WHEN sentence_pos % 5 = 0 THEN quote || ' 42' ELSE quote END AS fact, {norm_sql('quote')} AS q FROM f),
+      b AS (SELECT * FROM g WHERE {norm_sql('fact')} <> '' QUALIFY row_number() OVER (PARTITION BY site, {norm_sql('fact')} ORDER BY doc_id, sentence_pos) = 1),
+      {SETTLED_SQL},
+      ranked AS (SELECT site, doc_id, sentence_pos, fact, coalesce(found, doc_id) AS url, CAST(length(quote) % 10 AS DOUBLE) / 10 AS confidence,
+                   CASE WHEN sentence_pos % 5 <> 0 OR list_contains(regexp_extract_all(q, '\d+'), '42') THEN grounding ELSE 'none' END AS grounding FROM grades)
       SELECT site AS scan_id, CAST(id AS INTEGER) AS id, fact, 'd' || url AS source_url, confidence, grounding FROM (
-        SELECT *, row_number() OVER (PARTITION BY site ORDER BY grounding, confidence DESC, doc_id, sentence_pos) AS id FROM g) WHERE id <= 40""",
+        SELECT *, row_number() OVER (PARTITION BY site ORDER BY CASE grounding WHEN 'exact' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END, confidence DESC, doc_id, sentence_pos) AS id
+        FROM ranked) WHERE id <= 40""",
     "record_facts": """
       WITH s AS (SELECT *, 'shop' || o_custkey || '.example.com' AS domain, strftime(o_orderdate, '%Y-%m-%d') AS d,
                    CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS n, o_orderstatus <> 'P' AS reg, o_totalprice > 300000 AS exact FROM orders)
