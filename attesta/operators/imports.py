@@ -37,6 +37,19 @@ def new_leads(raw: DataFrame, existing: DataFrame) -> DataFrame:
     return first_per_domain(normalized_leads(raw)).join(existing.select("domain"), "domain", "left_anti")
 
 
+def lookup_companies(requests: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (with ``wanted``, a website or domain) with the company they mean, and the companies
+    to create for the others, once each: their name is the domain. What does not read as a domain is
+    looked up as it is.
+
+    companies: id, domain. ``company_id`` is null where the company is to be created.
+    """
+    asked = requests.withColumn("domain", F.coalesce(normalize_domain(F.col("wanted")), F.col("wanted")))
+    found = asked.join(companies.groupBy("domain").agg(F.min("id").alias("company_id")), "domain", "left")
+    new = found.filter(F.col("company_id").isNull() & F.col("domain").isNotNull()).select("domain").distinct()
+    return found, new.select("domain", F.col("domain").alias("name"), F.lit("lookup").alias("source"))
+
+
 def import_counters(raw: DataFrame, existing: DataFrame) -> DataFrame:
     """One row: total_rows, no_domain_skipped, duplicates_skipped (in file and in table), inserted."""
     per_domain = (

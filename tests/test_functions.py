@@ -98,3 +98,29 @@ def test_display(spark):
     assert one(spark, display.rank_value(F.col("s"), F.col("c")), s=50.0, c=40.0) == 20.0
     ago = lambda s: one(spark, display.relative_time(F.timestamp_seconds(F.lit(10_000_000 - s)), F.timestamp_seconds(F.lit(10_000_000))))
     assert [ago(s) for s in (10, 50, 120, 7200, 90000, 3_000_000)] == ["just now", "1m ago", "2m ago", "2h ago", "1d ago", "1mo ago"]
+
+
+def test_sorted_leads_put_missing_numbers_last(spark):
+    from attesta.operators.latest import sort_leads
+
+    leads = spark.createDataFrame(
+        [("b", 50.0, 100.0), ("a", 80.0, 50.0), ("d", None, None), ("c", 0.0, 10.0)], "name string, score double, coverage double")
+    order = lambda by, **how: "".join(r.name for r in sort_leads(leads, by, **how).collect())
+    assert order("score") == "abcd" and order("coverage") == "bacd" and order("rank") == "bacd"
+    assert order("name", descending=False) == "abcd" and order("score", descending=False) == "dcba"
+    with pytest.raises(ValueError):
+        sort_leads(leads, "size")
+
+
+def test_note_texts_and_file_names(spark):
+    from attesta.sinks.export import export_name
+    from attesta.sources.crawl import is_sitemap
+
+    rows = spark.createDataFrame(
+        [("hello", "ok", []), (None, "red_flag", ["Franchise", "Group"]), ("", "red_flag", []), (None, "unverified", []), (None, "skipped", [])],
+        "note string, status string, flags array<string>")
+    got = [r[0] for r in rows.select(display.note_text(F.col("note"), F.col("status"), F.col("flags"))).collect()]
+    assert got[0] == "hello" and "Franchise, Group" in got[1] and got[2] != got[1] and got[3] == display.NOTE_UNVERIFIED_TEXT and got[4] == display.NOTE_SKIPPED_TEXT
+    assert export_name("Sales Fit") == "icp-scan-sales-fit.csv"
+    answers = spark.createDataFrame([(200, "text/xml", ""), (200, "text/html", "<x><urlset>"), (404, "text/xml", ""), (200, "text/html", "no")], "s int, t string, b string")
+    assert [r[0] for r in answers.select(is_sitemap(F.col("s"), F.col("t"), F.col("b"))).collect()] == [True, True, False, False]

@@ -144,14 +144,33 @@ def company_records(spark, sf_dir):
 def sitemap_links(spark, sf_dir):
     loc = lambda *parts: F.concat(F.lit("<url><loc> "), *parts, F.lit(" </loc></url>"))
     host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    numbered = F.array_join(F.transform(  # every fifth map has more links than are read
+        F.sequence(F.lit(1), F.when(F.col("page_id") % 5 == 0, 310).otherwise(2)),
+        lambda n: loc(F.lit("https://"), host, F.lit("/p"), n.cast("string"))), "")
     body = F.concat(
         F.lit('<?xml version="1.0"?><urlset>'), loc(F.col("url")),
         loc(F.lit("https://www."), F.regexp_replace(host, r"^www\.", ""), F.lit("/about")),
-        loc(F.lit("https://elsewhere.example.com/x")), F.lit("</urlset>"))
+        loc(F.lit("https://elsewhere.example.com/x")), numbered, F.lit("</urlset>"))
     found = crawl.sitemap_links(body, F.col("url"))
     return P.table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "link"))
 
 
+def _lookup(spark, sf_dir):
+    pages = P.table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 9 == 4, "no site").otherwise(F.upper("url")).alias("wanted"))
+    known = existing(spark, sf_dir).select(F.length("domain").cast("bigint").alias("id"), "domain")
+    return I.lookup_companies(pages, known)
+
+
+def company_lookup(spark, sf_dir):
+    """The company each page's address means, where there is one."""
+    return _lookup(spark, sf_dir)[0].select("page_id", "domain", "company_id")
+
+
+def company_create(spark, sf_dir):
+    """Companies that the addresses call for and nobody has."""
+    return _lookup(spark, sf_dir)[1]
+
+
 def profile_lookup(spark, sf_dir):
     """Which profile each scan request means, by number, alias or name."""
     wanted = (
@@ -172,7 +191,7 @@ def deny_hosts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (lead_domain, lead_csv, lead_import, lead_import_stats, element_leads, record_dates, first_capture,
-              company_records, sitemap_links, profile_lookup, deny_hosts)
+              company_records, sitemap_links, company_lookup, company_create, profile_lookup, deny_hosts)
 }
 QUERIES["registrable_domain"] = registrable
 
@@ -237,7 +256,13 @@ ORACLE = {
     "sitemap_links": f"""
       SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
         SELECT page_id, 0 AS pos, url AS link FROM pages
-        UNION ALL SELECT page_id, 1, 'https://www.' || {_HOST} || '/about' FROM pages)""",
+        UNION ALL SELECT page_id, 1, 'https://www.' || {_HOST} || '/about' FROM pages
+        UNION ALL SELECT page_id, n + 1, 'https://' || regexp_extract(url, '^https?://([^/]*)', 1) || '/p' || n
+        FROM (SELECT page_id, url, unnest(range(1, CASE WHEN page_id % 5 = 0 THEN 311 ELSE 3 END)) AS n FROM pages)) WHERE pos < 300""",
+    "company_lookup": f"""WITH {_RAW}, w AS (SELECT page_id, CASE WHEN page_id % 9 = 4 THEN 'no site' ELSE {_HOST} END AS domain FROM pages)
+      SELECT page_id, w.domain, CASE WHEN e.domain IS NOT NULL THEN length(e.domain) END AS company_id FROM w LEFT JOIN existing e USING (domain)""",
+    "company_create": f"""WITH {_RAW}, w AS (SELECT DISTINCT CASE WHEN page_id % 9 = 4 THEN 'no site' ELSE {_HOST} END AS domain FROM pages)
+      SELECT domain, domain AS name, 'lookup' AS source FROM w ANTI JOIN existing USING (domain)""",
     "profile_lookup": """
       SELECT o_orderkey,
         CASE o_orderstatus WHEN 'F' THEN substr(o_orderpriority, 1, 1) WHEN 'O' THEN 'Profile ' || substr(o_orderpriority, 1, 1)

@@ -89,6 +89,24 @@ def note_prompt(spark, sf_dir):
     return R.note_requests(scans, met, to_cite).select("scan_id", "request")
 
 
+def _many_facts(spark, sf_dir):
+    """A customer's lines as the facts of one scan: more than are ever offered."""
+    owner = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), F.col("o_custkey"))
+    return stored_facts(spark, sf_dir).join(owner, "scan_id").select(
+        F.col("o_custkey").alias("scan_id"), (F.col("scan_id") * 8 + F.col("id")).alias("id"), "category", "fact", "evidence_quote", "grounding")
+
+
+def offered_to_judge(spark, sf_dir):
+    """Which facts of a long list the judge is offered: thirty at most."""
+    return V.facts_to_judge(_many_facts(spark, sf_dir)).select("scan_id", "id", "judge_pos")
+
+
+def offered_to_note(spark, sf_dir):
+    """Which facts of a long list a note may cite: twelve at most, cited ones first."""
+    facts = _many_facts(spark, sf_dir)
+    return N.facts_to_cite(facts, facts.filter("id % 8 = 2").select("scan_id", "id")).select("scan_id", "id", "note_pos")
+
+
 def extract_prompt(spark, sf_dir):
     docs = P.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("scan_id"), F.col("source").alias("domain"), F.concat(F.lit("d"), "doc_id").alias("url"), "text")
@@ -227,7 +245,7 @@ def profile_create(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (verdict_check, judge_prompt, note_prompt, extract_prompt, note_gate, note_validation, response_parse, error_class,
+    for f in (verdict_check, judge_prompt, note_prompt, offered_to_judge, offered_to_note, extract_prompt, note_gate, note_validation, response_parse, error_class,
               scan_status, scan_detail, fact_display_ids, criteria_clean, profile_update, profile_create)
 }
 
@@ -273,6 +291,14 @@ ORACLE = {
       SELECT scan_id, '# Addressee' || chr(10) || 'firm' || company_id || '.example.com, firm' || company_id || '.example.com' || chr(10) || '# Written for' || chr(10) || 'Profile ' || profile_id || chr(10)
         || '# Fulfilled' || chr(10) || coalesce(met, '-') || chr(10) || '# Citable facts by id' || chr(10) || l AS request
       FROM scans JOIN fl USING (scan_id) LEFT JOIN m USING (scan_id)""",
+    "offered_to_judge": f"""WITH {LINES_SQL},
+      m AS (SELECT o_custkey AS scan_id, scan_id * 8 + id AS id, category, grounding FROM facts JOIN orders ON o_orderkey = scan_id)
+      SELECT scan_id, id, CAST(p AS INTEGER) AS judge_pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY category <> 'domain_record', id) AS p FROM m WHERE grounding <> 'none') WHERE p <= 30""",
+    "offered_to_note": f"""WITH {LINES_SQL},
+      m AS (SELECT o_custkey AS scan_id, scan_id * 8 + id AS id, grounding FROM facts JOIN orders ON o_orderkey = scan_id)
+      SELECT scan_id, id, CAST(p AS INTEGER) AS note_pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY id % 8 <> 2, id) AS p FROM m WHERE grounding <> 'none') WHERE p <= 12""",
     "extract_prompt": """SELECT doc_id AS scan_id, 'Site ' || source || ', address d' || doc_id || chr(10) || '--- begin page ---' || chr(10) || text
         || chr(10) || '--- end page ---' AS request FROM documents""",
     "note_gate": f"""WITH {_CHECKED_SQL},
