@@ -30,7 +30,7 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 #: A shard of more fingerprints is cut into parts, and every two parts meet in a shard of their own.
 MOST_IN_SHARD = 4096
 PIECE_BYTES = 4 << 20
-_ROWS_AT_ONCE = 1 << 17
+_ROWS_AT_ONCE, _QUERIES_AT_ONCE = 1 << 17, 1 << 13
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -126,7 +126,7 @@ def _whole_shards(batches: Iterable[pa.RecordBatch], shard: list[str]) -> Iterat
 def forest(group: np.ndarray, fp: np.ndarray, member: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of each group's fingerprints to the smallest of their linked set within the group.
 
-    Builds the BK-trees of all groups level by level, then walks all queries down them together.
+    Builds the BK-trees of all groups level by level, then walks the queries down them in blocks.
     """
     counts = np.bincount(group)
     several = counts[group] > 1
@@ -148,35 +148,44 @@ def forest(group: np.ndarray, fp: np.ndarray, member: np.ndarray, radius: int) -
     below = np.concatenate([c for _, c in children]) if children else np.zeros(0, np.int64)
     order = np.argsort(edges, kind="stable")
     edges, below = edges[order], below[order]
-    label = np.arange(len(fp))
-    query, node = np.arange(len(fp)), roots[group]
-    query, node = query[node >= 0], node[node >= 0]
-    near_a, near_b = [], []
-    while len(query):
-        apart = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
-        near = (apart <= radius) & (query != node)
-        near_a.append(query[near])
-        near_b.append(node[near])
-        low = np.searchsorted(edges, node << 7 | np.maximum(apart - radius, 0), "left")
-        high = np.searchsorted(edges, node << 7 | np.minimum(apart + radius, 64), "right")
-        many = high - low
-        query = np.repeat(query, many)
-        node = below[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-    a, b = np.concatenate(near_a or [label[:0]]), np.concatenate(near_b or [label[:0]])
+    ordered = np.argsort(fp.view(np.int64), kind="stable")
     rank = np.empty(len(fp), dtype=np.int64)
-    rank[np.argsort(fp.view(np.int64), kind="stable")] = np.arange(len(fp))
-    least = rank.copy()
-    while True:  # smallest rank over links, with jumps to the label's own label
-        before = least.copy()
-        np.minimum.at(least, a, before[b])
-        np.minimum.at(least, b, before[a])
-        holder = np.empty(len(fp), dtype=np.int64)
-        holder[rank] = np.arange(len(fp))
-        least = np.minimum(least, least[holder[least]])
-        if (least == before).all():
-            break
-    linked = least != rank
-    return fp[holder[least[linked]]] if linked.any() else fp[:0], fp[linked]
+    rank[ordered] = np.arange(len(fp))
+    parent = np.arange(len(fp))  # of ranks: links are joined as they are found, and not kept
+    for first in range(0, len(fp), _QUERIES_AT_ONCE):
+        query = np.arange(first, min(first + _QUERIES_AT_ONCE, len(fp)))
+        node = roots[group[query]]
+        query, node = query[node >= 0], node[node >= 0]
+        while len(query):
+            apart = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
+            near = apart <= radius
+            _join(parent, rank[query[near]], rank[node[near]])
+            low = np.searchsorted(edges, node << 7 | np.maximum(apart - radius, 0), "left")
+            high = np.searchsorted(edges, node << 7 | np.minimum(apart + radius, 64), "right")
+            many = high - low
+            query = np.repeat(query, many)
+            node = below[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        parent = _roots(parent, parent)
+    least = _roots(parent, np.arange(len(fp)))
+    linked = least != np.arange(len(fp))
+    return fp[ordered[least[linked]]], fp[ordered[linked]]
+
+
+def _roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[of]
+        if (up == of).all():
+            return of
+        of = up
+
+
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Put each pair under one root, the smaller of theirs."""
+    while len(a):
+        a, b = _roots(parent, a), _roots(parent, b)
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -23,7 +23,7 @@ from attesta.llm.common import Words, mix, remainder, slices
 
 #: Places of the hashed weights: 2 to this power, which also bounds the broadcast model.
 BITS = 22
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 BEGINNING = 4
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
