@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators.facts import grounding_counts
 from attesta.schemas import DECISIVE
 
 CACHED_BELOW_SECONDS = 5
@@ -55,28 +54,30 @@ def evaluate(cases: DataFrame, facts: DataFrame, verdicts: DataFrame) -> DataFra
 
     cases: scan_id, domain, latency, expected_facts, accepted; facts: scan_id, id, fact,
     evidence_quote, grounding; verdicts: scan_id, criterion_key, verdict, grounding, evidence_quote.
-    A scan holds at most 42 facts, whose texts are joined to look for the expected ones.
+    A scan holds at most 42 facts, whose texts are joined to look for the expected ones, and one
+    verdict per criterion of its profile; each table is aggregated once.
     """
-    said = F.concat_ws(" ", "fact", F.coalesce("evidence_quote", F.lit("")))
-    verified = facts.filter(F.col("grounding") != "none").groupBy("scan_id").agg(
-        F.array_sort(F.collect_list(F.struct("id", said.alias("said")))).alias("texts"))
-    hay = F.lower(F.array_join(F.transform("texts", lambda t: t["said"]), " "))
+    said = F.struct("id", F.concat_ws(" ", "fact", F.coalesce("evidence_quote", F.lit(""))).alias("said"))
+    count = lambda state: F.count_if(F.col("grounding") == state).alias(state)
+    stated = facts.groupBy("scan_id").agg(
+        F.count("*").alias("facts"), *[count(s) for s in ("exact", "fuzzy", "record", "none")],
+        F.array_sort(F.collect_list(F.when(F.col("grounding") != "none", said))).alias("texts"))
     decisive = F.col("verdict").isin(*DECISIVE)
     backed = (F.col("grounding") != "none") & (F.coalesce("evidence_quote", F.lit("")) != "")
-    all_backed = verdicts.groupBy("scan_id").agg(F.bool_and(~decisive | backed).alias("all_grounded"))
-    agreed = agreement(cases, verdicts).groupBy("scan_id").agg(
-        F.count("agrees").alias("judged"), F.count_if("agrees").alias("agreed"))
-    joined = (
-        cases.join(grounding_counts(facts), "scan_id", "left")
-        .join(verified.select("scan_id", hay.alias("hay")), "scan_id", "left")
-        .join(all_backed, "scan_id", "left").join(agreed, "scan_id", "left")
-    )
+    judged = verdicts.groupBy("scan_id").agg(
+        F.bool_and(~decisive | backed).alias("all_grounded"),
+        F.map_from_entries(F.collect_list(F.when(F.col("verdict").isNotNull(), F.struct("criterion_key", "verdict")))).alias("got"))
+    hay = F.lower(F.array_join(F.transform("texts", lambda t: t["said"]), " "))
+    joined = cases.join(stated, "scan_id", "left").join(judged, "scan_id", "left").withColumn("hay", hay)
     hits = F.size(F.filter("expected_facts", lambda s: F.coalesce(F.contains(F.col("hay"), F.lower(s)), F.lit(False))))
+    known = F.filter(F.map_keys("accepted"), lambda k: F.coalesce(F.map_contains_key("got", k), F.lit(False)))
+    agreeing = F.filter(known, lambda k: F.array_contains(F.element_at("accepted", k), F.element_at("got", k)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select(
         "scan_id", "domain", *[zero(c) for c in ("facts", "exact", "fuzzy", "record", "none")],
         hits.cast("bigint").alias("fact_hits"), F.size("expected_facts").cast("bigint").alias("fact_expected"),
-        zero("judged"), zero("agreed"), F.coalesce("all_grounded", F.lit(True)).alias("all_grounded"), "latency",
+        F.size(known).cast("bigint").alias("judged"), F.size(agreeing).cast("bigint").alias("agreed"),
+        F.coalesce("all_grounded", F.lit(True)).alias("all_grounded"), "latency",
         (F.col("latency") < CACHED_BELOW_SECONDS).alias("cached"))
 
 
