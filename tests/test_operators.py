@@ -78,7 +78,11 @@ def test_latest_prefers_done(spark):
     rows = [(1, 10, "done", "2024-01-01"), (1, 11, "error", "2024-02-01"), (2, 12, "error", "2024-01-01"), (2, 13, "error", "2024-01-02"),
             (3, 14, "running", "2024-01-01"), (4, 15, "done", None), (4, 16, "done", "2020-01-01")]
     df = spark.createDataFrame(rows, "company_id long, scan_id long, status string, day string").withColumn("finished_at", F.to_timestamp("day"))
-    assert {r.company_id: r.scan_id for r in latest.latest_scans(df).collect()} == {1: 10, 2: 13, 4: 16}
+    one = df.withColumn("profile_id", F.lit(1).cast("bigint"))
+    both = one.unionByName(one.filter("scan_id in (11, 16)").withColumns({"profile_id": F.lit(2).cast("bigint"), "scan_id": F.col("scan_id") + 100}))
+    got = {(r.company_id, r.profile_id): r.scan_id for r in latest.latest_scans(both).collect()}
+    assert got == {(1, 1): 10, (2, 1): 13, (4, 1): 16, (1, 2): 111, (4, 2): 116}
+    assert {r.company_id: r.scan_id for r in latest.latest_scans(both, profile_id=2).collect()} == {1: 111, 4: 116}
 
 
 def test_import_twice_adds_nothing(spark):
