@@ -12,7 +12,8 @@ from attesta.llm.common import GAP
 from attesta.session import with_computed
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\x0c\r"
 #: A line of at least this many characters other than blanks fails above this share of marks.
 DENSE_CHARS, DENSE_PERCENT = 20, 20
 MARKS = r"!-/:-@\[-`{-~"
@@ -38,6 +39,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def _without(text: Column, characters: str) -> Column:
+    """The text without any of a few single characters; cheaper than a pattern."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
@@ -52,7 +60,7 @@ def _judged(line: Column) -> Column:
 
     The rules: nothing but marks, too many marks, entries of a menu, boilerplate.
     """
-    chars = F.length(F.regexp_replace(line, GAP, ""))
+    chars = F.length(_without(line, BLANKS))
     marks = chars - F.length(F.regexp_replace(line, rf"[\x20\x09-\x0D{MARKS}]+", ""))
     separators = F.when(line.rlike(SEPARATOR), _count(line, SEPARATOR)).otherwise(F.lit(0))
     facts = F.struct(chars.alias("chars"), marks.alias("marks"), separators.alias("separators"), F.lower(line).alias("low"))
@@ -71,12 +79,14 @@ def _judged(line: Column) -> Column:
 
 
 def _repeated(words: Column) -> Column:
-    """Words in windows of three that are in the text twice or more."""
+    """Words in windows of three that are in the text twice or more.
+
+    Equal windows have equal hashes, so a text whose hashes all differ needs no sorting.
+    """
     last = F.size(words) - 3
-    windows = F.transform(
-        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(words[i].alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i")),
-    )
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(places, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    windows = F.transform(places, lambda i: F.struct(words[i].alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i")))
 
     def starts(ordered: Column) -> Column:
         alike = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]))
@@ -87,7 +97,8 @@ def _repeated(words: Column) -> Column:
         steps = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, s: a + s)
 
-    return _bound(_bound(F.sort_array(windows), starts), covered)
+    exact = _bound(_bound(F.sort_array(windows), starts), covered)
+    return _bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +116,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines.line"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -155,7 +166,7 @@ WITH t AS (
   FROM v GROUP BY r
 ), o AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
-         length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols,
+         length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
          coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost,
          coalesce(cleaned, '') AS cleaned
