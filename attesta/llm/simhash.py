@@ -33,16 +33,21 @@ PIECE_BYTES = 4 << 20
 _ROWS_AT_ONCE, _QUERIES_AT_ONCE = 1 << 17, 1 << 13
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits, each set if it is in over half the shingles' hashes; 0 without a word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hash of each run of ``shingle`` words; a shorter text is one run."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words])
+    ends = np.cumsum([len(w) + 1 for w in words] or [1])
     starts = [0, *ends.tolist()]
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+    stops = (ends[min(shingle, len(ends)) - 1 :] - 1).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if it is in over half the shingles' hashes; 0 without a word."""
+    if not (text or "").encode("utf-8", "replace").split():
+        return 0
+    hashes = shingle_hashes(text, shingle)
     sums = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         sums += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

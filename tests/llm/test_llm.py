@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from attesta.llm import bpe, common, kneser_ney, language, license_scan, packing, quality, simhash, toxicity, url_filter
+from attesta.llm import bpe, common, kneser_ney, language, license_scan, near_copies, packing, quality, simhash, toxicity, url_filter
 from attesta.llm.exact_dedup import exact_groups
 from oracle_check import compare, duck
 
@@ -330,6 +330,65 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(201)}, 600: 600, 700: 600}
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words_of(a), words_of(b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited_copies(documents):
+    """(document, copy, similarity): random words replaced until the five-word similarity is just above 0.8, 0.85, 0.9 or 0.95, and some just below."""
+    rng, found = random.Random(12), []
+    longer = [t for _, t in documents if len(words_of(t)) >= 120]
+    for k in range(60):
+        text = longer[k % len(longer)] + f" number {k} of {k * k}"
+        words, aim, copy, now = text.split(), (0.8, 0.85, 0.9, 0.95)[k % 4], text, 1.0
+        while True:
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**9)}"
+            after = jaccard(text, " ".join(words))
+            if after < aim:
+                break
+            copy, now = " ".join(words), after
+        found.append((text, copy, now))
+        if k % 4 == 0:
+            found.append((text, " ".join(words), after))
+    return found
+
+
+def test_near_dedup_stage_takes_edited_copies_from_similarity_080(spark, documents):
+    cases = [(" ".join(f"w{k}x{w}" for w in a.split()), " ".join(f"w{k}x{w}" for w in b.split()), s) for k, (a, b, s) in enumerate(edited_copies(documents))]
+    rows = [(2 * k + side, t, "en", "a", 1) for k, case in enumerate(cases) for side, t in enumerate(case[:2])]
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), SF).collect()}
+    similar = [s >= 0.8 for _, _, s in cases]
+    assert True in similar and False in similar
+    assert got == {2 * k for k in range(len(cases))} | {2 * k + 1 for k, s in enumerate(similar) if not s}
+
+
+def test_similar_groups_equal_brute_force(spark, documents):
+    rng, base = random.Random(3), [f"t{k}" for k in range(60)]
+    texts = [t for _, t in documents] + [t for _, t, *_ in ODD]
+    for _ in range(120):  # one crowd of copies near the threshold, linked in chains
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(words_of, texts)]
+    for a, b in combinations(range(len(texts)), 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = near_copies.similar_groups(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(k, root(k), root(k) == k) for k in range(len(texts))]
+    assert near_copies.similar_groups(docs_of(spark, [])).collect() == []
+
+
 # toxicity
 
 
