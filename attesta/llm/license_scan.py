@@ -103,7 +103,8 @@ RULES: tuple[tuple[tuple[int, ...], str, str], ...] = (
 )
 
 #: Every known sentence holds one of these, so a text without any needs no look at its sentences.
-MARKERS = ("licen", "permission", "redistribution", "free software", "neither the name", "mozilla", "unencumbered", "rights reserved", "merchantability")
+#: Each is within one word: blanks, marks and line breaks between words differ from text to text.
+MARKERS = ("licen", "permission", "redistribution", "mozilla", "unencumbered", "reserved", "merchantability")
 
 #: Runs that end a sentence, also before a closing mark; a line's end does so too (see below).
 ENDS = r"[.!?:;][\x22\x27)]*[\x20\x09-\x0D]+"

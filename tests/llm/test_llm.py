@@ -465,6 +465,20 @@ def test_every_known_sentence_has_a_marker_and_is_found(spark):
     assert all(r["line_ids"] == r["paragraph_ids"] == [r["doc_id"]] for r in license_scan.scan(docs_of(spark, rows)).collect())
 
 
+def test_known_sentences_are_found_however_they_are_wrapped(spark):
+    rows = []
+    for i, s in license_scan.SENTENCES.items():
+        words = s.split()
+        for k in range(1, len(words)):
+            for lead in ("", "# ", "// ", " * "):
+                rows.append((i, f"{lead}{' '.join(words[:k])}\n{lead}{' '.join(words[k:])}.", "en", "a", 1))
+            rows.append((i, f"Some text. {' '.join(words[:k])} \t {' '.join(words[k:])}. Other text.", "en", "a", 1))
+    assert all(r["paragraph_ids"] == [r["doc_id"]] for r in license_scan.scan(docs_of(spark, rows)).collect())
+    wrapped = ["All rights\nreserved.", "# All rights\n# reserved.", "// All rights\n// reserved.", "All  rights  reserved.", "All rights, reserved."]
+    got = license_scan.scan(docs_of(spark, [(k, t, "en", "a", 1) for k, t in enumerate(wrapped)])).collect()
+    assert [r["category"] for r in got] == ["proprietary"] * len(wrapped)
+
+
 # BPE
 
 
