@@ -11,6 +11,8 @@ from __future__ import annotations
 import string
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import Words, mix, remainder, slices
+from attesta.session import new_folder, stage
 
 #: Places of the hashed weights: 2 to this power, which also bounds the broadcast model.
 BITS = 22
@@ -85,6 +88,18 @@ def ftrl(
     return Model(places, weights(places), float(weights(np.array([bias]))[0]))
 
 
+def _last_places(sizes: pa.Table, most_features: int) -> dict[int, int]:
+    """Of either label the last place, in order, up to which documents are learned from."""
+    place, label, size = (sizes.column(c).to_numpy().astype(np.int64) for c in ("place", "label", "size"))
+    order = np.lexsort((place, label))
+    place, label, size = place[order], label[order], size[order]
+    counts = np.bincount(label, minlength=2)
+    share = (np.arange(len(label)) - np.where(label == 1, counts[0], 0) + 1) / counts[label]
+    order = np.lexsort((label, share))
+    taken = order[np.cumsum(size[order]) <= most_features]
+    return {y: int(place[taken][label[taken] == y].max()) for y in (0, 1) if (label[taken] == y).any()}
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -105,7 +120,8 @@ def learn(
 
     The sample is the documents with the smallest hashes of their ids among those not held out, so
     it is the same on every run. Learning is one task; the sample and ``most_features`` (distinct
-    features of all its documents; documents beyond are not learned from) bound it. Of several
+    features of all its documents) bound it: a sample with more is cut in the order of the same
+    hashes, at the same share of either label's documents. Of several
     labels of an id the largest counts, of several texts the first in order. Null ids, labels and
     texts are passed over; without a labelled document the model is empty and every score 0.5.
     """
@@ -136,12 +152,9 @@ def learn(
             yield pa.RecordBatch.from_arrays([piece.column("place"), piece.column("label"), lists], ["place", "label", "places"])
 
     def trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = [], 0
+        found = []
         for batch in batches:
             for place, label, places in zip(batch.column("place").to_pylist(), batch.column("label").to_pylist(), batch.column("places")):
-                total += len(places.values)
-                if total > most_features:
-                    break
                 found.append((place, label, places.values.to_numpy()))
         found.sort(key=lambda x: (x[0], x[1]))
         model = ftrl([(places, label) for _, label, places in found], alpha, beta, l1, l2, epochs)
@@ -149,7 +162,11 @@ def learn(
         yield pa.RecordBatch.from_arrays(columns, ["places", "weights", "bias"])
 
     schema = T.StructType([rows.schema["place"], rows.schema["label"], T.StructField("places", T.ArrayType(T.IntegerType()))])
-    extracts = rows.select("place", "label", "text").mapInArrow(extracted, schema)
+    extracts = stage(rows.select("place", "label", "text").mapInArrow(extracted, schema), new_folder(docs.sparkSession, "features"))
+    sizes = extracts.select("place", "label", F.size("places").alias("size"))
+    if (sizes.agg(F.sum("size")).first()[0] or 0) > most_features:
+        last = _last_places(sizes.toArrow(), most_features)  # at most 2 * most_per_label rows
+        extracts = extracts.where(reduce(or_, [(F.col("label") == y) & (F.col("place") <= p) for y, p in last.items()], F.lit(False)))
     model = extracts.repartition(1).mapInArrow(trained, "places array<int>, weights array<double>, bias double").first()
     return Model(np.array(model["places"], dtype=np.int64), np.array(model["weights"], dtype=np.float64), model["bias"])
 

@@ -422,6 +422,19 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), none)).collect() == []
 
 
+def test_toxicity_learns_from_the_same_documents_beyond_the_limit(spark):
+    rng = random.Random(8)
+    texts = {k: " ".join(rng.choice(["scum", "moron"] if k % 4 == 0 and rng.random() < 0.3 else ["river", "tree", "stone", "cloud", "of"]) for _ in range(rng.randint(20, 200))) for k in range(300)}
+    rows = [(k, t, "en", "a", 1) for k, t in texts.items()]
+    marks = spark.createDataFrame([(k, int(k % 4 == 0)) for k in texts], "doc_id long, toxic int")
+    ways = [docs_of(spark, rows).repartition(5, "doc_id"), docs_of(spark, rows[::-1]).coalesce(1), docs_of(spark, sorted(rows, key=lambda r: r[0] % 4)).repartition(3)]
+    models = [toxicity.learn(d, marks, most_features=4000, l1=0.5) for d in ways]
+    assert all(m.places.tolist() == models[0].places.tolist() and m.weights.tolist() == models[0].weights.tolist() and m.bias == models[0].bias for m in models)
+    assert len(models[0].places) and models[0].weights.min() < 0 < models[0].weights.max()  # both labels are learned from
+    sizes = pa.table({"place": [5, 1, 9, 3, 7, 2], "label": [0, 0, 0, 0, 1, 1], "size": [10] * 6})
+    assert toxicity._last_places(sizes, 60) == {0: 9, 1: 7} and toxicity._last_places(sizes, 35) == {0: 3, 1: 2} and toxicity._last_places(sizes, 5) == {}
+
+
 def test_ftrl_by_hand():
     rows = [(np.array([1, 5]), 1), (np.array([5]), 0), (np.array([1]), 1)] * 3
     model = toxicity.ftrl(rows, 0.5, 1.0, 0.1, 0.2, 2)
