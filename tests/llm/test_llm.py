@@ -363,6 +363,12 @@ def test_near_dedup_stage_takes_edited_copies_from_similarity_080(spark, documen
     assert got == {2 * k for k in range(len(cases))} | {2 * k + 1 for k, s in enumerate(similar) if not s}
 
 
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "one two three four five six", "en", "a", 1)] * 3 + [(2, "quite another text it is", "en", "a", 1), (None, "and a third one", "en", "a", 1)] * 2
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), SF).collect())
+    assert got == Counter({(i, t) for i, t, *_ in rows})
+
+
 def test_similar_groups_equal_brute_force(spark, documents):
     rng, base = random.Random(3), [f"t{k}" for k in range(60)]
     texts = [t for _, t in documents] + [t for _, t, *_ in ODD]
