@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, kneser_ney, language, license_scan, packing, quality, simhash, toxicity, url_filter
+from attesta.llm import alignment, bpe, hard_negatives, kneser_ney, language, license_scan, packing, quality, simhash, toxicity, url_filter
 from attesta.llm.exact_dedup import exact_groups
+from attesta.session import new_folder, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,18 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists})
 
 
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = stage(alignment.align(_table(spark, sf_dir, "documents"), *paths), new_folder(spark, "aligned"))
+    return alignment.score_links(aligned, *paths)
+
+
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", relabelled))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -88,6 +101,8 @@ QUERIES = {
     "op8_license_scan": licenses,
     "op9_bpe_codec": bpe_codec,
     "op10_language_id": language_id,
+    "op11_token_alignment": token_alignment,
+    "op12_hard_negatives": hard_negative_mining,
     "pipeline": pipeline,
 }
 
@@ -97,4 +112,5 @@ ORACLE = {
     "op3_line_quality": quality.clean_sql(),
     "op5_url_verdicts": url_filter.judge_sql(),
     "op8_license_scan": license_scan.scan_sql(),
+    "op12_hard_negatives": hard_negatives.mine_sql(),
 }
