@@ -27,9 +27,9 @@ from attesta.llm.bpe import SPLIT, Vocabulary
 from attesta.llm.common import slices
 from attesta.session import new_folder, stage
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Tokens of a piece of encoded rows, and distinct pairs that a counting task holds before it emits them.
-PIECE_TOKENS, MOST_HELD = 1 << 20, 1 << 21
+PIECE_TOKENS, MOST_HELD = 1 << 19, 1 << 20
 #: Most id pairs in the broadcast: 13 bytes each.
 MOST_FREQUENT = 1 << 19
 _SPACE = "▁"
@@ -50,8 +50,8 @@ class ByteTokens:
             raise ValueError("the ids of the vocabulary are not in the order of its merges")
         self._encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self._encoding.encode_ordinary(" " + t) for t in texts]
+    def encode(self, text: str) -> np.ndarray:
+        return self._encoding.encode_to_numpy(" " + text)
 
 
 class PieceTokens:
@@ -62,8 +62,8 @@ class PieceTokens:
         names = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(names)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self._model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self._model.encode(text), dtype=np.int32)
 
 
 def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
@@ -74,7 +74,7 @@ def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[i
     return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
-_ALIGNED = ("a_ids", "b_ids", "a_stops", "b_stops")
+_ALIGNED = ("a_ids", "b_ids", "a_counts", "b_counts")
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -84,11 +84,10 @@ def _read(path: str) -> bytes:
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a_ids, b_ids, a_stops and b_stops of every whole text.
+    """doc_id, a_ids, b_ids, a_counts and b_counts of every whole text.
 
     A space and the text are read by a byte-level vocabulary (a) and a sentence-piece model (b), which
-    adds that space itself. Group g holds the tokens from a_stops[g-1] up to a_stops[g] of a, and likewise
-    of b. A null or empty text, and one that either tokenizer does not give back byte by byte, has empty
+    adds that space itself. Group g holds the next a_counts[g] tokens of a and b_counts[g] of b. A null or empty text, and one that either tokenizer does not give back byte by byte, has empty
     lists. Repeated rows and null ids are aligned each; other columns are ignored; an empty table gives
     an empty result. The vocabularies are broadcast; their size is that of their files.
     """
@@ -100,16 +99,16 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
             if a is None:
                 a, b = ByteTokens(shared.value[0]), PieceTokens(shared.value[1])
                 a_sizes, b_sizes = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b))
-            texts = [t or "" for t in piece.column("text").to_pylist()]
             found: dict[str, list] = {c: [] for c in _ALIGNED}
-            for text, a_ids, b_ids in zip(texts, a.encode(texts), b.encode(texts)):
-                raw = b" " + text.encode()
-                if not text or b"".join(map(a.bytes.__getitem__, a_ids)) != raw or b"".join(map(b.bytes.__getitem__, b_ids)) != raw:
-                    row = [], [], [], []
-                else:
-                    row = a_ids, b_ids, *common_ends(np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist())
+            for text in piece.column("text").to_pylist():
+                row = [np.zeros(0, np.int32)] * 4
+                if text:
+                    a_ids, b_ids, raw = a.encode(text), b.encode(text), b" " + text.encode()
+                    if all(b"".join(map(t.bytes.__getitem__, ids.tolist())) == raw for t, ids in ((a, a_ids), (b, b_ids))):
+                        stops = common_ends(np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist())
+                        row = [a_ids, b_ids, *(np.diff(np.array(x, dtype=np.int32), prepend=0) for x in stops)]
                 for c, values in zip(_ALIGNED, row):
-                    found[c].append(np.array(values, dtype=np.int32))
+                    found[c].append(values.astype(np.int32))
             lists = [_lists(found[c]) for c in _ALIGNED]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *lists], ["doc_id", *_ALIGNED])
 
@@ -125,7 +124,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 class _Piece:
-    """Some aligned rows, their lists one after the other; the stops count on over the rows."""
+    """Some aligned rows, their lists one after the other."""
 
     def __init__(self, batch: pa.RecordBatch):
         flat, counts = {}, {}
@@ -133,10 +132,8 @@ class _Piece:
             column = batch.column(c)
             flat[c] = column.flatten().to_numpy().astype(np.int64)
             counts[c] = np.diff(column.offsets.to_numpy()).astype(np.int64)
-        self.n_a, self.n_b, self.n_groups = counts["a_ids"], counts["b_ids"], counts["a_stops"]
-        self.a_ids, self.b_ids = flat["a_ids"], flat["b_ids"]
-        self.a_stops = flat["a_stops"] + np.repeat(np.cumsum(self.n_a) - self.n_a, self.n_groups)
-        self.b_stops = flat["b_stops"] + np.repeat(np.cumsum(self.n_b) - self.n_b, self.n_groups)
+        self.n_a, self.n_b, self.n_groups = counts["a_ids"], counts["b_ids"], counts["a_counts"]
+        self.a_ids, self.b_ids, self.a_counts, self.b_counts = (flat[c] for c in _ALIGNED)
         self.n_links = self.n_a + self.n_b - self.n_groups
 
     def links(self, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,11 +282,11 @@ def _written(piece: _Piece) -> list[bytes]:
     """Each row's groups as text, written for all rows at once: a token's digits and what follows it."""
     n = len(piece.a_ids) + len(piece.b_ids)
     ids, after = np.empty(n, dtype=np.int64), np.full(n, _COMMA, dtype=np.uint8)
-    a_many, b_many = np.diff(piece.a_stops, prepend=0), np.diff(piece.b_stops, prepend=0)
-    a_at = np.arange(len(piece.a_ids)) + np.repeat(piece.b_stops - b_many, a_many)
-    b_at = np.arange(len(piece.b_ids)) + np.repeat(piece.a_stops, b_many)
+    a_stops, b_stops = np.cumsum(piece.a_counts), np.cumsum(piece.b_counts)
+    a_at = np.arange(len(piece.a_ids)) + np.repeat(b_stops - piece.b_counts, piece.a_counts)
+    b_at = np.arange(len(piece.b_ids)) + np.repeat(a_stops, piece.b_counts)
     ids[a_at], ids[b_at] = piece.a_ids, piece.b_ids
-    after[a_at[piece.a_stops - 1]], after[b_at[piece.b_stops - 1]] = _BAR, _SEMICOLON
+    after[a_at[a_stops - 1]], after[b_at[b_stops - 1]] = _BAR, _SEMICOLON
     digits = len(str(int(ids.max(initial=0))))
     text = np.zeros((n, digits + 1), dtype=np.uint8)
     for k in range(digits):

@@ -52,6 +52,12 @@ def beside(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFr
     return tuple(marked.where(part).drop("_row", "_bit", "_bits") for part in (~hit, hit))
 
 
+def stage_small(df: DataFrame, path: str) -> DataFrame:
+    """A stage table like ``session.stage``, in the format that takes less room and more time."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], column: str, most_bytes: int, most_rows: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
