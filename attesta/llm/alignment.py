@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.bpe import SPLIT, Vocabulary
-from attesta.llm.common import slices
+from attesta.llm.common import slices, small_batches, stage_small
 from attesta.session import new_folder, stage
 
 PIECE_BYTES = 1 << 20
-#: Tokens of a piece of encoded rows, and distinct pairs that a counting task holds before it emits them.
-PIECE_TOKENS, MOST_HELD = 1 << 19, 1 << 20
+#: Distinct pairs that a counting task holds before it emits them.
+MOST_HELD = 1 << 20
 #: Most id pairs in the broadcast: 13 bytes each.
 MOST_FREQUENT = 1 << 19
 _SPACE = "▁"
@@ -66,12 +66,12 @@ class PieceTokens:
         return np.array(self._model.encode(text), dtype=np.int32)
 
 
-def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
-    """Of each group of two lists of ascending ends: how many tokens of a, and of b, end by its end."""
-    at_a = dict(zip(a_ends, range(1, len(a_ends) + 1)))
-    at_b = dict(zip(b_ends, range(1, len(b_ends) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
+def group_sizes(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of a, and of b, each group of two lists of ascending ends holds."""
+    ats = [dict(zip(ends, range(1, len(ends) + 1))) for ends in (a_ends, b_ends)]
+    common = sorted(ats[0].keys() & ats[1].keys())
+    stops = (np.fromiter(map(at.__getitem__, common), np.int32, len(common)) for at in ats)
+    return tuple(np.diff(x, prepend=np.int32(0)) for x in stops)
 
 
 _ALIGNED = ("a_ids", "b_ids", "a_counts", "b_counts")
@@ -83,57 +83,75 @@ def _read(path: str) -> bytes:
         return file.read()
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a_ids, b_ids, a_counts and b_counts of every whole text.
+class Aligner:
+    """Ids of a text by both tokenizers and the sizes of their groups."""
 
-    A space and the text are read by a byte-level vocabulary (a) and a sentence-piece model (b), which
-    adds that space itself. Group g holds the next a_counts[g] tokens of a and b_counts[g] of b. A null or empty text, and one that either tokenizer does not give back byte by byte, has empty
-    lists. Repeated rows and null ids are aligned each; other columns are ignored; an empty table gives
-    an empty result. The vocabularies are broadcast; their size is that of their files.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((_read(byte_path).decode(), _read(piece_path)))
+    def __init__(self, byte_file: bytes, piece_file: bytes):
+        self.tokens = ByteTokens(byte_file.decode()), PieceTokens(piece_file)
+        self.sizes = [np.array([len(x) for x in t.bytes], dtype=np.int64) for t in self.tokens]
+
+    def rows(self, texts: list[str | None]) -> Iterator[list[np.ndarray]]:
+        for text in texts:
+            ids = [t.encode(text) for t in self.tokens] if text else []
+            raw = b" " + (text or "").encode()
+            if ids and all(b"".join(map(t.bytes.__getitem__, i.tolist())) == raw for t, i in zip(self.tokens, ids)):
+                yield [*ids, *group_sizes(*(np.cumsum(n[i]).tolist() for n, i in zip(self.sizes, ids)))]
+            else:
+                yield [np.zeros(0, np.int32)] * 4
+
+
+def _aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str, text_col: str, kind: T.DataType, column) -> DataFrame:
+    """doc_id and the columns of ``_ALIGNED``, which ``column`` makes of a piece's arrays."""
+    shared = docs.sparkSession.sparkContext.broadcast((_read(byte_path), _read(piece_path)))
 
     def aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = b = None
+        aligner = None
         for piece in slices(batches, "text", PIECE_BYTES):
-            if a is None:
-                a, b = ByteTokens(shared.value[0]), PieceTokens(shared.value[1])
-                a_sizes, b_sizes = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b))
-            found: dict[str, list] = {c: [] for c in _ALIGNED}
-            for text in piece.column("text").to_pylist():
-                row = [np.zeros(0, np.int32)] * 4
-                if text:
-                    a_ids, b_ids, raw = a.encode(text), b.encode(text), b" " + text.encode()
-                    if all(b"".join(map(t.bytes.__getitem__, ids.tolist())) == raw for t, ids in ((a, a_ids), (b, b_ids))):
-                        stops = common_ends(np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist())
-                        row = [a_ids, b_ids, *(np.diff(np.array(x, dtype=np.int32), prepend=0) for x in stops)]
-                for c, values in zip(_ALIGNED, row):
-                    found[c].append(values.astype(np.int32))
-            lists = [_lists(found[c]) for c in _ALIGNED]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *lists], ["doc_id", *_ALIGNED])
+            aligner = aligner or Aligner(*shared.value)
+            found = list(aligner.rows(piece.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(column([r[k] for r in found]) for k in range(4))], ["doc_id", *_ALIGNED])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lists = [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in _ALIGNED]
-    return rows.mapInArrow(aligned, T.StructType([rows.schema["doc_id"], *lists]))
+    return rows.mapInArrow(aligned, T.StructType([rows.schema["doc_id"], *(T.StructField(c, kind) for c in _ALIGNED)]))
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, a_ids, b_ids, a_counts and b_counts (arrays of int) of every whole text.
+
+    A space and the text are read by a byte-level vocabulary (a) and a sentence-piece model (b), which
+    adds that space itself. Group g holds the next a_counts[g] tokens of a and b_counts[g] of b. A null
+    or empty text, and one that either tokenizer does not give back byte by byte, has empty lists.
+    Repeated rows and null ids are aligned each; other columns are ignored; an empty table gives an
+    empty result. The vocabularies are broadcast; their size is that of their files.
+    """
+    return _aligned(docs, byte_path, piece_path, id_col, text_col, T.ArrayType(T.IntegerType(), False), _list)
+
+
+def _list(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
+
+
+_WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
+def _packed(parts: list[np.ndarray]) -> pa.Array:
+    """Each array as bytes: the width of its numbers, then the numbers."""
+    widths = [1 if (most := int(p.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4 for p in parts]
+    return pa.array([bytes([w]) + p.astype(_WIDTHS[w]).tobytes() for p, w in zip(parts, widths)], pa.binary())
+
+
+def _unpacked(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, dtype=_WIDTHS[value[0]], offset=1)
 
 
 class _Piece:
     """Some aligned rows, their lists one after the other."""
 
     def __init__(self, batch: pa.RecordBatch):
-        flat, counts = {}, {}
-        for c in _ALIGNED:
-            column = batch.column(c)
-            flat[c] = column.flatten().to_numpy().astype(np.int64)
-            counts[c] = np.diff(column.offsets.to_numpy()).astype(np.int64)
-        self.n_a, self.n_b, self.n_groups = counts["a_ids"], counts["b_ids"], counts["a_counts"]
-        self.a_ids, self.b_ids, self.a_counts, self.b_counts = (flat[c] for c in _ALIGNED)
+        parts = [[_unpacked(v) for v in batch.column(c).to_pylist()] for c in _ALIGNED]
+        self.n_a, self.n_b, self.n_groups, _ = (np.array([len(p) for p in column], dtype=np.int64) for column in parts)
+        self.a_ids, self.b_ids, self.a_counts, self.b_counts = (np.concatenate(column).astype(np.int64) for column in parts)
         self.n_links = self.n_a + self.n_b - self.n_groups
 
     def links(self, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,31 +168,17 @@ class _Piece:
         return (np.cumsum(here, dtype=np.int32)[at] - here[at] for here in (a_here, b_here))
 
 
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of near ``PIECE_TOKENS`` tokens, a row never cut."""
-    for batch in batches:
-        sizes = np.cumsum(sum(np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in ("a_ids", "b_ids")))
-        start = 0
-        while start < batch.num_rows:
-            before = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, before + PIECE_TOKENS, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-
+def _sizes(byte_path: str, piece_path: str) -> list[np.ndarray]:
+    return Aligner(_read(byte_path), _read(piece_path)).sizes
 
-def _sizes(byte_path: str, piece_path: str) -> tuple[np.ndarray, np.ndarray]:
-    tokens = ByteTokens(_read(byte_path).decode()), PieceTokens(_read(piece_path))
-    return tuple(np.array([len(x) for x in t.bytes], dtype=np.int64) for t in tokens)
 
-
-def pair_counts(aligned: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+def _pair_counts(packed: DataFrame, a_sizes: np.ndarray, b_sizes: np.ndarray) -> DataFrame:
     """a_id, b_id and n, how many links of all texts hold the pair."""
-    a_sizes, b_sizes = _sizes(byte_path, piece_path)
     width = len(b_sizes)
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in _pieces(batches):
+        for batch in slices(batches, "a_ids", PIECE_BYTES):
             piece = _Piece(batch)
             a, b = piece.links(a_sizes, b_sizes)
             own, many = np.unique(piece.a_ids[a] * width + piece.b_ids[b], return_counts=True)
@@ -186,7 +190,7 @@ def pair_counts(aligned: DataFrame, byte_path: str, piece_path: str) -> DataFram
         if len(codes):
             yield _pairs(codes, counts, width)
 
-    parts = aligned.select(*_ALIGNED).mapInArrow(counted, "a_id int, b_id int, n long")
+    parts = packed.select(*_ALIGNED).mapInArrow(counted, "a_id int, b_id int, n long")
     return parts.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
@@ -211,19 +215,23 @@ def _most_frequent(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(found[c].to_numpy()[order] for c in ("code", "n", "best"))
 
 
-def score_links(aligned: DataFrame, byte_path: str, piece_path: str, most_frequent: int = MOST_FREQUENT) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``aligned``.
+def score_links(
+    docs: DataFrame, byte_path: str, piece_path: str, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every text, aligned as by ``align``.
 
     ``count_sum`` adds up, over the row's links, how many links of all texts hold the same id pair, and
     ``n_best`` counts links whose pair is the most frequent one of its b id, ties included.
     ``groups_sha256`` is the digest of the groups written as ``a1,a2|b1;a3|b2,b3``, and empty for a row
-    without tokens, whose figures are zero. ``aligned`` is read twice: pass a stored table.
+    without tokens, whose figures are zero. Repeated rows count each, as ``align`` reads them.
     """
-    spark = aligned.sparkSession
+    spark = docs.sparkSession
     folder = new_folder(spark, "alignment")
     a_sizes, b_sizes = _sizes(byte_path, piece_path)
     width = len(b_sizes)
-    counts = stage(pair_counts(aligned, byte_path, piece_path), f"{folder}/counts")
+    with small_batches(spark):
+        packed = stage_small(_aligned(docs, byte_path, piece_path, id_col, text_col, T.BinaryType(), _packed), f"{folder}/packed")
+        counts = stage(_pair_counts(packed, a_sizes, b_sizes), f"{folder}/counts")
     best = counts.groupBy("b_id").agg(F.max("n").alias("most"))  # at most one row per id of the vocabulary
     code = F.col("a_id").cast("long") * width + F.col("b_id")
     pairs = stage(counts.join(best, "b_id").select(code.alias("code"), "n", (F.col("n") == F.col("most")).alias("best")), f"{folder}/pairs")
@@ -231,7 +239,7 @@ def score_links(aligned: DataFrame, byte_path: str, piece_path: str, most_freque
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counted, bests = shared.value
-        for batch in _pieces(batches):
+        for batch in slices(batches, "a_ids", PIECE_BYTES):
             piece = _Piece(batch)
             a, b = piece.links(a_sizes, b_sizes)
             own, which = np.unique(piece.a_ids[a] * width + piece.b_ids[b], return_inverse=True)
@@ -259,8 +267,9 @@ def score_links(aligned: DataFrame, byte_path: str, piece_path: str, most_freque
 
     numbers = ", ".join(f"{c} long" for c in _FIGURES)
     fields = T.StructType.fromDDL(f"{numbers}, groups_sha256 string, rare array<struct<code: long, times: long>>").fields
-    figures = aligned.select("doc_id", *_ALIGNED).mapInArrow(scored, T.StructType([aligned.schema["doc_id"], *fields]))
-    figures = stage(figures.withColumn("row", F.monotonically_increasing_id()), f"{folder}/figures")
+    figures = packed.select("doc_id", *_ALIGNED).mapInArrow(scored, T.StructType([packed.schema["doc_id"], *fields]))
+    with small_batches(spark):
+        figures = stage(figures.withColumn("row", F.monotonically_increasing_id()), f"{folder}/figures")
     rest = figures.select("row", F.inline("rare")).join(pairs, "code")
     added = rest.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum"))
     total = lambda c, more: (F.col(c) + F.coalesce(F.col(more), F.lit(0))).alias(c)

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import alignment, bpe, hard_negatives, kneser_ney, language, license_scan, packing, quality, simhash, toxicity, url_filter
-from attesta.llm.common import stage_small
 from attesta.llm.exact_dedup import exact_groups
-from attesta.session import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +65,7 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    aligned = stage_small(alignment.align(_table(spark, sf_dir, "documents"), *paths), new_folder(spark, "aligned"))
-    return alignment.score_links(aligned, *paths)
+    return alignment.score_links(_table(spark, sf_dir, "documents"), *paths)
 
 
 def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
