@@ -13,6 +13,7 @@ all pairs, where a key that is rarer than the broadcast ones cannot be hot.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -94,7 +95,8 @@ class Aligner:
         for text in texts:
             ids = [t.encode(text) for t in self.tokens] if text else []
             raw = b" " + (text or "").encode()
-            if ids and all(b"".join(map(t.bytes.__getitem__, i.tolist())) == raw for t, i in zip(self.tokens, ids)):
+            # a's tokens are parts of the text as they stand, in order: only missing bytes could differ
+            if ids and self.sizes[0][ids[0]].sum() == len(raw) and b"".join(map(self.tokens[1].bytes.__getitem__, ids[1].tolist())) == raw:
                 yield [*ids, *group_sizes(*(np.cumsum(n[i]).tolist() for n, i in zip(self.sizes, ids)))]
             else:
                 yield [np.zeros(0, np.int32)] * 4
@@ -215,6 +217,28 @@ def _most_frequent(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(found[c].to_numpy()[order] for c in ("code", "n", "best"))
 
 
+def _finder(codes: np.ndarray):
+    """Function from values to their places in the sorted ``codes``, -1 where there is none."""
+    if not len(codes):
+        return lambda values: np.full(len(values), -1, dtype=np.int64)
+    bits = max(4, int(len(codes)).bit_length() + 3)
+
+    def slots(values: np.ndarray) -> np.ndarray:
+        return (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    table = np.zeros(1 << bits, dtype=np.int32)
+    table[slots(codes)] = np.arange(len(codes))
+
+    def find(values: np.ndarray) -> np.ndarray:
+        at = table[slots(values)].astype(np.int64)
+        other = np.flatnonzero(codes[at] != values)  # a slot of another code, or none
+        second = np.minimum(np.searchsorted(codes, values[other]), len(codes) - 1)
+        at[other] = np.where(codes[second] == values[other], second, -1)
+        return at
+
+    return find
+
+
 def score_links(
     docs: DataFrame, byte_path: str, piece_path: str, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -239,27 +263,26 @@ def score_links(
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counted, bests = shared.value
+        find = _finder(codes)
+        counted, bests = np.append(counted, 0), np.append(bests, False)  # place -1: not among the frequent ones
         for batch in slices(batches, "a_ids", PIECE_BYTES):
             piece = _Piece(batch)
             a, b = piece.links(a_sizes, b_sizes)
-            own, which = np.unique(piece.a_ids[a] * width + piece.b_ids[b], return_inverse=True)
-            known, n, top = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
-            if len(codes):
-                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                known = codes[at] == own
-                n[known], top[known] = counted[at[known]], bests[at[known]]
-            rest = np.flatnonzero(~known[which])
+            own = piece.a_ids[a] * width + piece.b_ids[b]
+            at = find(own)
+            rest = np.flatnonzero(at < 0)
             row = np.repeat(np.arange(batch.num_rows), piece.n_links)[rest]
-            each, times = np.unique(row * max(len(own), 1) + which[rest], return_counts=True)
-            many = np.bincount(each // max(len(own), 1), minlength=batch.num_rows)
-            rare = pa.StructArray.from_arrays([pa.array(own[each % max(len(own), 1)]), pa.array(times)], ["code", "times"])
+            rare_codes, which = np.unique(own[rest], return_inverse=True)
+            each, times = np.unique(row * max(len(rare_codes), 1) + which, return_counts=True)
+            many = np.bincount(each // max(len(rare_codes), 1), minlength=batch.num_rows)
+            rare = pa.StructArray.from_arrays([pa.array(rare_codes[each % max(len(rare_codes), 1)]), pa.array(times)], ["code", "times"])
             columns = {
                 "n_a": pa.array(piece.n_a),
                 "n_b": pa.array(piece.n_b),
                 "n_groups": pa.array(piece.n_groups),
                 "n_links": pa.array(piece.n_links),
-                "n_best": pa.array(_sums(top[which], piece.n_links)),
-                "count_sum": pa.array(_sums(n[which], piece.n_links)),
+                "n_best": pa.array(_sums(bests[at], piece.n_links)),
+                "count_sum": pa.array(_sums(counted[at], piece.n_links)),
                 "groups_sha256": pa.array([sha256(g).hexdigest() if g else "" for g in _written(piece)]),
                 "rare": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), rare),
             }
@@ -287,6 +310,13 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 _COMMA, _BAR, _SEMICOLON = b",|;"
 
 
+@lru_cache(maxsize=4)
+def _digits(most: int) -> np.ndarray:
+    """The decimal digits of 0 to ``most``, with zero bytes before them."""
+    width = len(str(most))
+    return np.array([list(str(i).encode().rjust(width, b"\0")) for i in range(most + 1)], dtype=np.uint8)
+
+
 def _written(piece: _Piece) -> list[bytes]:
     """Each row's groups as text, written for all rows at once: a token's digits and what follows it."""
     n = len(piece.a_ids) + len(piece.b_ids)
@@ -296,12 +326,10 @@ def _written(piece: _Piece) -> list[bytes]:
     b_at = np.arange(len(piece.b_ids)) + np.repeat(a_stops, piece.b_counts)
     ids[a_at], ids[b_at] = piece.a_ids, piece.b_ids
     after[a_at[a_stops - 1]], after[b_at[b_stops - 1]] = _BAR, _SEMICOLON
-    digits = len(str(int(ids.max(initial=0))))
-    text = np.zeros((n, digits + 1), dtype=np.uint8)
-    for k in range(digits):
-        place = 10 ** (digits - 1 - k)
-        text[:, k] = np.where((ids >= place) | (place == 1), ids // place % 10 + 48, 0)
-    text[:, digits] = after
+    digits = _digits((1 << int(ids.max(initial=0)).bit_length()) - 1)
+    text = np.empty((n, digits.shape[1] + 1), dtype=np.uint8)
+    text[:, :-1] = digits[ids]
+    text[:, -1] = after
     shown = text != 0
     ends = np.concatenate(([0], np.cumsum(shown.sum(axis=1))))
     flat = text[shown].tobytes()
