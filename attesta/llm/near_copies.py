@@ -1,136 +1,39 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""Near copies for the pipeline: SimHash links and min-hash buckets as candidates, confirmed exactly.
 
-Candidates are texts that agree in a band: ``ROWS`` min-hashes of their shingles, out of ``BANDS``
-bands. Two texts of similarity s miss each other in all bands with probability (1 - s**5)**50, which
-is 2.4e-9 at 0.8 and less above. Every candidate link is then checked exactly on the whole shingle
-sets, so no pair below the threshold is linked.
-
-In a band's group each text meets the group's first one; only texts which that leaves in another
-component than the first one's meet all the others. Pairs that are not compared are linked already.
+Fingerprints of five-word shingles within a few bits, searched with the BK-trees of ``simhash``, reach
+only part of the pairs at a similarity of 0.8 (their fingerprints differ by about nine bits). Candidates
+therefore also come from the buckets of ``minhash``, and every link is confirmed on the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from attesta.llm.common import beside, mix, slices, text_digest
-from attesta.llm.simhash import components, shingle_hashes
+from attesta.llm import minhash, simhash
 from attesta.session import new_folder, stage
 
 SHINGLE = 5
 #: Least similarity of linked texts.
 PERCENT = 80
-BANDS, ROWS = 50, 5
-PIECE_BYTES = 4 << 20
-#: Shingles hashed at once: few enough for the processor's cache.
-_AT_ONCE = 1 << 15
-_FACTORS, _SUMMANDS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
-_FACTORS |= np.uint64(1)
-
-
-def _bands(sets: list[np.ndarray]) -> np.ndarray:
-    """Hash of each band of each set of shingle hashes (repeats do no harm)."""
-    least = np.empty((len(sets), BANDS * ROWS), dtype=np.uint64)
-    first = 0
-    while first < len(sets):
-        stop, size = first, 0
-        while stop < len(sets) and (stop == first or size + len(sets[stop]) <= _AT_ONCE):
-            size += len(sets[stop])
-            stop += 1
-        hashes = np.concatenate(sets[first:stop])
-        starts = np.cumsum([0, *(len(s) for s in sets[first : stop - 1])])
-        mixed = np.empty_like(hashes)
-        for k in range(BANDS * ROWS):
-            np.multiply(hashes, _FACTORS[k], out=mixed)
-            np.add(mixed, _SUMMANDS[k], out=mixed)
-            least[first:stop, k] = np.minimum.reduceat(mixed, starts)
-        first = stop
-    least = least.reshape(len(sets), BANDS, ROWS)
-    found = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS))
-    for k in range(ROWS):
-        found = mix(found, least[:, :, k])
-    return found
-
-
-def _banded(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_sha256 and bands of every row."""
-
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", PIECE_BYTES, 1 << 14):
-            found = _bands([shingle_hashes(t, shingle) for t in piece.column("text").to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_sha256"), lists], ["doc_id", "text_sha256", "bands"])
-
-    return rows.mapInArrow(hashed, T.StructType([*rows.drop("text").schema, T.StructField("bands", T.ArrayType(T.LongType()))]))
-
-
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """text_sha256 and the distinct shingle hashes of every text."""
-
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", PIECE_BYTES, 1 << 14):
-            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("text_sha256"), pa.array(found, pa.list_(pa.int64()))], ["text_sha256", "shingles"])
-
-    return texts.mapInArrow(hashed, "text_sha256 string, shingles array<bigint>")
 
 
-def _checked(pairs: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, percent: int, folder: str) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose shingle sets are similar; only their texts are shuffled."""
-    pairs = stage(pairs.distinct(), f"{folder}-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = stage(prints.select("node", "text_sha256").join(nodes, "node"), f"{folder}-needed")
-    digests = needed.select("text_sha256").distinct()
-    _, perhaps = beside(rows, digests, ["text_sha256"])
-    texts = perhaps.join(digests, "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("text").alias("text"))
-    sets = stage(_sets(texts, shingle), f"{folder}-sets")
-    named = needed.join(sets, "text_sha256").select("node", "shingles")
-    both = pairs.join(named.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(named.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    common, sizes = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    close = F.least(F.size("of_a"), F.size("of_b")) * 100 >= F.greatest(F.size("of_a"), F.size("of_b")) * percent
-    similar = F.when(close, common.cast("long") * 100 >= (sizes - common).cast("long") * percent).otherwise(False)
-    return stage(both.where(similar).select("a", "b"), f"{folder}-similar")
+def _near_fingerprints(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) of ``distinct`` (node, bits): equal fingerprints to their smallest node, and between
+    the smallest nodes of fingerprints within the radius."""
+    heads = stage(distinct.groupBy("bits").agg(F.min("node").alias("head")), new_folder(distinct.sparkSession, "fingerprints"))
+    equal = distinct.join(heads, "bits").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    of_a, of_b = (heads.select(F.col("bits").alias(f"bits_{c}"), F.col("head").alias(c)) for c in "ab")
+    near = simhash.links(heads.select(F.col("bits").alias("fp"))).withColumnsRenamed({"a": "bits_a", "b": "bits_b"})
+    return near.join(of_a, "bits_a").join(of_b, "bits_b").select("a", "b").unionByName(equal)
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (smallest id reachable), text_sha256 and kept of every row.
 
     Rows are linked whose sets of ``shingle`` successive words (A-Z lower-cased) have a Jaccard
-    similarity of ``percent`` or more; a shorter text is one shingle, and texts without a word are
-    linked. The row with the smallest id of a component stays, null ids last; of rows of that id the
-    one with the smallest digest, and of repeated rows one.
+    similarity of ``percent`` or more; ``kept`` marks one row of each component. Texts without a word are
+    not linked. For nulls, repeated rows, other columns and empty tables see ``minhash.similar_groups``.
     """
-    folder = new_folder(docs.sparkSession, "similar")
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(text).alias("text_sha256"), F.coalesce(text, F.lit("")).alias("text"))
-    prints = stage(_banded(rows, shingle).withColumn("node", F.monotonically_increasing_id()), f"{folder}/prints")
-    keyed = prints.select("node", F.explode("bands").alias("band"))
-    groups = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = stage(groups, f"{folder}/groups")
-    _, perhaps = beside(keyed, groups, ["band"])
-    members = stage(perhaps.join(groups, "band").where(F.col("node") != F.col("head")), f"{folder}/members")
-    texts = rows.select("text_sha256", "text")
-    similar = _checked(members.select(F.col("head").alias("a"), F.col("node").alias("b")), prints, texts, shingle, percent, f"{folder}/heads")
-    found = stage(components(similar), f"{folder}/found")
-    own, heads = found.withColumnRenamed("root", "own"), found.select(F.col("node").alias("head"), F.col("root").alias("main"))
-    rooted = members.join(own, "node", "left").join(heads, "head", "left")
-    rooted = rooted.select("band", "node", F.coalesce("own", "node").alias("own"), F.coalesce("main", "head").alias("main"))
-    rooted = stage(rooted, f"{folder}/rooted")
-    apart = rooted.where("own != main").select("band", F.col("node").alias("x"), F.col("own").alias("x_own"))
-    others = apart.join(rooted, "band").where(F.col("x_own") != F.col("own"))
-    others = stage(others.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), f"{folder}/others")
-    if not others.isEmpty():
-        more = _checked(others, prints, texts, shingle, percent, f"{folder}/rest")
-        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = prints.select("node", "doc_id", "text_sha256").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "node")
-    stays = named.groupBy("root").agg(F.min(row).alias("stays"))
-    return named.join(stays, "root").select(
-        "doc_id", F.col("stays.doc_id").alias("component_id"), "text_sha256", (F.col("node") == F.col("stays.node")).alias("kept")
-    )
+    found = minhash.similar_groups(docs, percent, shingle, id_col, text_col, _near_fingerprints)
+    return found.select("doc_id", "component_id", "text_sha256", F.col("stays").alias("kept"))

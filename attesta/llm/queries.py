@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import alignment, bpe, hard_negatives, kneser_ney, language, license_scan, packing, quality, simhash, toxicity, url_filter
+from attesta.llm import alignment, bpe, hard_negatives, kneser_ney, language, license_scan, minhash, packing, quality, simhash, toxicity, url_filter
 from attesta.llm.exact_dedup import exact_groups
 
 
@@ -74,6 +74,10 @@ def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", relabelled))
 
 
+def min_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op10_language_id": language_id,
     "op11_token_alignment": token_alignment,
     "op12_hard_negatives": hard_negative_mining,
+    "op13_minhash_groups": min_hash_dedup,
     "pipeline": pipeline,
 }
 

@@ -47,11 +47,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64 bits, each set if it is in over half the shingles' hashes; 0 without a word."""
     if not (text or "").encode("utf-8", "replace").split():
         return 0
-    hashes = shingle_hashes(text, shingle)
+    return bits_of(shingle_hashes(text, shingle)) & 0xFFFFFFFFFFFFFFFF
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """64 bits as a signed number, each set if it is in over half the ``hashes``."""
     sums = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         sums += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * sums > len(hashes)).view("<u8")[0])
+    return int(np.packbits(2 * sums > len(hashes)).view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
