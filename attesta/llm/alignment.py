@@ -12,9 +12,11 @@ all pairs, where a key that is rarer than the broadcast ones cannot be hot.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,9 @@ MOST_HELD = 1 << 20
 #: Most id pairs in the broadcast: 13 bytes each.
 MOST_FREQUENT = 1 << 19
 _SPACE = "▁"
+_WORDS = re.compile(r" +[^ ]+(?: +\Z)?| +\Z").findall
+#: Longest word whose ids are remembered, and how many are at once.
+_SHORT, MOST_WORDS = 40, 1 << 17
 
 
 class ByteTokens:
@@ -55,15 +60,32 @@ class ByteTokens:
         return self._encoding.encode_to_numpy(" " + text)
 
 
-class PieceTokens:
-    """A sentence-piece model: ids of a text, bytes of an id. The model puts a space before the text."""
+class PieceTokens(dict):
+    """A sentence-piece model: ids of a text, bytes of an id. The model puts a space before the text.
+
+    No piece of such a model goes on with a space after another letter, so no token crosses the start of
+    a run of spaces: a text's ids are those of its words, each with the spaces before it (and the last with those after it). The ids of short
+    words are remembered, a bounded number of them. A model with other pieces reads whole texts.
+    """
 
     def __init__(self, model: bytes):
+        super().__init__()
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(names)]
+        self._by_word = not any(_SPACE in p.lstrip(_SPACE) for p in names)
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self._model.encode(word[1:])  # the model adds the first space
+        if len(word) <= _SHORT:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
+        if self._by_word and _SPACE not in text:
+            return np.array(list(chain.from_iterable(map(self.__getitem__, _WORDS(" " + text)))), dtype=np.int32)
         return np.array(self._model.encode(text), dtype=np.int32)
 
 

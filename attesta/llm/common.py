@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -12,12 +13,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.session import new_folder, stage
+
 #: A word of every contract: code points other than space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Bits of the bitmap of ``beside`` (2 MB), in rows of 2**15 bits as Spark's bitmaps have them.
-BITMAP_BITS, BITMAP_ROW = 1 << 24, 1 << 15
+#: Least and most bits of the bitmap of ``beside`` (2 MB, 32 MB), in rows of 2**15 bits as Spark's bitmaps have them.
+BITMAP_BITS, MOST_BITMAP_BITS, BITMAP_ROW = 1 << 24, 1 << 28, 1 << 15
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,16 +44,38 @@ def text_digest(text: Column) -> Column:
 def beside(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``columns`` are surely not in ``keys``, and the others.
 
-    A bitmap of fixed size, one bit per hash of a key, is broadcast, so that a join with ``keys``
-    need only shuffle the second part: rows with a key and a few whose hash falls on one's bit.
+    A bitmap of bounded size, one bit per hash of a key, is broadcast, so that a join with ``keys`` need
+    only shuffle the second part: rows with a key and a few whose hash falls on one's bit. The bitmap
+    has 16 bits or more a key up to ``MOST_BITMAP_BITS`` (32 MB).
     """
-    slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    bits = BITMAP_BITS
+    known = keys.count()
+    while bits < 16 * known and bits < MOST_BITMAP_BITS:
+        bits *= 2
+    at, bit_at, held = (f"_{n}_{uuid.uuid4().hex}" for n in ("row", "bit", "bits"))
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
     row, bit = F.floor(slot / BITMAP_ROW), slot % BITMAP_ROW
-    bitmap = keys.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))  # at most 512 rows of 4 KB
-    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    marked = rows.withColumns({"_row": row, "_bit": bit}).join(F.broadcast(bitmap), "_row", "left")
-    return tuple(marked.where(part).drop("_row", "_bit", "_bits") for part in (~hit, hit))
+    bitmap = keys.groupBy(row.alias(at)).agg(F.bitmap_construct_agg(bit).alias(held))  # at most 8192 rows of 4 KB
+    byte = F.conv(F.hex(F.expr(f"substring({held}, int({bit_at} div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (F.col(bit_at) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = rows.withColumns({at: row, bit_at: bit}).join(F.broadcast(bitmap), at, "left")
+    return tuple(marked.where(part).drop(at, bit_at, held) for part in (~hit, hit))
+
+
+def keep_rows(rows: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``judged`` (doc_id, text_sha256, kept) keeps, one of each id and text, with all columns.
+
+    Only texts that may be dropped are shuffled: the others pass by the join. Rows travel as one value
+    beside the key, so that columns may have any name.
+    """
+    key = ["id", "digest"]
+    judged = stage(judged.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "kept"), new_folder(rows.sparkSession, "judged"))
+    keyed = rows.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    passed, doubtful = beside(keyed, judged.where(~F.col("kept")), key)
+    ids = judged.where("kept").select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    found = doubtful.join(ids, same, "left_semi").dropDuplicates(key)
+    return passed.unionByName(found).select("row.*")
 
 
 def stage_small(df: DataFrame, path: str) -> DataFrame:

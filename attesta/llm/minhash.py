@@ -213,7 +213,7 @@ def _confirmed(found: DataFrame, distinct: DataFrame, rows: DataFrame, percent:
     named = stage(found.join(distinct.select("node", "text_sha256", "n_shingles"), "node"), f"{folder}/named")
     digests = named.select("text_sha256")
     _, perhaps = beside(rows, digests, ["text_sha256"])
-    texts = perhaps.join(digests, "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("text").alias("text"))
+    texts = perhaps.groupBy("text_sha256").agg(F.min("text").alias("text")).join(digests, "text_sha256", "left_semi")  # copies go before the shuffle
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE_BYTES, 1 << 12):
