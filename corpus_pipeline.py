@@ -8,32 +8,16 @@ Every stage works on all rows that its predecessor kept; all but the last return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from attesta.llm import language, packing, toxicity
-from attesta.llm.common import beside, text_digest
+from attesta.llm.common import keep_rows
 from attesta.llm.exact_dedup import exact_groups
 from attesta.llm.near_copies import similar_groups
 from attesta.session import new_folder, stage
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` (doc_id, text_sha256, kept) keeps, one of each id and text.
-
-    Only texts that may be dropped are shuffled: the others pass by the join.
-    """
-    key = ["_id", "_digest"]
-    judged = stage(judged.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), "kept"), new_folder(docs.sparkSession, "judged"))
-    keyed = docs.withColumns({"_id": F.col("doc_id"), "_digest": text_digest(F.col("text"))})
-    kept, doubtful = beside(keyed, judged.where(~F.col("kept")), key)
-    ids = judged.where("kept").withColumnsRenamed({"_id": "_kept_id", "_digest": "_kept_digest"})
-    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
-    found = doubtful.join(ids, same, "left_semi").dropDuplicates(key)
-    return kept.unionByName(found).select(*docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; ``und`` (null texts and texts without a letter) goes."""
+    """Documents in a learned language; null texts, texts without a letter and texts unlike all go."""
     return language.keep_known(docs, language.learn(docs))
 
 
@@ -44,12 +28,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest id."""
-    return _kept(docs, exact_groups(docs))
+    return keep_rows(docs, exact_groups(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles (similarity 0.8 or more) the row with the smallest id."""
-    return _kept(docs, similar_groups(docs))
+    """Of each group linked by five-word shingles (similarity 0.8 or more) the row with the smallest id.
+
+    Candidates are SimHash links (BK-trees) and min-hash buckets; each link is confirmed on whole texts.
+    """
+    return keep_rows(docs, similar_groups(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
