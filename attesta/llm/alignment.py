@@ -12,11 +12,9 @@ all pairs, where a key that is rarer than the broadcast ones cannot be hot.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +34,6 @@ MOST_HELD = 1 << 20
 #: Most id pairs in the broadcast: 13 bytes each.
 MOST_FREQUENT = 1 << 19
 _SPACE = "▁"
-_WORDS = re.compile(r" +[^ ]+(?: +\Z)?| +\Z").findall
-#: Longest word whose ids are remembered, and how many are at once.
-_SHORT, MOST_WORDS = 40, 1 << 17
 
 
 class ByteTokens:
@@ -60,32 +55,15 @@ class ByteTokens:
         return self._encoding.encode_to_numpy(" " + text)
 
 
-class PieceTokens(dict):
-    """A sentence-piece model: ids of a text, bytes of an id. The model puts a space before the text.
-
-    No piece of such a model goes on with a space after another letter, so no token crosses the start of
-    a run of spaces: a text's ids are those of its words, each with the spaces before it (and the last with those after it). The ids of short
-    words are remembered, a bounded number of them. A model with other pieces reads whole texts.
-    """
+class PieceTokens:
+    """A sentence-piece model: ids of a text, bytes of an id. The model puts a space before the text."""
 
     def __init__(self, model: bytes):
-        super().__init__()
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(names)]
-        self._by_word = not any(_SPACE in p.lstrip(_SPACE) for p in names)
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self._model.encode(word[1:])  # the model adds the first space
-        if len(word) <= _SHORT:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if self._by_word and _SPACE not in text:
-            return np.array(list(chain.from_iterable(map(self.__getitem__, _WORDS(" " + text)))), dtype=np.int32)
         return np.array(self._model.encode(text), dtype=np.int32)
 
 
@@ -161,8 +139,10 @@ _WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 
 def _packed(parts: list[np.ndarray]) -> pa.Array:
     """Each array as bytes: the width of its numbers, then the numbers."""
-    widths = [1 if (most := int(p.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4 for p in parts]
-    return pa.array([bytes([w]) + p.astype(_WIDTHS[w]).tobytes() for p, w in zip(parts, widths)], pa.binary())
+    most = max((int(p.max()) for p in parts if len(p)), default=0)
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    lead, kind = bytes([width]), _WIDTHS[width]
+    return pa.array([lead + p.astype(kind).tobytes() for p in parts], pa.binary())
 
 
 def _unpacked(value: bytes) -> np.ndarray:
@@ -333,10 +313,11 @@ _COMMA, _BAR, _SEMICOLON = b",|;"
 
 
 @lru_cache(maxsize=4)
-def _digits(most: int) -> np.ndarray:
-    """The decimal digits of 0 to ``most``, with zero bytes before them."""
+def _digits(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of 0 to ``most``, with zero bytes before them, and how many there are."""
     width = len(str(most))
-    return np.array([list(str(i).encode().rjust(width, b"\0")) for i in range(most + 1)], dtype=np.uint8)
+    digits = np.array([list(str(i).encode().rjust(width, b"\0")) for i in range(most + 1)], dtype=np.uint8)
+    return digits, (digits > 0).sum(axis=1)
 
 
 def _written(piece: _Piece) -> list[bytes]:
@@ -348,13 +329,12 @@ def _written(piece: _Piece) -> list[bytes]:
     b_at = np.arange(len(piece.b_ids)) + np.repeat(a_stops, piece.b_counts)
     ids[a_at], ids[b_at] = piece.a_ids, piece.b_ids
     after[a_at[a_stops - 1]], after[b_at[b_stops - 1]] = _BAR, _SEMICOLON
-    digits = _digits((1 << int(ids.max(initial=0)).bit_length()) - 1)
+    digits, sizes = _digits((1 << int(ids.max(initial=0)).bit_length()) - 1)
     text = np.empty((n, digits.shape[1] + 1), dtype=np.uint8)
     text[:, :-1] = digits[ids]
     text[:, -1] = after
-    shown = text != 0
-    ends = np.concatenate(([0], np.cumsum(shown.sum(axis=1))))
-    flat = text[shown].tobytes()
+    ends = np.concatenate(([0], np.cumsum(sizes[ids] + 1)))
+    flat = text.tobytes().translate(None, b"\0")
     stops = ends[np.cumsum(piece.n_a + piece.n_b)]
     starts = np.concatenate(([0], stops[:-1]))
     return [flat[a : max(b - 1, a)] for a, b in zip(starts.tolist(), stops.tolist())]

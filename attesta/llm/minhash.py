@@ -112,12 +112,12 @@ def _prints(docs: DataFrame, percent: int, shingle: int, with_bits: bool, id_col
 
 def _dealt(rows: DataFrame, group: str, parts: Column) -> DataFrame:
     """``rows`` by (group, i, j): a group of several parts has a shard for each two of them, and a row
-    goes to those of its own part."""
+    goes to those of its own part. Smaller nodes come first, so that shards tend to choose the same hubs."""
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     others = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("own"))).otherwise(F.array("own"))
     placed = rows.withColumn("parts", parts.cast("long")).withColumn("own", own).withColumn("other", F.explode(others))
     placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "parts")
-    return placed.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+    return placed.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "node")
 
 
 def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
