@@ -27,8 +27,8 @@ PIECE_BYTES, PIECE_ROWS = 1 << 20, 256
 TYPES_AT_ONCE = 8192
 #: Language of texts without a letter.
 UNKNOWN = "und"
-#: Least cosine of a text that ``keep_known`` keeps.
-LEAST_SCORE = 0.1
+#: Least cosine of a text that ``keep_known`` keeps, and the fewest n-grams from which it is asked for.
+LEAST_SCORE, FEWEST_GRAMS = 0.1, 200
 #: Prototypes go to every worker; more languages than this are refused.
 MOST_LANGUAGES = 4096
 
@@ -192,10 +192,10 @@ def predict(
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs``, as they are, whose text is in a learned language.
 
-    Null and empty texts and those without a letter go, and so do texts whose best cosine is below
-    ``least``: chance gives unlike letters one of 0.03. Of 10,000 texts in learned languages three have
-    less than 0.1, all of one to four words. Where nothing was learned, every text with a letter
-    stays. Repeated rows stay each, other columns of any name are carried along; an empty table gives an
+    Null and empty texts and those without a letter go, and so do texts of ``FEWEST_GRAMS`` n-grams or
+    more whose best cosine is below ``least``: chance gives unlike letters one of 0.03, and of 10,000
+    texts in learned languages only texts of one to four words have less than 0.1. Where nothing was
+    learned, every text with a letter stays. Repeated rows stay each, other columns of any name are carried along; an empty table gives an
     empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
@@ -205,7 +205,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", leas
             vectors, grams = bundles(piece.column(text_col).to_pylist(), shared.value.order, shared.value.vectors.shape[1])
             stays = grams > 0
             if shared.value.languages:
-                stays &= _cosines(vectors, shared.value).max(axis=1) >= least
+                stays &= (grams < FEWEST_GRAMS) | (_cosines(vectors, shared.value).max(axis=1) >= least)
             yield piece.filter(pa.array(stays))
 
     return docs.mapInArrow(kept, docs.schema)
