@@ -98,10 +98,11 @@ def round_robin(companies: DataFrame, per_profile: int) -> DataFrame:
 
 def scan_worklist(companies: DataFrame, profiles: DataFrame, per_profile: int) -> DataFrame:
     """Picked companies for every profile, in order. Every pick meets every profile by design; the
-    picks are as many as asked for."""
-    picked = round_robin(companies, per_profile).select(F.col("id").alias("company_id"), "turn", "first_seen", F.lit(1).alias("all"))
-    queued = profiles.select("profile_id", F.lit(1).alias("all")).join(picked, "all").drop("all")
-    return queued.select("profile_id", "company_id", "turn", "first_seen").orderBy("profile_id", "turn", "first_seen")
+    picks, as many as asked for, are one value that each profile's row unfolds."""
+    picked = round_robin(companies, per_profile).select(F.col("id").alias("company_id"), "turn", "first_seen")
+    picks = picked.agg(F.collect_list(F.struct("company_id", "turn", "first_seen"))).scalar()  # per_profile at most
+    queued = profiles.select("profile_id", F.inline(picks))
+    return queued.orderBy("profile_id", "turn", "first_seen")
 
 
 def rescan_worklist(latest: DataFrame) -> DataFrame:

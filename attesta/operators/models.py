@@ -1,23 +1,27 @@
 """Model calls as pluggable batch functions, with deterministic defaults.
 
-A model is a function from a pandas Series of request texts to a Series of JSON answers. It runs
-inside ``mapInPandas`` on the partitions of the request table, so the number of calls in flight is
-the number of partitions. Without a model the defaults below answer by rule, in the JVM.
+A model is a function from a pandas Series of request texts to a Series of JSON answers, asked one
+request at a time inside ``mapInPandas``, a bounded number of them under way in each task. Without a
+model the defaults below answer by rule, in the JVM.
 """
 
 from __future__ import annotations
 
+import re
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.operators.answers import parse_answers
+from attesta.operators.answers import TRANSIENT, TRANSIENT_TYPE, parse_answers
 from attesta.operators.criteria import clean_criteria
 from attesta.operators.notes import feedback, note_problem
-from attesta.session import stage
+from attesta.session import new_folder, stage
 
 Model = Callable[[pd.Series], pd.Series]
 
@@ -48,21 +52,69 @@ DESCRIPTION_WORDS = (
 )
 
 
-def call_model(requests: DataFrame, model: Model, request: str = "request", calls: int | None = None) -> DataFrame:
-    """Requests with ``answer`` and ``error``. One failed batch marks its rows and fails nothing else."""
+#: Requests to a model under way at a time in a task, attempts at one, and seconds before the second attempt.
+IN_FLIGHT, TRIES, WAIT_S = 2, 3, 0.5
+
+
+def _passes(error: Exception) -> bool:
+    """Whether another attempt may help: rate limits, time limits and refused connections."""
+    said = f"{type(error).__name__}: {error}"
+    return bool(re.search(TRANSIENT, said.upper()) or re.search(TRANSIENT_TYPE, said))
+
+
+def call_model(
+    requests: DataFrame, model: Model, request: str = "request", calls: int | None = None,
+    in_flight: int = IN_FLIGHT, tries: int = TRIES, wait_s: float = WAIT_S,
+) -> DataFrame:
+    """Requests with ``answer`` and ``error``, each with an outcome of its own.
+
+    A task keeps ``in_flight`` requests under way, in a queue that is refilled as the first is answered;
+    with ``calls`` there are that many tasks, so calls * in_flight bounds the requests at a time. An error
+    that may pass is met with up to ``tries`` attempts, with twice the wait before each. What then remains
+    is the error of that one request.
+    """
     rows = requests.repartition(calls) if calls else requests
     schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def ask(text: str) -> tuple[str | None, str | None]:
+        for attempt in range(tries):
             try:
-                yield batch.assign(answer=model(batch[request]), error=None)
+                found = model(pd.Series([text], dtype=object)).iloc[0]
+                return (None, None) if found is None or found != found else (str(found), None)
             except Exception as e:  # noqa: BLE001 - the error is data: it decides the scan's status
-                yield batch.assign(answer=None, error=f"{type(e).__name__}: {e}"[:500])
+                error = e
+                if not _passes(e):
+                    break
+                if attempt + 1 < tries:
+                    time.sleep(wait_s * 2**attempt)
+        return None, f"{type(error).__name__}: {error}"[:500]
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                waiting, outcomes = deque(), []
+                for text in batch[request]:
+                    waiting.append(pool.submit(ask, text))
+                    if len(waiting) >= in_flight:
+                        outcomes.append(waiting.popleft().result())
+                outcomes += [w.result() for w in waiting]
+                answers, errors = zip(*outcomes) if outcomes else ((), ())
+                yield batch.assign(answer=pd.Series(answers, batch.index, dtype=object), error=pd.Series(errors, batch.index, dtype=object))
 
     return rows.mapInPandas(answer, schema)
 
 
+def call_new(requests: DataFrame, model: Model, known: DataFrame | None = None, calls: int | None = None) -> DataFrame:
+    """Requests with ``request_hash``, ``answer`` and ``error``; what ``known`` (request_hash, answer) has
+    answered word for word before is not asked again."""
+    hashed = requests.withColumn("request_hash", F.sha2("request", 256))
+    if known is None:
+        return call_model(hashed, model, calls=calls)
+    once = known.groupBy("request_hash").agg(F.min("answer").alias("answer"))
+    found = hashed.join(once, "request_hash").withColumn("error", F.lit(None).cast("string"))
+    return call_model(hashed.join(once, "request_hash", "left_anti"), model, calls=calls).unionByName(found)
+
+
 # ---------------------------------------------------------------- criteria from a description
 def _ruled_criteria(description: Column) -> Column:
     found = [
@@ -75,12 +127,18 @@ def _ruled_criteria(description: Column) -> Column:
     return clean_criteria(F.array_compact(F.array(*found)))
 
 
-def compile_criteria(profiles: DataFrame, model: Model | None = None) -> DataFrame:
-    """Profiles (…, description_text) with new ``criteria``; refused answers leave them null."""
+def compile_criteria(profiles: DataFrame, model: Model | None = None, folder: str | None = None, calls: int | None = None) -> DataFrame:
+    """Profiles (…, description_text) with new ``criteria``.
+
+    A model's answers are stored under ``folder`` (a new shared one by default), so that no profile is
+    asked about twice; criteria are null where the answer failed or was refused, and ``criteria_error``
+    says why.
+    """
     kept = profiles.drop("criteria")
     if model is None:
         return kept.withColumn("criteria", _ruled_criteria(F.col("description_text")))
-    answered = parse_answers(call_model(kept, model, "description_text"), "criteria")
+    called = stage(call_model(kept, model, "description_text", calls), f"{folder or new_folder(profiles.sparkSession, 'criteria')}/answers")
+    answered = parse_answers(called, "criteria").withColumn("criteria_error", F.coalesce("error", F.col("problem").cast("string")))
     return answered.withColumn("criteria", clean_criteria(F.col("parsed.criteria"))).drop("parsed", "problem", "answer", "error")
 
 
@@ -121,7 +179,7 @@ def _ruled_note(drafts: DataFrame) -> DataFrame:
     ).withColumn("fact_ids", F.array(first["id"], second["id"]))
 
 
-def write_notes(requests: DataFrame, folder: str, model: Model | None = None, attempts: int = 2) -> DataFrame:
+def write_notes(requests: DataFrame, folder: str, model: Model | None = None, attempts: int = 2, calls: int | None = None) -> DataFrame:
     """Notes for requests (scan_id, request, offered): scan_id, note, fact_ids, note_status, error.
 
     A draft that breaks a rule is asked for once more with the reason; after that it is given up as
@@ -137,7 +195,7 @@ def write_notes(requests: DataFrame, folder: str, model: Model | None = None, at
     asked = requests.withColumn("feedback", F.lit(""))
     for attempt in range(attempts):
         text = F.concat("request", F.when(F.col("feedback") != "", F.concat(F.lit("\n"), "feedback")).otherwise(F.lit("")))
-        parsed = parse_answers(call_model(asked.withColumn("request", text), model), "note")
+        parsed = parse_answers(call_model(asked.withColumn("request", text), model, calls=calls), "note")
         drafts = parsed.withColumns({"note": F.col("parsed.note"), "fact_ids": F.col("parsed.fact_ids"),
                                      "refused": F.col("problem")}).drop("problem", "parsed", "answer")
         checked = note_problem(drafts).withColumn("problem", F.when(F.col("refused").isNotNull(), "empty").otherwise(F.col("problem")))

@@ -8,6 +8,7 @@ of an executor, and hold what was finished when a later step fails.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +41,18 @@ class ScanTables:
     results: DataFrame
     notes: DataFrame
     reused: DataFrame
+    answers: DataFrame | None = None
 
 
-def landed_pages(raw_pages: DataFrame, as_of: Column, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
+def landed_pages(
+    raw_pages: DataFrame, as_of: Column, robots: DataFrame | None = None, agent: str = "*", sites: DataFrame | None = None
+) -> DataFrame:
     """The newest landing of every address that may be read: fetched in the 60 days up to
-    ``as_of``, its host not on the deny list and open to ``agent`` by its robots file."""
+    ``as_of``, its host not on the deny list and open to ``agent`` by its robots file. With ``sites``
+    (domain) only theirs, picked before any markup is compared or shuffled."""
+    if sites is not None:
+        named = raw_pages.withColumn("site", G.urls.normalize_domain(F.col("url")))
+        raw_pages = named.join(sites.select(F.col("domain").alias("site")), "site", "left_semi").drop("site")
     payload = [c for c in raw_pages.columns if c != "url"]
     recent = raw_pages.filter((F.col("fetched_at") <= as_of) & fresh(F.col("fetched_at"), as_of, PAGE_DAYS))
     newest = recent.groupBy("url").agg(F.max_by(F.struct(*payload), F.struct("fetched_at", "html")).alias("row")).select("url", "row.*")
@@ -86,6 +94,8 @@ def run_scans(
     batch: str = "0",
     resume: bool = False,
     fuzzy: bool = True,
+    calls: int | None = None,
+    known_answers: DataFrame | None = None,
 ) -> ScanTables:
     """Scan every (company, profile) of the work list that no stored scan answers.
 
@@ -94,7 +104,9 @@ def run_scans(
     fetched_at; stored_scans as in ``fresh_scan``; robots as in ``robots_gate``. Pages and records
     count by their age at ``as_of``. Facts, results, notes and scans are also stored under
     ``outputs`` as ``batch``, if given. ``resume`` goes on from the stages that an earlier run in
-    ``folder`` finished.
+    ``folder`` finished. ``calls`` is the number of tasks that ask a model at a time (see ``call_model``).
+    ``known_answers`` (request_hash, answer), the ``answers`` of earlier batches, are used again where a
+    page or a judgment would be asked about in the same words, so that unchanged pages cost no call.
 
     A passing trouble (see ``error_class``) in any of the three model calls ends the scan as
     ``error``; what was completed before it is kept.
@@ -110,7 +122,7 @@ def run_scans(
         wanted = worklist.join(misses.select(F.col("request_id").alias("scan_id")), "scan_id", "left_semi")
     sites = wanted.select("domain").distinct()
     # several steps of the plan read the texts: parse the markup once
-    texts = keep(page_texts(landed_pages(raw_pages, as_of, robots)).join(sites, "domain", "left_semi"), "texts")
+    texts = keep(page_texts(landed_pages(raw_pages, as_of, robots, sites=sites)), "texts")
     planned = keep(plan_landed_pages(texts).withColumn("outcome", F.lit("ok")), "pages")
 
     attempted = sites.join(planned, "domain", "left").withColumn("outcome", F.coalesce("outcome", F.lit("error")))
@@ -128,14 +140,17 @@ def run_scans(
         records.archive_source(F.col("domain")).alias("wayback_source"))
 
     # facts of a site, once for all its scans; a model is asked once per page
+    given: list[DataFrame] = []
     no_errors = sites.limit(0).select("domain", F.lit("").alias("error"))
     if extract is None:
         answers = pages.select("scan_id", "page_pos", "url", F.lit(None).cast("string").alias("answer"))
         site_errors = no_errors
     else:
         asked = R.extract_requests(pages.select("scan_id", "page_pos", "domain", "url", "text"))
-        called = keep(M.call_model(asked, extract).select("scan_id", "page_pos", "url", "answer", "error"), "extract_answers")
-        answers, site_errors = called.drop("error"), transient_errors(called).withColumnRenamed("scan_id", "domain")
+        called = keep(M.call_new(asked, extract, known_answers, calls).select(
+            "scan_id", "page_pos", "url", "request_hash", "answer", "error"), "extract_answers")
+        given.append(called)
+        answers, site_errors = called.drop("error", "request_hash"), transient_errors(called).withColumnRenamed("scan_id", "domain")
     raw = T.raw_facts(signal_facts(pages.select("scan_id", "page_pos", "url", "text")), T.answered_facts(answers))
     known = keep(T.with_record_facts(T.page_facts(raw, pages, fuzzy=fuzzy), of_site), "site_facts")
 
@@ -155,7 +170,8 @@ def run_scans(
         addresses = pages.groupBy("domain").agg(F.array_join(F.transform(read, lambda p: p["url"]), ", ").alias("pages"))
         said = recorded.select("domain", records.records_text(F.col("rdap"), F.col("wayback")).alias("records"))
         about = to_judge.join(addresses, "domain", "left").join(said, "domain", "left")
-        answered = keep(M.call_model(R.judge_requests(about, criteria, offered), judge), "judge_answers")
+        answered = keep(M.call_new(R.judge_requests(about, criteria, offered), judge, known_answers, calls), "judge_answers")
+        given.append(answered)
         judgments = M.answered_judgments(answered)
         unjudged = transient_errors(answered)
         failed = failed.unionByName(unjudged)
@@ -170,7 +186,7 @@ def run_scans(
         profiles.select("profile_id", "profile_name"), "profile_id").withColumn("feedback", F.lit(""))
     met = results.filter("verdict = 'met'").select("scan_id", "criterion_key", "pos")
     requests = R.note_requests(asking, met, to_cite).join(N.offered_per_scan(to_cite), "scan_id")
-    written = keep(M.write_notes(requests, f"{folder}/note_rounds", write_note), "written")
+    written = keep(M.write_notes(requests, f"{folder}/note_rounds", write_note, calls=calls), "written")
     unwritten = transient_errors(written)
     failed = keep(failed.unionByName(unwritten), "errors")
     notes = gate.join(written, "scan_id", "left").join(unwritten.select("scan_id", F.lit(True).alias("lost")), "scan_id", "left").select(
@@ -188,7 +204,8 @@ def run_scans(
         .join(failed, "scan_id", "left").join(prints, "profile_id")
         .withColumns({"status": status, "error": error, "finished_at": as_of})
     )
-    out = ScanTables(keep(ended, "scans"), facts, results, notes, reused)
+    told = [df.filter(F.col("error").isNull() & F.col("answer").isNotNull()).select("request_hash", "answer") for df in given]
+    out = ScanTables(keep(ended, "scans"), facts, results, notes, reused, reduce(DataFrame.unionByName, told) if told else None)
     if outputs is not None:
         write_scan_outputs(outputs, batch, {"scans": out.scans, "facts": facts, "results": results, "notes": notes})
     return out

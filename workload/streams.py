@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions.text import content_hash
-from attesta.operators.cache import fresh_records
+from attesta.operators.cache import DAY_US, fresh_records
 from attesta.operators.cache import new_texts as find_new_texts
 from attesta.session import new_folder
 from attesta.streaming import runs as S
@@ -30,9 +30,10 @@ def _any_order(key):
     return F.pmod(F.xxhash64(key), F.lit(BATCHES))
 
 
-def _time_order(rows, moment):
-    """Four equal spans of time."""
-    us = F.unix_micros(moment.cast("timestamp"))
+def _out_of_order(rows, moment, key, delay_us):
+    """Four equal spans of the time of arrival, which is up to ``delay_us`` after a row's moment, so that
+    rows of one span come in any order and many come after later ones."""
+    us = F.unix_micros(moment.cast("timestamp")) + F.pmod(F.xxhash64(key), F.lit(delay_us))
     low, high = rows.agg(F.min(us), F.max(us)).first()
     return F.floor((us - low) * BATCHES / (high - low + 1))
 
@@ -55,18 +56,21 @@ def stream_pages(spark, sf_dir):
     folder = new_folder(spark, "pages")
     _arrive(_orders(spark, sf_dir), _any_order("o_orderkey"),
             lambda s: S.keep_newest(caches.crawl_log(s), ["url"], ["fetched_at", "fetch_id"], f"{folder}/rows", f"{folder}/state"))
-    return S.current(spark, f"{folder}/rows", ["url"]).select(
+    return S.current(spark, f"{folder}/rows", ["url"], ["fetched_at", "fetch_id"]).select(
         "url", "fetch_id", "text", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"))
 
 
 def stream_records(spark, sf_dir):
-    """Record lookups kept by (domain, kind); freshness is judged when the table is read."""
+    """Record lookups kept by (domain, kind) for their life of 30 days; freshness is judged when the
+    table is read."""
     folder = new_folder(spark, "records")
     kind = F.when(F.col("state") == "P", "rdap").otherwise("wayback")
     log = lambda s: caches.crawl_log(s).withColumns({"ok": F.col("state") == "F", "kind": kind})
-    _arrive(_orders(spark, sf_dir), _any_order("o_orderkey"),
-            lambda s: S.keep_newest(log(s), ["url", "kind"], ["fetched_at", "fetch_id"], f"{folder}/rows", f"{folder}/state"))
-    return fresh_records(S.current(spark, f"{folder}/rows", ["url", "kind"]), caches.as_of()).select("url", "kind", "fetch_id", "ok")
+    rows = _orders(spark, sf_dir)
+    _arrive(rows, _out_of_order(rows, F.col("o_orderdate"), "o_orderkey", 30 * DAY_US),
+            lambda s: S.keep_newest(log(s), ["url", "kind"], ["fetched_at", "fetch_id"], f"{folder}/rows", f"{folder}/state", life_days=30))
+    kept = S.current(spark, f"{folder}/rows", ["url", "kind"], ["fetched_at", "fetch_id"])
+    return fresh_records(kept, caches.as_of()).select("url", "kind", "fetch_id", "ok")
 
 
 def _fetches(orders):
@@ -82,7 +86,8 @@ def new_texts(spark, sf_dir):
 def stream_new_texts(spark, sf_dir):
     folder = new_folder(spark, "texts")
     rows = _orders(spark, sf_dir)
-    _arrive(rows, _time_order(rows, F.col("o_orderdate")), lambda s: S.new_page_texts(_fetches(s), folder, f"{folder}/state"))
+    part = _out_of_order(rows, F.col("o_orderdate"), "o_orderkey", 30 * DAY_US)
+    _arrive(rows, part, lambda s: S.new_page_texts(_fetches(s), folder, f"{folder}/state", delay_us=30 * DAY_US))
     return S.found(spark, folder).select("url", "content_hash", "id")
 
 
@@ -99,14 +104,16 @@ def stream_import(spark, sf_dir):
 def stream_politeness(spark, sf_dir):
     folder = new_folder(spark, "politeness")
     rows = P.table(spark, sf_dir, "events")
-    _arrive(rows, _time_order(rows, F.col("ts")), lambda s: S.politeness(caches.visits(s), folder, f"{folder}/state"))
+    part = _out_of_order(rows, F.col("ts"), "event_id", DAY_US)
+    _arrive(rows, part, lambda s: S.politeness(caches.visits(s), folder, f"{folder}/state", delay_us=DAY_US))
     return S.found(spark, folder).select("host", "id", "gap_us")
 
 
 def stream_breaker(spark, sf_dir):
     folder = new_folder(spark, "breaker")
     rows = P.table(spark, sf_dir, "events")
-    _arrive(rows, _time_order(rows, F.col("ts")), lambda s: S.breaker(caches.responses(s), ["upstream"], folder, f"{folder}/state"))
+    part = _out_of_order(rows, F.col("ts"), "event_id", DAY_US)
+    _arrive(rows, part, lambda s: S.breaker(caches.responses(s), ["upstream"], folder, f"{folder}/state", delay_us=DAY_US))
     return S.found(spark, folder).select("id", "failed", "available", "tripped_us")
 
 
