@@ -7,6 +7,8 @@ functions over the text: no shuffle, no Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,95 @@ SENTENCES: dict[int, str] = {
     52: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     53: "This is free and unencumbered software released into the public domain",
     54: "All rights reserved",
+    60: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    61: "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    62: "See the GNU Lesser General Public License for more details",
+    63: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    64: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    65: "Distributed under the Boost Software License, Version 1.0",
+    66: "This software is provided 'as-is', without any express or implied warranty",
+    67: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
 }
 
+def normalised(sentence: str) -> str:
+    """Words and numbers of a sentence in lower case, single blanks between."""
+    kept = "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower())
+    return " ".join(kept.split())
+
+
+#: Every known sentence holds one of these, so a text without any needs no look at its sentences.
+#: Each is within one word: blanks, marks and line breaks between words differ from text to text.
+MARKERS = ("licen", "permission", "redistribution", "mozilla", "unencumbered", "reserved", "merchantability", "warranty")
+
+#: Licences by their names: SPDX identifier, what it allows, and names in notices.
+LICENSES = (
+    ("MIT", "permissive", ("MIT License", "MIT")),
+    ("Apache-2.0", "permissive", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0")),
+    ("BSD-2-Clause", "permissive", ("BSD 2-Clause License", "Simplified BSD License")),
+    ("BSD-3-Clause", "permissive", ("BSD 3-Clause License", "New BSD License", "BSD-3-Clause License")),
+    ("ISC", "permissive", ("ISC License",)),
+    ("Zlib", "permissive", ("zlib License",)),
+    ("BSL-1.0", "permissive", ("Boost Software License, Version 1.0", "Boost Software License 1.0")),
+    ("Unlicense", "permissive", ("Unlicense",)),
+    ("CC0-1.0", "permissive", ("CC0 1.0 Universal",)),
+    ("CC-BY-4.0", "permissive", ("Creative Commons Attribution 4.0 International License",)),
+    ("CC-BY-SA-4.0", "copyleft", ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0")),
+    ("CC-BY-NC-4.0", "noncommercial", ("Creative Commons Attribution-NonCommercial 4.0 International License",)),
+    ("GPL-2.0-only", "copyleft", ("GNU General Public License v2.0", "GNU GPL version 2", "GPLv2")),
+    ("GPL-2.0-or-later", "copyleft", ("GPLv2 or later", "GNU GPL version 2 or later")),
+    ("GPL-3.0-only", "copyleft", ("GNU General Public License v3.0", "GNU GPL version 3", "GPLv3")),
+    ("GPL-3.0-or-later", "copyleft", ("GPLv3 or later", "GNU GPL version 3 or later")),
+    ("LGPL-2.1-only", "copyleft", ("GNU Lesser General Public License v2.1", "LGPLv2.1")),
+    ("LGPL-2.1-or-later", "copyleft", ("LGPLv2.1 or later",)),
+    ("LGPL-3.0-only", "copyleft", ("GNU Lesser General Public License v3.0", "LGPLv3")),
+    ("LGPL-3.0-or-later", "copyleft", ("LGPLv3 or later",)),
+    ("AGPL-3.0-only", "copyleft", ("GNU Affero General Public License v3.0", "AGPLv3")),
+    ("AGPL-3.0-or-later", "copyleft", ("AGPLv3 or later",)),
+    ("MPL-2.0", "copyleft", ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0")),
+    ("EPL-2.0", "copyleft", ("Eclipse Public License 2.0", "Eclipse Public License v2.0")),
+)
+#: Sentences that state a licence by its name; the last one takes the identifier.
+STATEMENTS = (
+    "Licensed under {the}{name}",
+    "Released under {the}{name}",
+    "Distributed under {the}{name}",
+    "This project is licensed under {the}{name}",
+    "This project is licensed under the terms of {the}{name}",
+    "This software is licensed under {the}{name}",
+    "SPDX-License-Identifier: {name}",
+)
+#: The reservation of rights, and what it gives unless another known sentence follows it: notices such as
+#: the BSD licences begin with one.
+RESERVATION, RESERVED = 54, "LicenseRef-all-rights-reserved"
+
+
+def _stated() -> tuple[dict[int, str], dict[int, tuple[str, str]]]:
+    """Sentences of ``STATEMENTS`` that are not in ``SENTENCES``, numbered from 100 on, and their licences."""
+    known = {normalised(s) for s in SENTENCES.values()}
+    sentences, licenses = {}, {}
+    for name, kind, names in LICENSES:
+        said = [t.format(the=the, name=n) for t in STATEMENTS[:-1] for n in names for the in ("the ", "")] + [STATEMENTS[-1].format(name=name)]
+        for sentence in said:
+            if normalised(sentence) not in known and any(m in sentence.lower() for m in MARKERS):
+                known.add(normalised(sentence))
+                sentences[100 + len(sentences)] = sentence
+                licenses[99 + len(sentences)] = name, kind
+    return sentences, licenses
+
+
+_MORE, _STATED = _stated()
+SENTENCES = SENTENCES | _MORE
+
 #: Ordered rules: the sentences that must follow one another, the licence, and what it allows. A
 #: sentence used by one rule is not there for later ones, so longer rules stand first.
 RULES: tuple[tuple[tuple[int, ...], str, str], ...] = (
+    ((60, 61, 62), "LGPL-2.1-or-later", "copyleft"),
+    ((60,), "LGPL-2.1-or-later", "copyleft"),
+    ((63,), "LGPL-3.0-or-later", "copyleft"),
+    ((64,), "EPL-2.0", "copyleft"),
+    ((65,), "BSL-1.0", "permissive"),
+    ((66, 67), "Zlib", "permissive"),
+    ((67,), "Zlib", "permissive"),
     ((2, 3, 4, 5), "Apache-2.0", "permissive"),
     ((2, 3), "Apache-2.0", "permissive"),
     ((13, 14, 15), "MIT", "permissive"),
@@ -99,24 +185,15 @@ RULES: tuple[tuple[tuple[int, ...], str, str], ...] = (
     ((46,), "CC0-1.0", "permissive"),
     ((52,), "ISC", "permissive"),
     ((53,), "Unlicense", "permissive"),
-    ((54,), "LicenseRef-all-rights-reserved", "proprietary"),
+    *(((i,), name, kind) for i, (name, kind) in _STATED.items()),
+    ((54,), RESERVED, "proprietary"),
 )
 
-#: Every known sentence holds one of these, so a text without any needs no look at its sentences.
-#: Each is within one word: blanks, marks and line breaks between words differ from text to text.
-MARKERS = ("licen", "permission", "redistribution", "mozilla", "unencumbered", "reserved", "merchantability")
-
 #: Runs that end a sentence, also before a closing mark; a line's end does so too (see below).
 ENDS = r"[.!?:;][\x22\x27)]*[\x20\x09-\x0D]+"
 COMMENT = r"\n[\x20\x09]*(//+|#+|[*]+|--+)"
 
 
-def normalised(sentence: str) -> str:
-    """Words and numbers of a sentence in lower case, single blanks between."""
-    kept = "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower())
-    return " ".join(kept.split())
-
-
 def _sentence_parts() -> list[tuple[str, int, int]]:
     """Normalised pieces of the known sentences as cutting makes them: text, identifier, size."""
     return sorted((normalised(s), i, len(normalised(s).split())) for i, s in SENTENCES.items())
@@ -145,16 +222,18 @@ def _ids(text: Column, wrapped: bool) -> Column:
     return F.transform(F.array(pieces), found)[0]
 
 
-#: A known sentence is cut into at most so many pieces at its inner marks.
-MOST_PIECES = 4
+#: Most pieces that a known sentence is cut into at its inner marks.
+MOST_PIECES = max(len(re.split(ENDS, s)) for s in SENTENCES.values())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_ids and paragraph_ids (identifier sequences), licenses, category of every row.
 
-    ``licenses`` (array, order of the rules) joins what both sequences give. ``category`` is the
-    most restrictive: proprietary, noncommercial, copyleft, permissive, or none without a licence.
-    Null and empty texts have empty sequences.
+    ``licenses`` (array, order of the rules) joins what both sequences give; a reservation of
+    rights that another known sentence follows gives nothing of its own. ``category`` is the most restrictive: proprietary,
+    noncommercial, copyleft, permissive, or none without a licence. Null and empty texts have empty
+    sequences. Repeated rows are scanned each; other columns are ignored; an empty table gives an empty
+    result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -165,7 +244,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     none = F.array().cast("array<int>")
     rows = rows.withColumn("marked", marked)
     rows = rows.withColumns({n: F.when(F.col("marked"), _ids(F.col("text"), w)).otherwise(none) for n, w in (("line_ids", False), ("paragraph_ids", True))})
-    both = F.concat(_matched(F.col("line_ids")), _matched(F.col("paragraph_ids")))
+    whole = F.array_contains("paragraph_ids", RESERVATION)  # then paragraphs tell what follows it
+    of_lines = _matched(F.when(whole, F.array_remove("line_ids", RESERVATION)).otherwise(F.col("line_ids")))
+    both = F.concat(of_lines, _matched(F.col("paragraph_ids")))
     names = list(dict.fromkeys(name for _, name, _ in RULES))
     return (
         rows.select("doc_id", "line_ids", "paragraph_ids", F.when((F.size("line_ids") > 0) | (F.size("paragraph_ids") > 0), both).otherwise(F.array().cast("array<string>")).alias("found"))
@@ -181,6 +262,7 @@ def _pattern(ids: tuple[int, ...]) -> str:
 def _matched(ids: Column) -> Column:
     """Licences of an identifier sequence: each rule in order takes the sentences it matches."""
     sequence = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
+    sequence = F.replace(sequence, F.lit(f"<{RESERVATION}><"), F.lit("<"))
     rules = F.array(*[F.struct(F.lit(_pattern(i)).alias("pattern"), F.lit(n).alias("name")) for i, n, _ in RULES])
     start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
 
@@ -218,7 +300,11 @@ def scan_sql(table: str = "documents") -> str:
         )
     steps, last = [], "m0"
     both = "SELECT r, list_transform({0}, lambda i: '<' || i || '>') AS ids FROM {1} WHERE {0} IS NOT NULL"
-    steps.append(f"m0 AS (SELECT r, array_to_string(ids, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM ({both.format('line_ids', 'l')} UNION ALL {both.format('paragraph_ids', 'p')}))")
+    own = f"CASE WHEN list_contains(coalesce(paragraph_ids, []), {RESERVATION}) THEN list_filter(line_ids, lambda i: i <> {RESERVATION}) ELSE line_ids END"
+    steps.append(
+        f"m0 AS (SELECT r, replace(array_to_string(ids, ''), '<{RESERVATION}><', '<') AS rest, CAST([] AS VARCHAR[]) AS found "
+        f"FROM ({both.format('line_ids', f'(SELECT r, {own} AS line_ids FROM l LEFT JOIN p USING (r))')} UNION ALL {both.format('paragraph_ids', 'p')}))"
+    )
     for k, (ids, name, _) in enumerate(RULES, 1):
         steps.append(f"m{k} AS (SELECT r, replace(rest, '{_pattern(ids)}', '|') AS rest, CASE WHEN contains(rest, '{_pattern(ids)}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
         last = f"m{k}"
@@ -237,5 +323,6 @@ WITH t AS MATERIALIZED (
          list_filter([{names}], lambda n: list_contains(coalesce(found, []), n)) AS licenses
   FROM t LEFT JOIN l USING (r) LEFT JOIN p USING (r) LEFT JOIN g USING (r)
 )
-SELECT doc_id, line_ids, paragraph_ids, array_to_string(licenses, ',') AS licenses, CASE{cases} ELSE 'none' END AS category FROM o
+SELECT doc_id, line_ids, paragraph_ids, array_to_string(licenses, ',') AS licenses, CASE{cases} ELSE 'none' END AS category
+FROM o
 """

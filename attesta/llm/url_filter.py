@@ -23,8 +23,6 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Levels of the tree; what a path has beyond them counts as one segment.
-LEVELS = 4
 #: A segment stays itself if so many URLs have it and this share of its parent's.
 FEWEST_URLS, FEWEST_SHARE = 5, 0.01
 #: Standard deviations by which merged siblings' shares of good labels may differ from their parent's.
@@ -52,21 +50,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """Segments with their digits as one mark each run; the last level has all that is left."""
+    """Segments with their digits as one mark each run."""
     shapes = F.regexp_replace(path, "[0-9]+", "0")
-    return F.split(F.regexp_replace(shapes, "^/", ""), "/", LEVELS)
+    return F.split(F.regexp_replace(shapes, "^/", ""), "/")
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """The template of each distinct (host, shape) of ``paths`` with urls, labels and good counts.
 
-    Each step's rows are a table in the shared folder, so that plans do not grow with the levels.
+    The tree has as many levels as the longest path. Each step's rows are a table in the shared folder, so
+    that plans do not grow with the levels.
     """
     folder = new_folder(paths.sparkSession, "templates")
     rows = paths.withColumns({"segments": _segments(F.col("shape")), "template": F.lit("")})
     sums = [F.sum(c).alias(c) for c in ("urls", "labels", "good")]
     parent = ["host", "template"]
-    for level in range(LEVELS):
+    deepest = paths.select(F.max(F.size(_segments(F.col("shape"))))).first()[0] or 0
+    for level in range(deepest):
         rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
         for similar in (False, True):
             nodes = rows.where(F.col("segment").isNotNull()).groupBy(*parent, "segment").agg(*sums)
@@ -94,7 +94,8 @@ def judge(
     ``labels`` has page_id and good (0 or 1); of several labels of a page the smallest counts, null
     ones none. Templates and purities come from the URLs without a rule. Without any label every
     template is allowed. Null URLs and ones without ``://`` have empty host and path and share a
-    template. Repeated rows each have theirs; other columns are ignored.
+    template. Paths may be of any depth. Repeated rows each have theirs; other columns are ignored; an
+    empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -130,8 +131,9 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id")).join(known, "doc_id").select("page_id", "good")
 
 
-def judge_sql(prior: int = PRIOR) -> str:
-    """DuckDB SQL for ``judge`` over pages and ``page_labels``."""
+def judge_sql(prior: int = PRIOR, levels: int = 4) -> str:
+    """DuckDB SQL for ``judge`` over pages and ``page_labels``, with a step for each of ``levels`` levels:
+    as many as the longest path has."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     cases = ""
     for rule, _ in sorted(RULES, key=lambda r: (-len(r[0]), r[0])):
@@ -139,7 +141,7 @@ def judge_sql(prior: int = PRIOR) -> str:
         cases += f" WHEN (host = '{own_host}' OR ends_with(host, '.{own_host}')) AND starts_with(path, '/{own_path}') THEN '{rule}'"
     verdicts = "".join(f" WHEN '{r}' THEN '{v}'" for r, v in RULES)
     steps, last = [], "t0"
-    for level in range(LEVELS):
+    for level in range(levels):
         for k, similar in enumerate((False, True)):
             seg = f"CASE WHEN len(segments) >= {level + 1} THEN {'seg' if similar else f'segments[{level + 1}]'} END"
             now = f"s{level}{k}"
@@ -159,7 +161,6 @@ def judge_sql(prior: int = PRIOR) -> str:
             last = now
         steps.append(f"t{level + 1} AS (SELECT * EXCLUDE (seg, template), CASE WHEN seg IS NOT NULL THEN template || '/' || seg ELSE template END AS template FROM {last})")
         last = f"t{level + 1}"
-    # a split that leaves everything after the last level in one segment
     parts = "string_split(regexp_replace(shape, '^/', ''), '/')"
     return rf"""
 WITH u AS (
@@ -172,9 +173,8 @@ WITH u AS (
   FROM (SELECT page_id, try_cast(regexp_extract(path, '([0-9]{{1,18}})[^0-9/]*/?$', 1) AS BIGINT) AS doc_id FROM u) JOIN labels USING (doc_id)
   WHERE quality IN (0, 1) GROUP BY page_id
 ), t0 AS (
-  SELECT *, CASE WHEN len(p) > {LEVELS} THEN list_append(p[:{LEVELS - 1}], array_to_string(p[{LEVELS}:], '/')) ELSE p END AS segments, '' AS template
-  FROM (SELECT host, shape, count(*) AS urls, count(good) AS labels, coalesce(sum(good), 0) AS good, {parts} AS p
-        FROM x LEFT JOIN g USING (page_id) WHERE rule IS NULL GROUP BY host, shape)
+  SELECT host, shape, count(*) AS urls, count(good) AS labels, coalesce(sum(good), 0) AS good, {parts} AS segments, '' AS template
+  FROM x LEFT JOIN g USING (page_id) WHERE rule IS NULL GROUP BY host, shape
 ), {", ".join(steps)}, o AS (
   SELECT coalesce(CAST(sum(good) AS DOUBLE) / nullif(sum(labels), 0), 1.0) AS overall FROM t0
 ), pure AS (
