@@ -1,5 +1,6 @@
 """Operators on hand-made tables."""
 
+import csv
 import random
 
 from pyspark.sql import functions as F
@@ -116,6 +117,28 @@ def test_lead_csv(spark, tmp_path):
         assert "website" in str(e)
 
 
+def test_lead_csv_of_many_splits(spark, tmp_path):
+    rng = random.Random(8)
+    fields = ['plain', '"a, b"', '"two\nlines"', '"said ""so"""', '"\n\n"', 'in"side', '""', '"x"" \n""y"', "", "é" * 40, '"' + "long\n" * 60 + '"']
+    for name in ("one", "two"):
+        rows = [f"{rng.choice(fields)},d{i}.com,{rng.choice(fields)}" for i in range(300)]
+        header = 'Company,"Domain",City,"Notes\nof ours"' if name == "two" else "Company,Domain,City"
+        (tmp_path / f"{name}.csv").write_text("\n".join([header, *rows, ""]), encoding="utf-8", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        raw = spark.read.text(str(tmp_path))
+        assert raw.rdd.getNumPartitions() > 40
+        got = leads.read_lead_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("one", "two"):
+        with open(tmp_path / f"{name}.csv", encoding="utf-8", newline="") as f:
+            want = [(r[0] or None, r[1], r[2] or None) for r in list(csv.reader(f))[1:]]
+        mine = sorted((r for r in got if r.row_pos.file.endswith(f"{name}.csv")), key=lambda r: (r.row_pos.block, r.row_pos.row))
+        assert [(r.name, r.domain, r.city) for r in mine] == want
+
+
 def test_seed_header_maps_to_every_field():
     assert set(leads.column_positions(leads.SEED_HEADER)) == set(leads.LEAD_FIELDS)
     assert leads.column_positions(["Website", "web-site", None, "URL"]) == {"domain": 1}
