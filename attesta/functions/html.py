@@ -34,6 +34,10 @@ _BLOCKS = (
     "|blockquote|pre|figure|figcaption|address|option|select|button|label|input|textarea|summary"
     "|details|caption|legend|fieldset|body|html"
 )
+# Our own choice of what tells blocks apart: words outside links that make prose, that keep a block
+# of much link text, and that a closed sentence has; the longest menu entry and the shortest menu.
+PROSE_WORDS, FEW_OWN_WORDS, SENTENCE_WORDS, ENTRY_WORDS, MENU_RUN = 8, 5, 4, 3, 4
+SENTENCE_END = r"""[.!?:…]["')\]”’]*$"""
 _EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -128,15 +132,60 @@ def _main_markup(html: Column) -> Column:
     return F.regexp_replace(body, "<[^>]+>", "")  # what is left stands inside words
 
 
+def _clean(block: Column) -> Column:
+    return F.trim(F.regexp_replace(block, r"[\s\p{Z}]+", " "))
+
+
+def _words(text: Column) -> Column:
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
+
+
+def _kind(block: Column) -> Column:
+    """One letter for a block (its ``whole`` text, and its ``own`` outside links): links (L), prose (P),
+    an entry as menus have them (M with a link, E without), or other short text (S)."""
+    whole, own = block["whole"], block["own"]
+    linked = F.length(own) < F.length(whole)
+    mostly_links = (own == "") | ((2 * F.length(own) < F.length(whole)) & (_words(own) < FEW_OWN_WORDS))
+    ends = whole.rlike(SENTENCE_END)
+    prose = (_words(own) >= PROSE_WORDS) | (ends & (_words(whole) >= SENTENCE_WORDS))
+    entry = (_words(whole) <= ENTRY_WORDS) & ~ends & ~whole.rlike("[0-9]")
+    return F.when(mostly_links, "L").when(prose, "P").when(entry & linked, "M").when(entry, "E").otherwise("S")
+
+
+def _without_menus(kinds: Column) -> Column:
+    """The letters of a page's blocks, those of menus replaced by x.
+
+    A menu is a run of MENU_RUN entries or more that holds a link, or that no prose comes before or
+    after. A list without links between prose is content. A page without prose keeps its entries.
+    """
+    def marked(runs: Column) -> Column:
+        prose = F.transform(runs, lambda r: r.contains("P"))
+        bounds = F.struct(
+            F.array_position(prose, True).alias("first"), (F.size(runs) + 1 - F.array_position(F.reverse(prose), True)).alias("last"))
+        return let(bounds, lambda p: F.array_join(F.transform(runs, lambda r, i: F.when(
+            (p["first"] > 0) & r.rlike(f"^[EML]{{{MENU_RUN},}}$") & (r.rlike("[ML]") | (i + 1 < p["first"]) | (i + 1 > p["last"])),
+            F.repeat(F.lit("x"), F.length(r))).otherwise(r)), ""))
+
+    return let(F.regexp_extract_all(kinds, F.lit("([EML]+|[PS]+)"), F.lit(1)), marked)
+
+
 def _main_text(lines: Column) -> Column:
-    """The lines joined. Lines that hold nothing but links are dropped, repeated ones kept once."""
-    own = F.filter(
-        F.split(lines, "\n"),
-        lambda b: F.regexp_replace(F.regexp_replace(b, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", ""), rf"[\s\p{{Z}}{_OPEN}{_CLOSE}]+", "") != "",
-    )
-    clean = F.transform(
-        own, lambda b: F.trim(F.regexp_replace(F.translate(b, _OPEN + _CLOSE, ""), r"[\s\p{Z}]+", " ")))
-    return F.array_join(F.array_distinct(clean), "\n")
+    """The blocks that hold content, joined; repeated ones are kept once.
+
+    Blocks are told apart by how much of their text stands in links, by their length and by what is
+    around them, so menus also go where no tag names them.
+    """
+    blocks = F.transform(F.split(lines, "\n"), lambda b: F.struct(
+        _clean(F.translate(b, _OPEN + _CLOSE, "")).alias("whole"),
+        _clean(F.regexp_replace(b, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}?", " ")).alias("own")))
+
+    def chosen(filled: Column) -> Column:
+        kinds = F.array_join(F.transform(filled, _kind), "")
+        return let(F.split(_without_menus(kinds), ""), lambda kept: F.filter(
+            filled, lambda b, i: ~F.get(kept, i).isin("x", "L")))
+
+    content = let(F.filter(blocks, lambda b: b["whole"] != ""), chosen)
+    return F.array_join(F.array_distinct(F.transform(content, lambda b: b["whole"])), "\n")
 
 
 def _footer_lines(lines: Column) -> Column:

@@ -124,3 +124,52 @@ def test_note_texts_and_file_names(spark):
     assert export_name("Sales Fit") == "icp-scan-sales-fit.csv"
     answers = spark.createDataFrame([(200, "text/xml", ""), (200, "text/html", "<x><urlset>"), (404, "text/xml", ""), (200, "text/html", "no")], "s int, t string, b string")
     assert [r[0] for r in answers.select(is_sitemap(F.col("s"), F.col("t"), F.col("b"))).collect()] == [True, True, False, False]
+
+
+def page_body(spark, markup):
+    return spark.createDataFrame([(markup,)], "html string").select(html.page_text(F.col("html"))).head()[0].split("\n")
+
+
+def test_menus_without_tags_of_their_own(spark):
+    entries = ["Home", "Our products", "Team", "Contact us"]
+    div = lambda texts: "".join(f"<div>{t}</div>" for t in texts)
+    prose = ["We repair roofs of slate and tin in all of Oklahoma.", "Founded in 1987", "Our work covers:"]
+    services = ["Slate roofs", "Tin roofs", "Gutters", "Chimneys", "Skylights"]
+    close = ["Call us before the next storm comes over the hills."]
+    page = div(entries) + div(prose + services + close) + div(["Imprint", "Privacy", "Terms", "Jobs"])
+    assert page_body(spark, page) == prose + services + close
+    linked = div(prose + ['<a href="/a">More</a>', "Older posts", "Newer posts", "Archive"] + close)  # a menu by its link
+    assert page_body(spark, linked) == prose + close
+    assert page_body(spark, div(entries[:3] + prose)) == entries[:3] + prose  # too short for a menu
+    assert page_body(spark, div(entries + services)) == entries + services  # no prose: nothing to tell them from
+    much = '<p>See <a href="/r">the long report on roofs of this county</a></p><p>As our <a href="/r">long report on roofs of the county</a> says, slate holds longest of all.</p>'
+    assert page_body(spark, much) == ["As our long report on roofs of the county says, slate holds longest of all."]
+    assert page_body(spark, "") == [""] and page_body(spark, "<div></div><p> </p>") == [""]
+
+
+def test_menu_runs_equal_brute_force(spark):
+    rng = random.Random(4)
+    pages = ["", "E", "EEEE", "P", *("".join(rng.choice("EEEMLPS" if k % 2 else "EEEEEP") for _ in range(rng.randrange(30))) for k in range(300))]
+
+    def brute(kinds):
+        out = list(kinds)
+        if "P" not in kinds:
+            return kinds
+        at = 0
+        while at < len(kinds):
+            end = at + 1
+            while end < len(kinds) and (kinds[end] in "EML") == (kinds[at] in "EML"):
+                end += 1
+            edge = "P" not in kinds[:at] or "P" not in kinds[end:]
+            if kinds[at] in "EML" and end - at >= 4 and (edge or set(kinds[at:end]) & set("ML")):
+                out[at:end] = "x" * (end - at)
+            at = end
+        return "".join(out)
+
+    rows = spark.createDataFrame([(p,) for p in pages], "k string").select("k", html._without_menus(F.col("k")).alias("got")).collect()
+    assert all(r.got == brute(r.k) for r in rows)
+
+
+def test_page_of_many_blocks(spark):
+    lines = "".join(f"<p>Line {i} of a page that has very many of them.</p><div>entry</div>" for i in range(40000))
+    assert len(page_body(spark, lines)) == 40001
