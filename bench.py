@@ -21,7 +21,7 @@ HEADLINE = (
     "politeness_audit", "page_upsert", "normalized_text", "sentences", "signal_facts", "grounding_join",
     "grounding_corpus", "grounding_sources", "grounding_fuzzy", "fact_rank", "verdict_check", "judge_prompt", "scan_detail",
     "eval_report", "eval_cases", "note_prompt", "scan_outputs", "scan_batch", "lead_csv", "evidence_urls", "lead_list",
-    "stream_latest", "stream_new_texts", "stream_import", "stream_breaker",
+    "grounding_near", "page_text_untagged", "stream_latest", "stream_new_texts", "stream_import", "stream_breaker",
 )
 
 
