@@ -2,12 +2,14 @@
 
 The measure is twice the longest common subsequence over the summed lengths, taken over every
 window of the long text that has the length of the short one, and over the shorter windows that
-touch either end of it.
+touch either end of it. Many pairs of a text and a window are compared at once: a bit per character of
+the text, in words of 64, and one step of whole-array operations per character of the windows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import cached_property
 
 import numpy as np
@@ -21,29 +23,15 @@ FUZZY_THRESHOLD = 90
 MAX_FUZZY_CHARS = 3000
 
 
-def _char_masks(text: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(text):
-        masks[ch] = masks.get(ch, 0) | 1 << i
-    return masks
-
-
+#: What fills texts and windows up to a common length: no characters, and unlike each other.
+_TEXT_PAD, _WINDOW_PAD = 0xFFFFFFFF, 0xFFFFFFFE
 _CHECK_EVERY = 32
+#: Characters of texts compared at once, windows tried at once of one text, and what a call prepares.
+_BLOCK_CHARS, _WAVE, _CALL_QUOTES, _CALL_CHARS = 1 << 19, 32, 4096, 1 << 22
 
 
-def _is_similar(masks: dict[str, int], size: int, window: str, needed: float) -> bool:
-    """Whether ``window`` (as long as the masked text) shares a subsequence of ``needed``
-    characters with it. Bit-parallel; gives up once too many characters are lost."""
-    full = state = (1 << size) - 1
-    for begin in range(0, size, _CHECK_EVERY):
-        part = window[begin : begin + _CHECK_EVERY]
-        for ch in part:
-            match = state & masks.get(ch, 0)
-            state = ((state + match) | (state - match)) & full
-        unseen = size - begin - len(part)
-        if size - state.bit_count() + unseen < needed:
-            return False
-    return True
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def _grams(points: np.ndarray, size: int) -> np.ndarray:
@@ -55,23 +43,83 @@ def _grams(points: np.ndarray, size: int) -> np.ndarray:
     return codes
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Columns of 64-bit words added as long numbers, the lowest word first; the last carry is lost."""
+    total = a + b
+    carry = (total < b)[:-1]
+    while carry.any():
+        total[1:] += carry
+        carry = np.concatenate((np.zeros_like(carry[:1]), carry[:-1] & (total[1:-1] == 0)))
+    return total
+
+
+def _filled(rows: list[np.ndarray], width: int, pad: int) -> np.ndarray:
+    table = np.full((len(rows), width), pad, dtype=np.uint32)
+    table[np.arange(width) < np.array([len(r) for r in rows])[:, None]] = np.concatenate(rows)
+    return table
+
+
+def _reach(texts: list[np.ndarray], windows: list[np.ndarray], firsts: np.ndarray, threshold: float) -> np.ndarray:
+    """For each pair whether some beginning of the window, of ``firsts`` characters or more, is similar
+    enough to the text. Pairs that can no longer be are dropped on the way."""
+    sizes, lasts = np.array([len(t) for t in texts]), np.array([len(w) for w in windows])
+    width = -(-int(sizes.max()) // 64)
+    left, right = _filled(texts, 64 * width, _TEXT_PAD), _filled(windows, int(lasts.max()), _WINDOW_PAD)
+    # a bit is cleared for each character of the longest common subsequence
+    state = np.full((width, len(texts)), ~np.uint64(0))
+    rows, found = np.arange(len(texts)), np.zeros(len(texts), dtype=bool)
+    soonest = firsts.min()
+    for n in range(1, right.shape[1] + 1):
+        match = np.packbits(left == right[:, n - 1, None], axis=1, bitorder="little").view(np.uint64).T & state
+        state = _sums(state, match) | (state ^ match)
+        if n < soonest and n % _CHECK_EVERY:
+            continue
+        shared = 64 * width - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+        similar = (n >= firsts) & (n <= lasts) & (200.0 * shared >= threshold * (sizes + n))
+        found[rows[similar]] = True
+        if n % _CHECK_EVERY == 0:
+            kept = ~similar & (n < lasts) & (200.0 * (shared + lasts - n) >= threshold * (sizes + lasts)) & ~found[rows]
+            rows, left, right, sizes, firsts, lasts = (x[kept] for x in (rows, left, right, sizes, firsts, lasts))
+            state = state[:, kept]
+            if not len(rows):
+                break
+            soonest = firsts.min()
+    return found
+
+
+class _Trials:
+    """Pairs of a text and a window to be compared, each for the question it may settle."""
+
+    def __init__(self) -> None:
+        self.owners: list[int] = []
+        self.texts: list[np.ndarray] = []
+        self.windows: list[np.ndarray] = []
+        self.firsts: list[int] = []
+
+    def add(self, owner: int, text: np.ndarray, window: np.ndarray, first: int) -> None:
+        if 0 < first <= len(window):
+            self.owners.append(owner)
+            self.texts.append(text)
+            self.windows.append(window)
+            self.firsts.append(first)
 
+    def add_edge(self, owner: int, text: np.ndarray, long: np.ndarray, threshold: float) -> None:
+        """Windows shorter than the text at the beginning of ``long``; one of n characters shares at most n."""
+        shortest = int(np.ceil(threshold * len(text) / (200.0 - threshold)))
+        self.add(owner, text, long[: len(text) - 1], max(shortest, 1))
 
-def _edge_reaches(short: str, long: str, threshold: float) -> bool:
-    """Windows shorter than ``short`` at the beginning of ``long``."""
-    size = len(short)
-    masks = _char_masks(short)
-    full = state = (1 << size) - 1
-    # a window of n characters shares at most n of them
-    shortest = threshold * size / (200.0 - threshold)
-    for n, ch in enumerate(long[: size - 1], start=1):
-        match = state & masks.get(ch, 0)
-        state = ((state + match) | (state - match)) & full
-        if n >= shortest and 200.0 * (size - state.bit_count()) >= threshold * (size + n):
-            return True
-    return False
+    def settle(self, found: np.ndarray, threshold: float) -> None:
+        """Compare texts of about one length together, and mark the owners of similar pairs."""
+        if not self.owners:
+            return
+        owners, firsts = np.array(self.owners), np.array(self.firsts)
+        widths = np.array([-(-len(t) // 64) for t in self.texts])
+        for width in np.unique(widths):
+            places = np.flatnonzero(widths == width)
+            most = max(_BLOCK_CHARS // (64 * int(width)), 1)
+            for block in (places[i : i + most] for i in range(0, len(places), most)):
+                hit = _reach([self.texts[i] for i in block], [self.windows[i] for i in block], firsts[block], threshold)
+                found[owners[block[hit]]] = True
 
 
 class LongText:
@@ -79,33 +127,47 @@ class LongText:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.numbers = set(re.findall(r"\d+", text))
 
     @cached_property
-    def grams(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        points = _points(self.text)
-        return {size: np.unique(_grams(points, size), return_inverse=True) for size in (3, 4)}
+    def numbers(self) -> set[str]:
+        return set(re.findall(r"\d+", self.text))
+
+    @cached_property
+    def points(self) -> np.ndarray:
+        return _points(self.text)
+
+    @cached_property
+    def threes(self) -> tuple[np.ndarray, ...]:
+        """The distinct runs of three, and the run of each place."""
+        return np.unique(_grams(self.points, 3), return_inverse=True)
+
+    @cached_property
+    def fours(self) -> tuple[np.ndarray, ...]:
+        """The distinct runs of four, where each stands first, and the run of each place."""
+        return np.unique(_grams(self.points, 4), return_index=True, return_inverse=True)
 
     def reaches(self, quote: str, threshold: float = FUZZY_THRESHOLD) -> bool:
         """Whether some window is at least ``threshold`` percent similar to ``quote``."""
-        text = self.text
-        if not quote or not text:
-            return False
-        if len(quote) > len(text):
-            return LongText(quote).reaches(text, threshold)
-        size = len(quote)
-        starts, head, tail = self._promising(quote) if threshold >= 90 else (np.arange(len(text) - size + 1), True, True)
-        masks = _char_masks(quote) if len(starts) else {}
-        for start in starts.tolist():
-            if _is_similar(masks, size, text[start : start + size], threshold * size / 100.0):
-                return True
-        if (head and _edge_reaches(quote, text, threshold)) or (tail and _edge_reaches(quote[::-1], text[::-1], threshold)):
-            return True
-        return size == len(text) and (
-            _edge_reaches(text, quote, threshold) or _edge_reaches(text[::-1], quote[::-1], threshold)
-        )
-
-    def _promising(self, quote: str) -> tuple[np.ndarray, bool, bool]:
+        return bool(similar([(quote, self)], threshold)[0])
+
+    def likely_starts(self, quotes: list[np.ndarray]) -> np.ndarray:
+        """For each quote (no longer than the text) the start that most of its runs of four agree on."""
+        sizes = np.array([len(q) for q in quotes])
+        starts = np.zeros(len(quotes), dtype=np.int64)
+        codes, firsts, _ = self.fours
+        wanted = _grams(np.concatenate(quotes), 4)
+        if not len(codes) or not len(wanted):
+            return starts
+        owner = np.repeat(np.arange(len(quotes)), sizes)[: len(wanted)]
+        offset = np.arange(len(wanted)) - (np.cumsum(sizes) - sizes)[owner]
+        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        known = (codes[at] == wanted) & (offset + 4 <= sizes[owner])
+        votes, counts = np.unique(owner[known] << 40 | firsts[at[known]] - offset[known] + (1 << 39), return_counts=True)
+        order = np.argsort(counts, kind="stable")  # the last one written, the most voted, stays
+        starts[votes[order] >> 40] = (votes[order] & (1 << 40) - 1) - (1 << 39)
+        return np.clip(starts, 0, len(self.points) - sizes)
+
+    def promising(self, quote: np.ndarray) -> tuple[np.ndarray, bool, bool]:
         """Starts of full windows that share enough character runs with the quote, the most first,
         and whether shorter windows at the beginning and at the end may.
 
@@ -117,16 +179,15 @@ class LongText:
         3-runs survive.
         """
         size = len(quote)
-        points = _points(quote)
-        windows = len(self.text) - size + 1
+        windows = len(self.points) - size + 1
         passed, shared = np.ones(windows, dtype=bool), np.zeros(windows, dtype=np.int64)
         head = tail = True
         for k in (3, 4):
             needed = size - k + 1 - (2 * k - 1) * size // 10 - 1
             if needed <= 0:
                 continue
-            codes, place = self.grams[k]
-            wanted = _grams(points, k)
+            codes, *_, place = self.threes if k == 3 else self.fours
+            wanted = _grams(quote, k)
             at = np.searchsorted(codes, wanted)
             inside = at < len(codes)
             known = at[inside][codes[at[inside]] == wanted[inside]]
@@ -138,37 +199,103 @@ class LongText:
             if k == 3:
                 edge = max(size - 1 - k + 1, 0)
                 head, tail = (n >= 0.45 * size - 3 for n in (hits[edge], hits[-1] - hits[len(hits) - 1 - edge]))
+            if not (head or tail or passed.any()):
+                break
         starts = np.flatnonzero(passed)
         return starts[np.argsort(-shared[starts], kind="stable")], head, tail
 
 
-def fuzzy_match(quote: str, page: LongText) -> bool:
-    """Similar enough, and no number of the quote is missing from the page."""
-    return (
-        len(quote) <= MAX_FUZZY_CHARS
-        and all(n in page.numbers for n in re.findall(r"\d+", quote))
-        and page.reaches(quote)
-    )
+def similar(pairs: list[tuple[str, LongText]], threshold: float = FUZZY_THRESHOLD) -> np.ndarray:
+    """For each pair whether some window of the text is at least ``threshold`` percent similar to the quote.
+
+    Windows that the quotes' runs point to are compared first; what these leave open goes through the
+    filter, and every window that passes it is compared.
+    """
+    found = np.zeros(len(pairs), dtype=bool)
+    asked: list[tuple[int, np.ndarray, LongText]] = []
+    for i, (quote, page) in enumerate(pairs):
+        if quote and page.text:
+            swapped = len(quote) > len(page.text)
+            asked.append((i, page.points, LongText(quote)) if swapped else (i, _points(quote), page))
+    by_page: dict[int, list[tuple[int, np.ndarray, LongText]]] = {}
+    for question in asked:
+        by_page.setdefault(id(question[2]), []).append(question)
+    trials = _Trials()
+    for questions in by_page.values():
+        page = questions[0][2]
+        for (i, text, _), start in zip(questions, page.likely_starts([text for _, text, _ in questions])):
+            window = page.points[start : start + len(text)]
+            # characters equal in place are a common subsequence
+            found[i] = 100.0 * np.count_nonzero(window == text) >= threshold * len(text)
+            if not found[i]:
+                trials.add(i, text, window, len(text))
+    trials.settle(found, threshold)
+
+    trials, waiting = _Trials(), []
+    for i, text, page in asked:
+        if found[i]:
+            continue
+        size, long = len(text), page.points
+        starts, head, tail = page.promising(text) if threshold >= 90 else (np.arange(len(long) - size + 1), True, True)
+        if len(starts):
+            waiting.append((i, text, long, starts))
+        for near, way in ((head, 1), (tail, -1)):
+            if near:
+                trials.add_edge(i, text[::way], long[::way], threshold)
+            if size == len(long):
+                trials.add_edge(i, long[::way], text[::way], threshold)
+    trials.settle(found, threshold)
+    begin = 0
+    while waiting := [w for w in waiting if not found[w[0]] and begin < len(w[3])]:
+        trials = _Trials()
+        for i, text, long, starts in waiting:
+            for start in starts[begin : begin + _WAVE]:
+                trials.add(i, text, long[start : start + len(text)], len(text))
+        trials.settle(found, threshold)
+        begin += _WAVE
+    return found
+
 
+def _found_pages(asked: Iterable[list], pages: Iterable[list[tuple[int, LongText]]]) -> list[list[int | None]]:
+    """For each quote of each row the position of the page that settles it approximately: the claimed source
+    if it does; else, unless some other page holds the quote exactly, the first page that does.
 
-def _fuzzy_page(quote: str | None, source: int | None, exact: bool, pages: list[tuple[int, LongText]]) -> int | None:
-    """Position of the page that settles a quote approximately: the claimed source if it does; else,
-    unless some other page holds the quote exactly, the first page that does."""
-    if quote is None:
-        return None
-    own = [p for p in pages if p[0] == source]
-    rest = [] if exact else [p for p in pages if p[0] != source]
-    return next((pos for pos, page in own + rest if fuzzy_match(quote, page)), None)
+    A page with a number of the quote missing never does.
+    """
+    results: list[list[int | None]] = []
+    left: list[tuple[list, int, str, list[tuple[int, LongText]]]] = []
+    for row, texts in zip(asked, pages):
+        results.append([None] * len(row))
+        for place, a in enumerate(row):
+            if a["q"] is not None and len(a["q"]) <= MAX_FUZZY_CHARS:
+                own = [t for t in texts if t[0] == a["source_pos"]]
+                rest = [] if a["exact"] else [t for t in texts if t[0] != a["source_pos"]]
+                left.append((results[-1], place, a["q"], own + rest))
+    turn = 0
+    while left := [a for a in left if a[0][a[1]] is None and turn < len(a[3])]:
+        able = [a for a in left if a[3][turn][1].numbers.issuperset(re.findall(r"\d+", a[2]))]
+        settled = similar([(quote, texts[turn][1]) for _, _, quote, texts in able])
+        for (row, place, _, texts), yes in zip(able, settled):
+            if yes:
+                row[place] = texts[turn][0]
+        turn += 1
+    return results
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def fuzzy_pages(asked: pd.Series, pages: pd.Series) -> pd.Series:
     """For each row: the page position found for each of its quotes (q, source_pos, exact)."""
-    found = []
+    found: list[list[int | None]] = []
+    rows: list = []
+    texts: list[list[tuple[int, LongText]]] = []
     prepared: dict[str, LongText] = {}
     for row_asked, row_pages in zip(asked, pages):
         # rows of one scan follow each other, so its pages are prepared once
-        prepared = {p["t"]: prepared.get(p["t"]) or LongText(p["t"]) for p in row_pages}
-        texts = [(p["page_pos"], prepared[p["t"]]) for p in row_pages]
-        found.append([_fuzzy_page(a["q"], a["source_pos"], a["exact"], texts) for a in row_asked])
-    return pd.Series(found)
+        for p in row_pages:
+            prepared.setdefault(p["t"], LongText(p["t"]))
+        rows.append(row_asked)
+        texts.append([(p["page_pos"], prepared[p["t"]]) for p in row_pages])
+        if sum(map(len, rows)) >= _CALL_QUOTES or sum(map(len, prepared)) >= _CALL_CHARS:
+            found += _found_pages(rows, texts)
+            rows, texts, prepared = [], [], {}
+    return pd.Series(found + _found_pages(rows, texts))

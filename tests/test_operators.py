@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.functions.similarity import LongText
+from attesta.functions.similarity import LongText, similar
 from attesta.operators import asof, criteria, facts, grounding, imports, latest, notes, pages, robots, scoring, signals
 from attesta.schemas import CRITERIA
 from attesta.sources import crawl, leads
@@ -230,6 +230,25 @@ def test_best_window_similarity_equals_brute_force():
     assert 100 < hits < 600
 
 
+def test_similarity_of_many_pairs_at_once_equals_brute_force():
+    """Quotes over one, two and three words of 64 bits, several to a page; some pages are shorter than their quote."""
+    rng, pairs = random.Random(11), []
+    for _ in range(12):
+        t = "".join(rng.choice("abcdefgh é語") for _ in range(rng.choice([40, 64, 131, 160])))
+        page = LongText(t)
+        for size in (20, 63, 64, 65, 128, 129):
+            start = rng.randrange(0, max(len(t) - size, 1))
+            q = list(t[start: start + size])
+            for _ in range(int(len(q) * rng.choice([0, 0.06, 0.1, 0.13]))):
+                i = rng.randrange(len(q))
+                q[i: i + rng.choice([0, 1])] = rng.choice(["", "x", "ab"])
+            pairs.append(("".join(q), page))
+    pairs += [("", LongText("a")), ("a", LongText("")), ("a" * 200, LongText("b" * 300)), ("é", LongText("é"))]
+    want = [bool(q and page.text) and brute_similar(q, page.text) for q, page in pairs]
+    assert similar(pairs).tolist() == want
+    assert 10 < sum(want) < len(want) - 10
+
+
 def test_grounding_order(spark):
     text = {
         "p1": "We opened the shop in 1985 and serve the whole valley with care.",
