@@ -4,7 +4,8 @@ Texts become pieces of at most ``most_tokens`` words. Dynamic programming over t
 piece lengths chooses the bucket boundaries with the least padding, and batches of a token budget
 form inside each bucket, in order of document and piece. The histogram has at most ``most_tokens``
 rows, which bounds what the driver gets; numbering within a bucket adds up counts per partition, so
-a bucket that holds most rows is spread like any other.
+a bucket that holds most rows is spread like any other. Pieces travel with their text, once, to the
+range of documents that they are numbered in; rows of one id are dealt to ranges by their texts.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import WORD
-from attesta.session import new_folder, stage
+from attesta.functions.numbers import let
+from attesta.llm.common import GAP, WORD
+from attesta.session import new_folder, stage, with_computed
 
 MOST_TOKENS, BUCKETS, BATCH_TOKENS = 4096, 8, 65536
 
@@ -54,6 +56,25 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return found[::-1]
 
 
+def _pieces(text: Column, words: Column, most_tokens: int) -> Column:
+    """Array of (piece, text): a text is cut where a word begins; blanks before its first word go with it."""
+    zero = F.lit(0).cast("long")
+    whole = F.array(F.struct(zero.alias("piece"), text.alias("text")))
+    begin = F.regexp_extract(text, f"^{GAP}", 0)
+    last = F.ceil(words / most_tokens) - 1
+
+    def cut(runs: Column) -> Column:
+        def piece(k: Column) -> Column:
+            held = F.array_join(F.slice(runs, (k * most_tokens + 1).cast("int"), most_tokens), "")
+            return F.struct(k.alias("piece"), F.when(k == 0, F.concat(begin, held)).otherwise(held).alias("text"))
+
+        return F.transform(F.sequence(zero, last), piece)
+
+    # each run is a word and the blanks after it
+    runs = F.split(F.regexp_replace(text, f"^{GAP}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    return F.when(words <= most_tokens, whole).otherwise(let(runs, cut))
+
+
 def pack(
     docs: DataFrame,
     most_tokens: int = MOST_TOKENS,
@@ -62,26 +83,30 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, n_tokens, bucket, batch, slot, padding.
+    """One row per piece: doc_id, piece, n_tokens, text, bucket, batch, slot, padding.
 
-    ``bucket`` is the padded length; a batch holds batch_tokens / bucket pieces, one at least. All
-    words of a text are in its pieces, in order. A null text or one without a word is one piece of
-    no tokens, without bucket, batch and slot. Repeated rows and null ids are packed each.
+    ``bucket`` is the padded length; a batch holds batch_tokens / bucket pieces, one at least. The
+    pieces of a text, put together in order, are the text. A null text or one without a word is one piece of
+    no tokens, without bucket, batch and slot. Repeated rows and null ids are packed each; the order of
+    rows of one id and length follows a hash of their texts. Other columns, whatever their names, are left
+    behind; an empty table gives an empty result.
     """
     folder = new_folder(docs.sparkSession, "packing")
-    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    counted = stage(docs.select(F.col(id_col).alias("doc_id"), words.alias("words")), f"{folder}/counted")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    n_tokens = F.least(F.col("words") - F.col("piece") * most_tokens, F.lit(most_tokens))
+    counted = stage(texts.select("doc_id", words.alias("words")), f"{folder}/counted")
     last = F.greatest(F.ceil(F.col("words") / most_tokens) - 1, F.lit(0).cast("long"))
-    pieces = counted.select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-        "doc_id", "piece", F.least(F.col("words") - F.col("piece") * most_tokens, F.lit(most_tokens)).alias("n_tokens")
-    )
-    filled = pieces.where(F.col("n_tokens") > 0)
-    histogram = filled.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
+    lengths = counted.select("words", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(n_tokens.alias("n_tokens"))
+    histogram = lengths.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
     chosen = boundaries(histogram["n_tokens"].to_numpy().astype(np.int64), histogram["n"].to_numpy().astype(np.int64), buckets)
     bucket = F.lit(None).cast("long")
     for b in reversed(chosen):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bucket)
-    ordered = filled.withColumn("bucket", bucket).repartitionByRange("doc_id", "piece").sortWithinPartitions("doc_id", "piece", "n_tokens")
+    pieces = with_computed(texts, "words", words).select("doc_id", "words", F.inline(_pieces(F.col("text"), F.col("words"), most_tokens)))
+    filled = pieces.where("words > 0").select("doc_id", "piece", n_tokens.alias("n_tokens"), "text")
+    order = ["doc_id", "piece", "n_tokens", F.xxhash64("text")]
+    ordered = filled.withColumn("bucket", bucket).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, so_far = TaskContext.get().partitionId(), np.zeros(len(chosen), dtype=np.int64)
@@ -106,13 +131,17 @@ def pack(
         "doc_id",
         "piece",
         "n_tokens",
+        "text",
         "bucket",
         F.floor(rank / room).alias("batch"),
         F.pmod(rank, room).alias("slot"),
         (F.col("bucket") - F.col("n_tokens")).alias("padding"),
     )
     none = F.lit(None).cast("long")
-    empty = pieces.where(F.col("n_tokens") == 0).select("doc_id", "piece", "n_tokens", none.alias("bucket"), none.alias("batch"), none.alias("slot"), F.lit(0).cast("long").alias("padding"))
+    zero = F.lit(0).cast("long")
+    empty = texts.where(words == 0).select(
+        "doc_id", zero.alias("piece"), zero.alias("n_tokens"), "text", none.alias("bucket"), none.alias("batch"), none.alias("slot"), zero.alias("padding")
+    )
     return packed.unionByName(empty)
 
 

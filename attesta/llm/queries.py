@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents")).drop("text")
 
 
 def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,8 +129,10 @@ def test_boundaries_are_optimal():
 
 def test_pack_loses_nothing_and_keeps_the_budget(spark):
     rows = packing.pack(docs_of(spark, ODD), most_tokens=1000, buckets=3, batch_tokens=4000).collect()
-    per_doc, batches = Counter(), Counter()
+    per_doc, batches, parts = Counter(), Counter(), defaultdict(list)
     for r in rows:
+        assert len(words_of(r["text"])) == r["n_tokens"]
+        parts[r["doc_id"]].append(r)
         per_doc[r["doc_id"]] += r["n_tokens"]
         assert (r["bucket"] is None) == (r["n_tokens"] == 0)
         if r["bucket"]:
@@ -141,9 +143,31 @@ def test_pack_loses_nothing_and_keeps_the_budget(spark):
         want[i] += len(words_of(text))
     assert per_doc == want and max(batches.values()) <= 4000
     assert len({(r["bucket"], r["batch"], r["slot"]) for r in rows if r["bucket"]}) == sum(r["bucket"] is not None for r in rows)
+    own = Counter(i for i, *_ in ODD)
+    for i, text, *_ in ODD:
+        if own[i] == 1:
+            found = sorted(parts[i], key=lambda r: r["piece"])
+            assert [r["piece"] for r in found] == list(range(len(found))) and (found[0]["text"] if text is None else "".join(r["text"] for r in found)) == text
     assert packing.pack(docs_of(spark, [])).collect() == []
 
 
+def test_pieces_put_together_are_the_text(spark):
+    texts = [" \n a b\tc  d \x0b", "a b c d e", "é\u00a0ü\nx  y z\n\n", "one", "  ", "a" * 9 + " " + "語 " * 7]
+    rows = packing.pack(docs_of(spark, [(k, t, None, "s", 1) for k, t in enumerate(texts)]), most_tokens=2).collect()
+    for k, text in enumerate(texts):
+        pieces = sorted((r["piece"], r["text"], r["n_tokens"]) for r in rows if r["doc_id"] == k)
+        n = len(words_of(text))
+        assert "".join(t for _, t, _ in pieces) == text and [c for *_, c in pieces] == ([2] * (n // 2) + [1] * (n % 2) or [0])
+
+
+def test_rows_without_id_are_packed_in_many_tasks(spark):
+    """Rows of one id do not have to go through one task."""
+    docs = docs_of(spark, [(None, f"a b {k}", None, "s", 1) for k in range(3000)])
+    rows = packing.pack(docs, batch_tokens=30).collect()
+    assert Counter(r["text"] for r in rows) == Counter(f"a b {k}" for k in range(3000))
+    assert {(r["batch"], r["slot"]) for r in rows} == {(b, s) for b in range(300) for s in range(10)}
+
+
 # quality
 
 
@@ -642,7 +666,9 @@ def test_pipeline_equals_its_parts(spark, documents):
     for r, root in zip(rest, brute_similar([t for _, t in rest], 80)):
         firsts.setdefault(root, r)
     assert seen[3] == Counter(firsts.values())
-    assert set(seen[4]) == {(i,) for i, _ in seen[3]}
+    # a text of at most 4096 words is one piece
+    assert {r for r in seen[4] if len(words_of(r[1])) < 4096} >= {r for r in seen[3] if len(words_of(r[1])) < 4096}
+    assert {i for i, _ in seen[4]} == {i for i, _ in seen[3]}
 
 
 CLASHING = ["_id", "_digest", "_row", "_bit", "_bits", "id", "digest", "row", "kept", "group", "node", "key", "bands"]
