@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of what is left, with its bucket, batch and place."""
+    """Every piece of what is left: its text, bucket, batch and place."""
     return packing.pack(docs)
 
 
