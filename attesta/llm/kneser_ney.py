@@ -270,28 +270,37 @@ def _discounts(times: list[int]) -> tuple[float, float, float]:
 
 
 class Lookup:
-    """Reads a model's files; kept by a worker for all its pieces."""
+    """Reads a model's files, each when it is first asked; kept by a worker for all its tasks."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.words = [_mapped(model.folder, f"words-{s}", _WORD_KINDS) for s in range(model.shards)]
-        both = [[_mapped(model.folder, f"pairs-{s}-{w}", _PAIR_KINDS[w]) for w in (0, 1)] for s in range(model.shards)]
-        self.pairs = [wide if len(wide[0]) else narrow for narrow, wide in both]
+        self._opened: dict[tuple[str, int], list[np.ndarray]] = {}
+
+    def _shard(self, kind: str, shard: int) -> list[np.ndarray]:
+        found = self._opened.get((kind, shard))
+        if found is None:
+            folder = self.model.folder
+            if kind == "words":
+                found = _mapped(folder, f"words-{shard}", _WORD_KINDS)
+            else:
+                narrow, wide = (_mapped(folder, f"pairs-{shard}-{w}", _PAIR_KINDS[w]) for w in (0, 1))
+                found = wide if len(wide[0]) else narrow
+            self._opened[kind, shard] = found
+        return found
 
-    @staticmethod
-    def _find(shards: list[list[np.ndarray]], shard: np.ndarray, hashes: np.ndarray, kinds: int) -> list[np.ndarray]:
+    def _find(self, kind: str, shard: np.ndarray, hashes: np.ndarray, values: int) -> list[np.ndarray]:
         """Values of each hash, sorted within its shard; 0 where it is not stored."""
-        edges = np.searchsorted(shard, np.arange(len(shards) + 1))
-        found = [np.zeros(len(hashes), dtype=np.int64) for _ in range(kinds)]
+        edges = np.searchsorted(shard, np.arange(self.model.shards + 1))
+        found = [np.zeros(len(hashes), dtype=np.int64) for _ in range(values)]
         for s in np.flatnonzero(np.diff(edges)):
-            keys = shards[s][0]
+            keys, *stored = self._shard(kind, int(s))
             if not len(keys):
                 continue
             asked = hashes[edges[s] : edges[s + 1]]
             place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             known = keys[place] == asked
-            for values, out in zip(shards[s][1:], found):
-                out[edges[s] : edges[s + 1]] = np.where(known, values[place], 0)
+            for of_keys, out in zip(stored, found):
+                out[edges[s] : edges[s + 1]] = np.where(known, of_keys[place], 0)
         return found
 
     def probabilities(self, words: np.ndarray, contexts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,13 +310,13 @@ class Lookup:
         """
         m = self.model
         order = np.argsort(words)
-        facts = self._find(self.words, _shard_of(words[order], m.shards), words[order], 5)
+        facts = self._find("words", _shard_of(words[order], m.shards), words[order], 5)
         once, twice, often, before, count = (_unsorted(f, order) for f in facts)
         codes, back = np.unique(contexts << 32 | tokens, return_inverse=True)
         left, right = words[codes >> 32], words[codes & 0xFFFFFFFF]
         shard, hashes = _pair_shards(left, right, m.shards), mix(left, right)
         order = np.lexsort((hashes, shard))
-        pair_count = _unsorted(self._find(self.pairs, shard[order], hashes[order], 1)[0], order)
+        pair_count = _unsorted(self._find("pairs", shard[order], hashes[order], 1)[0], order)
         uniform = 1 / (m.types + 1)
         low = m.word_rest * uniform + np.maximum(before - _by_count(m.word_discounts, before), 0) / max(m.pairs, 1)
         kept = _kept(once, twice, often, m.pair_discounts)
@@ -320,6 +329,17 @@ class Lookup:
         return np.log10(p)[back], count[tokens]
 
 
+_LOOKUPS: dict[str, Lookup] = {}
+
+
+def _lookup(model: Model) -> Lookup:
+    """This worker's lookup of a model; that of an earlier model is given up."""
+    if model.folder not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[model.folder] = Lookup(model)
+    return _LOOKUPS[model.folder]
+
+
 def _unsorted(values: np.ndarray, order: np.ndarray) -> np.ndarray:
     found = np.empty_like(values)
     found[order] = values
@@ -346,9 +366,8 @@ def score(
     """
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = None
+        lookup = _lookup(model)
         for piece in slices(batches, "text", PIECE_BYTES):
-            lookup = lookup or Lookup(model)
             words, contexts, tokens, rows = _sequences(piece.column("text"))
             logs, counts = lookup.probabilities(words, contexts, tokens)
             size = piece.num_rows

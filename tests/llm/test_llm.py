@@ -253,6 +253,19 @@ def test_language_model_equals_brute_force(spark, documents, odd):
         assert sum(w[6] for w in held) > sum(w[5] for w in held)
 
 
+def test_a_worker_opens_each_file_once(spark, monkeypatch):
+    model, opened = kneser_ney.learn(table(spark), shards=3), Counter()
+    mapped = kneser_ney._mapped
+    monkeypatch.setattr(kneser_ney, "_mapped", lambda folder, name, kinds: opened.update([name]) or mapped(folder, name, kinds))
+    monkeypatch.setattr(kneser_ney, "_LOOKUPS", {"an earlier model": None})
+    hashes, contexts, tokens, _ = kneser_ney._sequences(pa.array(["the dog the end", "a dog"]))
+    logs = [kneser_ney._lookup(model).probabilities(hashes, contexts, tokens)[0].tolist() for _ in range(4)]
+    assert logs[1:] == logs[:1] * 3 and set(opened.values()) == {1} and list(kneser_ney._LOOKUPS) == [model.folder]
+    one = kneser_ney.Lookup(model)
+    one.probabilities(hashes[-2:], np.array([1]), np.array([0]))  # the end after the start
+    assert [kind for kind, _ in one._opened].count("pairs") == 1
+
+
 def test_language_model_of_nothing(spark):
     empty = docs_of(spark, [])
     model = kneser_ney.learn(empty)
