@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.numbers import let
 from attesta.functions.text import clean, description_hash, slug
 from attesta.schemas import CRITERIA
+from attesta.session import with_computed
 from attesta.sources.presets import PRESET_NAMES
 
 MAX_CRITERIA = 8
@@ -23,24 +25,38 @@ def clean_criteria(raw: Column) -> Column:
     """
     filled = lambda c: F.nullif(c, F.lit(""))
 
-    def step(done: Column, c: Column) -> Column:
-        base = slug(F.coalesce(filled(c["key"]), filled(c["label"]), F.lit("")))
+    def tidied(c: Column) -> Column:
+        return F.struct(
+            slug(F.coalesce(filled(c["key"]), filled(c["label"]), F.lit(""))).alias("base"),
+            filled(c["label"]).alias("label"),
+            F.coalesce(F.nullif(F.trim(c["weight"]).try_cast("int"), F.lit(0)), F.lit(1)).alias("weight"),
+            F.substring(F.coalesce(clean(c["test"]), F.lit("")), 1, TEST_LENGTH).alias("test"),
+            F.when(F.lower(c["polarity"]) == "negative", F.lit("negative")).otherwise(F.lit("positive")).alias("polarity"),
+        )
+
+    def free_key(done: Column, base: Column) -> Column:
         taken = F.transform(done, lambda d: d["key"])
         numbered = F.transform(
             F.sequence(F.lit(2), F.size(done) + 2), lambda n: F.concat(base, F.lit("_"), n.cast("string")))
-        free = F.filter(F.concat(F.array(base), numbered), lambda k: ~F.array_contains(taken, k))
-        key = F.try_element_at(free, F.lit(1))
-        weight = F.coalesce(F.nullif(F.trim(c["weight"]).try_cast("int"), F.lit(0)), F.lit(1))
-        label = F.coalesce(filled(c["label"]), F.replace(key, F.lit("_"), F.lit(" ")))
-        return F.array_append(done, F.struct(
-            key.alias("key"),
-            F.substring(F.coalesce(clean(label), F.lit("")), 1, KEY_LABEL).alias("label"),
-            F.greatest(F.lit(1), F.least(F.lit(5), weight)).alias("weight"),
-            F.substring(F.coalesce(clean(c["test"]), F.lit("")), 1, TEST_LENGTH).alias("test"),
-            F.when(F.lower(c["polarity"]) == "negative", F.lit("negative")).otherwise(F.lit("positive")).alias("polarity"),
-        ))
+        free = F.filter(numbered, lambda k: ~F.array_contains(taken, k))
+        return F.when(~F.array_contains(taken, base), base).otherwise(F.try_element_at(free, F.lit(1)))
+
+    def step(done: Column, c: Column) -> Column:
+        def appended(key: Column) -> Column:
+            label = F.coalesce(c["label"], F.replace(key, F.lit("_"), F.lit(" ")))
+            return F.array_append(done, F.struct(
+                key.alias("key"),
+                F.substring(F.coalesce(clean(label), F.lit("")), 1, KEY_LABEL).alias("label"),
+                F.greatest(F.lit(1), F.least(F.lit(5), c["weight"])).alias("weight"),
+                c["test"].alias("test"),
+                c["polarity"].alias("polarity"),
+            ))
+
+        return let(free_key(done, c["base"]), appended)
 
-    return F.slice(F.aggregate(raw, F.array().cast(CRITERIA), step), 1, MAX_CRITERIA)
+    # what depends on one criterion alone is worked out once; later ones than the first eight change nothing
+    tidy = F.transform(F.slice(raw, 1, MAX_CRITERIA), tidied)
+    return F.aggregate(tidy, F.array().cast(CRITERIA), step)
 
 
 def needs_compile() -> Column:
@@ -65,7 +81,7 @@ def update_profiles(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     row per profile. Presets do not change, and edited criteria may not be empty. Edited criteria
     count for the current description; a new description alone calls for a new compilation.
     """
-    cleaned = edits.withColumn("new_criteria", clean_criteria(F.col("new_criteria")))
+    cleaned = with_computed(edits, "new_criteria", clean_criteria(F.col("new_criteria")))
     described = F.coalesce(clean(F.col("new_description")), F.lit(""))
     joined = profiles.join(cleaned.withColumn("edited", F.lit(True)), "profile_id", "left").withColumn(
         "problem",

@@ -194,6 +194,19 @@ def test_criteria_cleaning(spark):
         ("key", "key", 5, "negative"), ("key_2", "L", 1, "positive"), ("key_2_2", "key 2 2", 1, "positive"), ("my_label", "My Label", 3, "positive")]
 
 
+def test_criteria_are_tidied_once_each(spark):
+    raw = [("Same", None, None, None, None)] * 12
+    df = spark.createDataFrame([(raw,), (None,), ([],), ([None, ("a", " b ", "2", " c ", "x")],)],
+                               "raw array<struct<key:string,label:string,weight:string,test:string,polarity:string>>")
+    cleaned = df.select(criteria.clean_criteria(F.col("raw")).alias("c"))
+    got = [r.c for r in cleaned.collect()]
+    assert [c.key for c in got[0]] == ["same"] + [f"same_{n}" for n in range(2, 9)]
+    assert got[1:3] == [None, []] and [tuple(c) for c in got[3]] == [
+        ("criterion", "criterion", 1, "", "positive"), ("a", "b", 2, "c", "positive")]
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") == 1  # not once more for each use of a key
+
+
 def brute_similar(q, t, threshold=90):
     def common(a, b):
         row = [0] * (len(b) + 1)

@@ -205,7 +205,9 @@ def _raw_criteria(spark, sf_dir):
         c(empty, F.concat(seg, F.lit(" 2")), F.lit("3"), empty), c(none, none, none, F.lit("positive")),
         c(F.concat(F.lit("--"), seg, F.lit("!")), none, F.lit("0"), F.lit("negative")), c(F.lit("a"), none, F.lit("-4"), empty),
         c(F.lit("A"), none, F.lit("4"), empty), c(F.lit("a_2"), none, F.lit("2"), empty), c(F.lit("ninth"), none, F.lit("1"), empty))
-    return P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"), "c_name", "c_acctbal", "c_mktsegment", raw.alias("raw"))
+    # much work a row, while a file of them may have one split: they are dealt out
+    dealt = P.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").repartition("c_custkey", "c_name")
+    return dealt.select(F.col("c_custkey").alias("profile_id"), "c_name", "c_acctbal", "c_mktsegment", raw.alias("raw"))
 
 
 def criteria_clean(spark, sf_dir):
