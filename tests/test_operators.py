@@ -283,6 +283,23 @@ def test_grounding_order(spark):
     assert got == {q[0]: (q[3], q[4]) for q in quotes}
 
 
+def test_short_quotes_meet_few_texts(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(grounding, "stage", lambda df, path: kept.setdefault(path.rsplit("/", 1)[1], df.cache()))
+    names = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    docs = [(i, f"{x}nda the {y}vel. ui the {y}velorum so {x}on the {y}") for i, (x, y) in enumerate(zip(names, reversed(names)))]
+    quotes = [(i, f"{x}nda the {y}") for i, (x, y) in enumerate(zip(names, reversed(names)))]
+    quotes += [(200, "nda the akvel ui"), (201, "i the akvelor"), (202, "a the akveloru"), (203, "a the klvel or")]
+    got = {r.quote_id: (r.n_docs, r.first_doc_id) for r in grounding.find_quotes(
+        spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    plain = [t.replace(".", "") for _, t in docs]
+    for i, q in quotes:
+        hits = [d for d, t in enumerate(plain) if q in t] if len(q) >= 12 else []
+        assert got[i] == (len(hits), min(hits, default=None)), (i, q)
+    met = kept["rarest"].join(kept["hits"], "run").count()
+    assert met < len(docs) ** 2 / 5  # by the word "the" alone every quote would meet every text
+
+
 def test_find_quotes_equals_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(30)]
