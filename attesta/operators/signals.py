@@ -25,23 +25,25 @@ _CORPORATE = (
 )
 ORG = rf"{_NAME}(?:,? {_FORMS})?"
 CORP_ORG = rf"{_NAME},? {_CORPORATE}"
+# A phrase begins with a look at its first two characters: word edges and letter classes are slow to test at every place.
+# Where case does not count, the look names every letter that folds to the ones it stands for.
 PHRASES = (
-    ("affiliations", "brand", rf"(?U)\b(?:is|as) (?:a |the )?(?:leading |flagship |premier )?brand of ({ORG})"),
+    ("affiliations", "brand", rf"(?U)(?=[ia]s)\b(?:is|as) (?:a |the )?(?:leading |flagship |premier )?brand of ({ORG})"),
     ("affiliations", "subsidiary",
-     rf"(?U)\b(?:is )?(?:a |the )?(?:wholly[- ]owned )?(subsidiary|division) of ({ORG})"),
-    ("affiliations", "owned", rf"(?U)\b(owned|acquired) by ({CORP_ORG})"),
+     rf"(?U)(?=[iatwsd][s hui])\b(?:is )?(?:a |the )?(?:wholly[- ]owned )?(subsidiary|division) of ({ORG})"),
+    ("affiliations", "owned", rf"(?U)(?=[oa][wc])\b(owned|acquired) by ({CORP_ORG})"),
     ("affiliations", "company_owned",
-     r"(?iU)\bcompany-owned (?:locations?|branches|service centers?) across ([^.\n]{2,60})"),
+     r"(?iU)(?-iU:(?=[cC][oO]))\bcompany-owned (?:locations?|branches|service centers?) across ([^.\n]{2,60})"),
     ("affiliations", "franchise",
-     rf"(?U)\b(?:owned and operated franchise|franchisee|a franchise of {ORG}"
+     rf"(?U)(?=[ofaie][wr na])\b(?:owned and operated franchise|franchisee|a franchise of {ORG}"
      r"|independently owned and operated franchise"
      r"|each (?:location|franchise) is independently owned and operated)"),
     ("ownership_leadership", "family",
-     r"(?iU)\b(?:family[- ](?:owned|run|operated)|owner[- ]operated|locally owned and operated)\b"),
+     r"(?iU)(?-iU:(?=[fFoOlL][aAwWoO]))\b(?:family[- ](?:owned|run|operated)|owner[- ]operated|locally owned and operated)\b"),
     ("founding_history", "since",
-     r"(?iU)\b(?:since|established in|founded in|est\.?|serving [^.\n]{0,40} since) ((?:19|20)\d{2})\b"),
+     r"(?iU)(?-iU:(?=[sSſeEfF][iIıİsSſoOeE]))\b(?:since|established in|founded in|est\.?|serving [^.\n]{0,40} since) ((?:19|20)\d{2})\b"),
     ("founding_history", "years",
-     r"(?iU)\b(?:over|more than|nearly|for) (\d{2})\+? years (?:of |in )(?:business|experience|service)"),
+     r"(?iU)(?-iU:(?=[oOmMnNfF][vVoOeE]))\b(?:over|more than|nearly|for) (\d{2})\+? years (?:of |in )(?:business|experience|service)"),
 )
 # Signs of a customer's words rather than the company's.
 TESTIMONIAL = (
@@ -79,7 +81,9 @@ def _matches(text: Column, pattern: str) -> Column:
 
 def _quote(text: Column, start: Column, hit: Column) -> Column:
     """The sentence around a match; beyond 200 characters, a stretch around it cut between words."""
-    before = F.regexp_extract(F.substring(text, F.lit(1), start), r"(?s)^(?:.*(?:\. |\n|! |\? ))?(.*)$", 1)
+    before = F.substring(text, F.lit(1), start)
+    for end in (". ", "\n", "! ", "? "):
+        before = F.substring_index(before, end, -1)
     after = F.regexp_extract(
         F.substring(text, start + F.length(hit) + 1, F.length(text)),
         r"(?s)^(.*?(?:\.(?=[ \n])|[!?]|(?=\n)|$))", 1)
@@ -126,9 +130,8 @@ def page_signals(text: Column) -> Column:
                 F.lit(kind).alias("kind"), F.lit(category).alias("category"),
                 _statement(kind, pattern, m["hit"]).alias("fact"),
                 _quote(body, m["start"], m["hit"]).alias("evidence_quote")))
-        own_words = F.filter(
+        return F.filter(
             hits, lambda h: (F.length(h["evidence_quote"]) >= MIN_QUOTE) & ~h["evidence_quote"].rlike(TESTIMONIAL))
-        return F.when(body.rlike(pattern), own_words)
 
     row = "struct<kind:string,category:string,fact:string,evidence_quote:string>"
     none = F.array().cast(f"array<{row}>")

@@ -2,6 +2,7 @@
 
 import csv
 import random
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,6 +187,20 @@ def test_signal_caps_and_long_sentences(spark):
     assert len(quote) <= 200 and "established in 1999" in quote and quote.startswith("word") and quote.endswith("tail")
 
 
+def test_looks_ahead_lose_no_match(spark):
+    starts = ["is brand of Acme", "as a brand of Acme", "Is brand of Acme", "subsidiary of Acme", "a wholly-owned division of Acme", "the subsidiary of Acme",
+              "owned by Acme Inc", "acquired by Acme LLC", "COMPANY-owned branches across town", "owned and operated franchise", "a franchise of Acme",
+              "each location is independently owned and operated", "franchisee", "FAMILY run", "Owner-operated", "locally owned and operated", "\u017fince 1999",
+              "\u0130since 1999", "s\u0131nce 1999", "SINCE 1999", "E\u017ftablished in 1999", "est. 1999", "Founded in 1999", "serving all since 1999", "over 20 years of service",
+              "More than 20 year\u017f in business", "nearly 20 years in service", "For 20+ years of experience", "sister since 1999", "misis brand of Acme"]
+    rows = spark.createDataFrame([(i, f"Well{gap}{s} then.") for i, s in enumerate(starts) for gap in (" ", "x", ". ", "-")], "i int, t string")
+    for category, kind, pattern in signals.PHRASES:
+        plain = re.sub(r"(?:\(\?-iU:)?\(\?=(?:\[[^\]]*\]|\w)+\)\)?(?=\\b)", "", pattern, count=1)
+        assert len(plain) < len(pattern) and plain.count("\\b") == pattern.count("\\b"), pattern
+        found = rows.select("t", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("b")).collect()
+        assert all(r.a == r.b for r in found) and any(r.a for r in found), kind
+
+
 def test_criteria_cleaning(spark):
     raw = [("Key", None, "9", None, "Negative"), ("key", "L", "x", "t", None), ("key_2", None, None, "t", "positive"), (None, "My Label", "3", None, "")]
     df = spark.createDataFrame([(raw,)], "raw array<struct<key:string,label:string,weight:string,test:string,polarity:string>>")
