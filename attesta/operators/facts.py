@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import clean, normalize
 from attesta.operators.answers import parse_answers
-from attesta.operators.grounding import demote_new_numbers, ground_facts
+from attesta.operators.grounding import demote_new_numbers, ground_asked, with_quote_form
 from attesta.schemas import FACT_CATEGORIES, GROUNDED
 
 MAX_FACTS = 40
@@ -51,12 +51,12 @@ def raw_facts(signals: DataFrame, answered: DataFrame) -> DataFrame:
 
 def distinct_facts(facts: DataFrame) -> DataFrame:
     """The first of all facts of a scan that say the same. This comes before grounding, so an
-    unfounded first copy also suppresses a founded later one."""
+    unfounded first copy also suppresses a founded later one. The facts are left dealt out by scan."""
     payload = [c for c in facts.columns if c not in ("scan_id", "arrival")]
     # generated, so that the matching form is worked out once; empty statements drop out here
     said = facts.select("*", F.explode(F.filter(F.array(normalize(F.col("fact"))), lambda s: s != "")).alias("said"))
     return (
-        said.groupBy("scan_id", "said")
+        said.repartition("scan_id").groupBy("scan_id", "said")
         .agg(F.min_by(F.struct(*payload, "arrival"), "arrival").alias("row"))
         .select("scan_id", "said", "row.*")
     )
@@ -77,9 +77,9 @@ def page_facts(facts: DataFrame, pages: DataFrame, limit: int = MAX_FACTS, fuzzy
     pages: scan_id, page_pos, url, text and, for the links shown, display_url.
     """
     # arrival is unique in a scan; number facts by page, source and position for the lookup
-    numbered = distinct_facts(facts).withColumn(
+    numbered = distinct_facts(with_quote_form(facts)).withColumn(
         "fact_id", (F.col("arrival.page") * 2 + F.col("arrival.source")) * 1_000_000 + F.col("arrival.pos"))
-    grounded = ground_facts(numbered, pages, fuzzy).withColumn(
+    grounded = ground_asked(numbered, pages, fuzzy).withColumn(
         "grounding", demote_new_numbers(F.col("grounding"), F.col("said"), F.col("evidence_quote")))
     ranked = rank_facts(grounded, limit).withColumn("page_url", F.coalesce("matched_url", "source_url"))
     if "display_url" in pages.columns:

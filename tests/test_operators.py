@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.functions.similarity import LongText, similar
+from attesta.functions.similarity import LongText, Site, find_pages, similar
 from attesta.operators import asof, criteria, facts, grounding, imports, latest, notes, pages, robots, scoring, signals
 from attesta.schemas import CRITERIA
 from attesta.sources import crawl, leads
@@ -277,6 +277,43 @@ def test_similarity_of_many_pairs_at_once_equals_brute_force():
     assert 10 < sum(want) < len(want) - 10
 
 
+def test_altered_quotes_of_a_long_text_are_found_at_their_place(monkeypatch):
+    """Few words make every run of four characters common; its place must not be searched for over the whole text."""
+    rng, searched = random.Random(17), []
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    sentences = [" ".join(rng.choice(words) for _ in range(rng.randrange(6, 25))) for _ in range(500)]
+    page, promising = LongText(" ".join(sentences)), LongText.promising
+    monkeypatch.setattr(LongText, "promising", lambda self, quote: searched.append(quote) or promising(self, quote))
+    quotes = [s[:5] + s[6:] for s in sentences]
+    assert similar([(q, page) for q in quotes]).all() and len(searched) <= 5
+    assert not similar([(" ".join(reversed(q.split())), page) for q in quotes[:40]]).any() and len(searched) > 30
+
+
+def test_pages_holding_quotes_equal_brute_force():
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("ab é語") for _ in range(n)) for n in (0, 5, 16, 300, 700)] + ["ab " * 400, "ab " * 400]
+    quotes = [t[i: i + rng.randrange(8, 140)] for t in texts for i in range(0, max(len(t) - 8, 0), 9)]
+    quotes = [q for q in quotes if len(q) >= 8] + [texts[4], texts[4] + "a", "ab " * 30, "b" * 40]
+    site = Site([*range(len(texts))], [f"p{k}" for k in range(len(texts))], texts)
+    want = {q: [k for k, t in enumerate(texts) if q in t] for q in quotes}
+    assert site.holding(quotes + quotes[:50]) == {q: k for q, k in want.items() if k}
+    asked = [(quotes[0], "p4", site), (quotes[0], None, site), (None, "p1", site), (quotes[0], "p1", None)]
+    first = want[quotes[0]][0]
+    assert find_pages(asked, False) == [("exact", 4 if 4 in want[quotes[0]] else first), ("exact", first), (None, None), (None, None)]
+
+
+def test_facts_cross_to_their_scan_once(spark):
+    """One exchange for the facts and one for the pages; all facts come out, with or without a scan's pages."""
+    rows = spark.createDataFrame([(1, 1, "one two three four", "u", 7), (1, 2, "no", "u", 8), (2, 1, "one two three four", "u", 9), (None, None, "one two three four", "u", 10)],
+                                 "scan_id long, fact_id long, evidence_quote string, source_url string, more int")
+    page = spark.createDataFrame([(1, 0, "u", "Zero one, two: three four.")], "scan_id long, page_pos int, url string, text string")
+    found = grounding.ground_facts(rows, page)
+    assert found.columns == [*rows.columns, "matched_url", "grounding"]
+    assert {(r.more, r.grounding, r.matched_url) for r in found.collect()} == {(7, "exact", "u"), (8, "none", None), (9, "none", None), (10, "none", None)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_grounding_order(spark):
     text = {
         "p1": "We opened the shop in 1985 and serve the whole valley with care.",
