@@ -68,13 +68,17 @@ def new_texts(fetches: DataFrame, days: int = PAGE_DAYS) -> DataFrame:
 
     fetches: url, content_hash, ts, id, …; of fetches at one instant the smallest id counts.
     """
-    keys = ["url", "content_hash"]
+    keys, span = ["url", "content_hash"], days * DAY_US
     timed = fetches.filter(F.col("content_hash").isNotNull()).withColumn("at_us", micros(F.col("ts")))
     payload = [c for c in timed.columns if c not in (*keys, "at_us")]
-    firsts = timed.groupBy(*keys, "at_us").agg(F.min_by(F.struct(*payload), "id").alias("row")).select(*keys, "at_us", "row.*")
-    seen = firsts.select(*keys, F.col("at_us").alias("event_us"), F.col("id").alias("event_id"))
-    looked_up = latest_within(firsts, seen, keys, tolerance_us=days * DAY_US, bucket_us=days * DAY_US, strict=True)
-    return looked_up.filter(F.col("event_us").isNull()).drop("event_us", "event_id", "at_us")
+    # Of a span as long as the look-back only the first fetch can be new, and whether it is the last one of the
+    # span before tells: one row per address, text and span is all that is sorted.
+    order = F.struct("at_us", F.col("id").isNull(), "id")
+    spans = timed.groupBy(*keys, F.floor(F.col("at_us") / F.lit(span)).alias("span")).agg(
+        F.min_by(F.struct(*payload), order).alias("row"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"))
+    before = F.lag("last_us").over(W.partitionBy(*keys).orderBy("span"))
+    seen = F.coalesce(F.col("first_us") - F.col("before_us") <= span, F.lit(False))
+    return spans.withColumn("before_us", before).filter(~seen).select(*keys, "row.*")
 
 
 def split_requests(with_fresh: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -479,3 +479,25 @@ def test_record_payloads(spark):
     assert tuple(capture('[["timestamp"],["20050607080910"]]', near)) == ("2005-06-07", 2005, False)
     assert tuple(capture('[["timestamp"]]', near)) == ("1999-01-02", 1999, True)
     assert capture("[]", '{"archived_snapshots":{}}') is None
+
+
+def test_new_texts_sort_one_row_per_span_and_equal_brute_force(spark):
+    import datetime as dt
+
+    from attesta.operators.cache import new_texts
+
+    rng, day = random.Random(31), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), day + dt.timedelta(days=rng.randrange(0, 900, 3), seconds=rng.choice([0, 0, 1])), i)
+            for i in range(300)]
+    rows += [("a", "x", None, 900), ("a", "x", None, 901), ("c", "x", day, 950), ("c", "x", day + dt.timedelta(days=60), 951),
+             ("d", "x", day, 960), ("d", "x", day + dt.timedelta(days=60, microseconds=1), 961)]
+    found = new_texts(spark.createDataFrame(rows, "url string, content_hash string, ts timestamp, id long"))
+    first = {}
+    for url, text, ts, i in rows:
+        if text is not None:
+            first[url, text, ts] = min(i, first.get((url, text, ts), i))
+    want = [i for (url, text, ts), i in first.items() if ts is None or not any(
+        (u, t) == (url, text) and other is not None and other < ts <= other + dt.timedelta(days=60) for u, t, other in first)]
+    assert found.columns == ["url", "content_hash", "ts", "id"]
+    assert sorted(r.id for r in found.collect()) == sorted(want) and len(want) > 20
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
