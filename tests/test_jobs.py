@@ -260,3 +260,23 @@ def test_literal_relation_handles_nulls(spark):
     schema = spark.createDataFrame([], "a int, b array<string>").schema
     assert [tuple(r) for r in literal_relation(spark, [(1, ["x"]), (None, [])], schema).collect()] == [(1, ["x"]), (None, [])]
     assert literal_relation(spark, [], schema).count() == 0
+
+
+def test_lines_dealt_out_by_scan_meet_their_scan_without_another_exchange(spark, tmp_path):
+    from workload import proxies, verdicts
+
+    day = "timestamp'2020-01-01'"
+    spark.sql(f"""SELECT * FROM VALUES (1, 1, 5, 6, 2.0D, {day}, 9.5D, 'A', 'O'), (1, 1, 5, 7, 3.0D, {day}, 9.5D, 'N', 'O'), (1, 1, 5, 7, 3.0D, {day}, 9.5D, 'N', 'O'),
+      (1, 2, 4, 6, 40.0D, {day}, 1.5D, 'R', 'F'), (2, 1, 3, 3, 11.0D, {day}, 0.5D, 'A', 'F'), (null, 1, 3, 3, 11.0D, {day}, 0.5D, 'A', 'F')
+      AS t(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice, l_returnflag, l_linestatus)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    own = spark.sql("SELECT * FROM VALUES (1, 10), (1, 11), (2, 12) AS t(scan_id, profile_id)").repartition(3)
+    makers = [lambda **by: proxies.results(spark, str(tmp_path), "verdict", "source_url", **by), lambda **by: verdicts.stored_facts(spark, str(tmp_path), **by)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for make in makers:
+            dealt, plain = (rows.join(own, "scan_id") for rows in (make(by_scan=True), make()))
+            assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) and dealt.count() == 5
+            plans = [rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") for rows in (dealt, plain)]
+            assert plans == [2, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

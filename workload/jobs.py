@@ -11,7 +11,7 @@ from attesta.operators import models as M
 from attesta.operators.scoring import criteria_hash
 from attesta.plans.scan_batch import run_scans
 from attesta.schemas import CRITERIA
-from attesta.session import literal_relation, new_folder
+from attesta.session import literal_relation, new_folder, stage
 from attesta.sinks import tables as K
 from workload import proxies as P
 from workload.verdicts import LINES_SQL, stored_facts
@@ -52,11 +52,16 @@ def eval_report(spark, sf_dir):
 
 
 def scan_outputs(spark, sf_dir):
-    """Scans, facts and results stored as two batches, the second written twice, and read back."""
+    """Scans, facts and results stored as two batches, the second written twice, and read back.
+
+    Lines go to their scan once, where they are reduced and meet it; the tables are worked out once for all batches.
+    """
     folder = new_folder(spark, "outputs")
     own = P.scans(spark, sf_dir).select("scan_id", "profile_id")
-    facts = stored_facts(spark, sf_dir).withColumn("evidence_quote", F.concat("evidence_quote", F.lit("\x00"))).join(own, "scan_id")
-    tables = {"scans": P.scans(spark, sf_dir), "facts": facts, "results": P.results(spark, sf_dir, "verdict", "source_url").join(own, "scan_id")}
+    facts = stored_facts(spark, sf_dir, by_scan=True).withColumn("evidence_quote", F.concat("evidence_quote", F.lit("\x00"))).join(own, "scan_id")
+    results = P.results(spark, sf_dir, "verdict", "source_url", by_scan=True).join(own, "scan_id")
+    made = new_folder(spark, "outputs-made")
+    tables = {"scans": P.scans(spark, sf_dir), "facts": stage(facts, f"{made}/facts"), "results": stage(results, f"{made}/results")}
     for batch, part in (("0", "scan_id % 2 = 0"), ("1", "scan_id % 2 = 1"), ("1", "scan_id % 2 = 1")):
         K.write_scan_outputs(folder, batch, {name: rows.filter(part) for name, rows in tables.items()})
     row = lambda name, *said: K.read_table(spark, folder, name).select(
